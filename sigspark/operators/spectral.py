@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.shapes import two_band_amplitude, two_band_power
 from sigspark.operators.chunks import CHUNK, attach, explode_range, lengths, with_chunk
+from sigspark.sources.scratch import scratch_root
 
 # Bins summed side by side in one pass over the samples.
 BINS_PER_PASS = 32
@@ -105,14 +108,32 @@ def _transform_groups(df: DataFrame, keys: list[str], position: str, frequency:
     return df.groupBy(*keys).applyInPandas(_fft_group(position, frequency, inverse), schema)
 
 
-def _fft_factored(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
-    """All bins of the series that are short or factor; needs ``_n1`` from :func:`_with_factor`."""
-    short = series.where(F.col("n") <= group_rows).withColumns({
-        "_part": F.lit(0).cast("bigint"), "_len": F.col("n"),
+class Lengths(NamedTuple):
+    """Which kinds of series longer than one group there are."""
+
+    grid: bool
+    chirp: bool
+
+
+def survey_lengths(per_recording: DataFrame, group_rows: int = GROUP_ROWS) -> Lengths:
+    """Look at the lengths ``n`` (one small aggregate) to know which transforms are needed."""
+    long = F.col("n") > group_rows
+    row = _with_factor(per_recording, group_rows).agg(
+        F.max(long & F.col("_n1").isNotNull()), F.max(long & F.col("_n1").isNull())
+    ).first()
+    return Lengths(bool(row[0]), bool(row[1]))
+
+
+def _fft_short(series: DataFrame, inverse: bool) -> DataFrame:
+    whole = series.withColumns({
+        "_n1": F.lit(1).cast("bigint"), "_part": F.lit(0).cast("bigint"), "_len": F.col("n"),
     })
-    out = _transform_groups(short, ["recording_id"], "j", "k", inverse)
+    return _transform_groups(whole, ["recording_id"], "j", "k", inverse).select(*_BINS)
 
-    grid = series.where((F.col("n") > group_rows) & F.col("_n1").isNotNull()).withColumns({
+
+def _fft_grid(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
+    """Series whose length factors, as an ``n1 x n2`` grid: columns first, then rows."""
+    grid = _with_factor(series, group_rows).withColumns({
         "_part": F.pmod(F.col("j"), F.col("_n1")), "_j2": F.expr("j div _n1"), "_len": F.expr("n div _n1"),
     })
     cols = _transform_groups(grid, ["recording_id", "_part"], "_j2", "_k2", inverse)
@@ -122,10 +143,8 @@ def _fft_factored(series: DataFrame, inverse: bool, group_rows: int) -> DataFram
         F.col("_part").alias("_j1"), F.col("_k2").alias("_part"), F.col("_n1").alias("_len"),
         *_rotated(F.col("re"), F.col("im"), turn),
     )
-    rows = _transform_groups(turned, ["recording_id", "_part"], "_j1", "_k1", inverse).withColumn(
-        "k", F.col("_part") + F.expr("n div _n1") * F.col("_k1")
-    )
-    return out.select(*_BINS).unionByName(rows.select(*_BINS))
+    rows = _transform_groups(turned, ["recording_id", "_part"], "_j1", "_k1", inverse)
+    return rows.withColumn("k", F.col("_part") + F.expr("n div _n1") * F.col("_k1")).select(*_BINS)
 
 
 def _with_factor(series: DataFrame, group_rows: int) -> DataFrame:
@@ -145,7 +164,7 @@ def _rotated(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:
     )
 
 
-def _fft_chirped(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
+def _fft_chirp(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
     """All bins of series of any length, as a convolution with a chirp.
 
     ``2jk = j^2 + k^2 - (k-j)^2`` turns the sum into a convolution, which is done with
@@ -158,9 +177,6 @@ def _fft_chirped(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame
         j = F.col(position)
         return sign * 2 * F.pi() * F.pmod(j * j, 2 * F.col("size")) / (2 * F.col("size"))
 
-    def transformed(df: DataFrame, inv: bool) -> DataFrame:
-        return _fft_factored(_with_factor(df, group_rows), inv, group_rows)
-
     sized = series.withColumn("size", F.col("n")).withColumn("n", padded)
     turned = sized.select("recording_id", "n", "j", *_rotated(F.col("re"), F.col("im"), chirp("j")))
     one_each = sized.groupBy("recording_id", "n", "size").agg(F.lit(0).cast("bigint").alias("_first")).withColumn("_last", F.col("size") - 1)
@@ -169,14 +185,14 @@ def _fft_chirped(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame
         "recording_id", "n", F.cos(chirp("m")).alias("re"), (-F.sin(chirp("m"))).alias("im"),
         F.explode(F.when(F.col("m") == 0, F.array(F.col("m"))).otherwise(F.array(F.col("m"), F.col("n") - F.col("m")))).alias("j"),
     )
-    left = transformed(turned, False)
-    right = transformed(both_ends, False).select("recording_id", "k", F.col("re").alias("_re"), F.col("im").alias("_im"))
+    left = _fft_grid(turned, False, group_rows)
+    right = _fft_grid(both_ends, False, group_rows).select("recording_id", "k", F.col("re").alias("_re"), F.col("im").alias("_im"))
     product = left.join(right, ["recording_id", "k"]).select(
         "recording_id", "n", F.col("k").alias("j"),
         ((F.col("re") * F.col("_re") - F.col("im") * F.col("_im")) / F.col("n")).alias("re"),
         ((F.col("re") * F.col("_im") + F.col("im") * F.col("_re")) / F.col("n")).alias("im"),
     )
-    convolved = transformed(product, True).select("recording_id", "k", "re", "im")
+    convolved = _fft_grid(product, True, group_rows).select("recording_id", "k", "re", "im")
     return (
         half.select("recording_id", "size", F.col("m").alias("k"))
         .join(convolved, ["recording_id", "k"])
@@ -184,7 +200,7 @@ def _fft_chirped(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame
     )
 
 
-def fft(series: DataFrame, inverse: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
+def fft(series: DataFrame, kinds: Lengths, inverse: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """All bins of each series ``(recording_id, n, j, re, im)`` as ``(recording_id, n, k, re, im)``.
 
     Unscaled both ways. No group is longer than ``group_rows``. A series up to that length
@@ -192,23 +208,39 @@ def fft(series: DataFrame, inverse: bool = False, group_rows: int = GROUP_ROWS)
     columns are transformed, turned by their twiddle angle, then the rows are transformed.
     A longer series whose length has no such factors goes through a chirp convolution.
     """
-    sized = _with_factor(series, group_rows)
-    chirped = _fft_chirped(sized.where(F.col("_n1").isNull()).drop("_n1"), inverse, group_rows)
-    return _fft_factored(sized, inverse, group_rows).unionByName(chirped.select(*_BINS))
+    if not (kinds.grid or kinds.chirp):
+        return _fft_short(series, inverse)
+    # Several branches read the series: write it once.
+    scratch_root(series.sparkSession)
+    series = _with_factor(series, group_rows).checkpoint()
+    is_long, factors = F.col("n") > group_rows, F.col("_n1").isNotNull()
+    out = _fft_short(series.where(~is_long).drop("_n1"), inverse)
+    if kinds.grid:
+        out = out.unionByName(_fft_grid(series.where(is_long & factors).drop("_n1"), inverse, group_rows))
+    if kinds.chirp:
+        out = out.unionByName(_fft_chirp(series.where(is_long & ~factors).drop("_n1"), inverse, group_rows).select(*_BINS))
+    return out
+
 
+def dft_fast(
+    signal: DataFrame, value: str = "v", size: int = CHUNK, group_rows: int = GROUP_ROWS, kinds: Lengths | None = None
+) -> DataFrame:
+    """All bins k = 0..n-1 of each recording; the same figures as :func:`dft`.
 
-def dft_fast(signal: DataFrame, value: str = "v", size: int = CHUNK, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """All bins k = 0..n-1 of each recording; the same figures as :func:`dft`."""
+    ``kinds`` comes from :func:`survey_lengths` and is looked up if it is not given.
+    """
     base = signal.select("recording_id", "idx", F.col(value).cast("double").alias("re"))
+    kinds = kinds or survey_lengths(lengths(base), group_rows)
     series = attach(with_chunk(base, size), lengths(base), size).select(
         "recording_id", "n", (F.col("idx") - 1).alias("j"), "re", F.lit(0.0).alias("im")
     )
-    return fft(series, group_rows=group_rows)
+    return fft(series, kinds, group_rows=group_rows)
 
 
-def idft(spectrum: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def idft(spectrum: DataFrame, group_rows: int = GROUP_ROWS, kinds: Lengths | None = None) -> DataFrame:
     """Inverse transform of full spectra, real part, scaled by 1/n: ``(recording_id, idx, v)``."""
     series = spectrum.select("recording_id", "n", F.col("k").alias("j"), "re", "im")
-    return fft(series, inverse=True, group_rows=group_rows).select(
+    kinds = kinds or survey_lengths(series.select("n"), group_rows)
+    return fft(series, kinds, inverse=True, group_rows=group_rows).select(
         "recording_id", (F.col("k") + 1).alias("idx"), (F.col("re") / F.col("n")).alias("v")
     )

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.draws import mirrored_phase
-from sigspark.operators.chunks import CHUNK
-from sigspark.operators.spectral import GROUP_ROWS, dft_fast, idft
+from sigspark.operators.chunks import CHUNK, lengths
+from sigspark.operators.spectral import GROUP_ROWS, dft_fast, idft, survey_lengths
 from sigspark.operators.windows import match_moments
 
 
@@ -17,14 +17,15 @@ def surrogate(signal: DataFrame, seed: int, size: int = CHUNK, group_rows: int =
     The constant part is dropped before the inverse transform, as the mean is added at
     the end. A flat recording has no spread to match and gives NULL.
     """
-    spectrum = dft_fast(signal, size=size, group_rows=group_rows)
+    kinds = survey_lengths(lengths(signal), group_rows)
+    spectrum = dft_fast(signal, size=size, group_rows=group_rows, kinds=kinds)
     amplitude = F.when(F.col("k") == 0, 0.0).otherwise(F.hypot("re", "im"))
     angle = mirrored_phase(seed, "recording_id", F.col("k"), F.col("n"))
     turned = spectrum.select(
         "recording_id", "n", "k",
         (amplitude * F.cos(angle)).alias("re"), (amplitude * F.sin(angle)).alias("im"),
     )
-    series = idft(turned, group_rows)
+    series = idft(turned, group_rows, kinds)
     target = signal.groupBy("recording_id").agg(
         F.avg("v").alias("target_mean"), F.stddev_samp("v").alias("target_sd")
     )

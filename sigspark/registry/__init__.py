@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from sigspark.registry import ordered, scalars  # noqa: F401
+from sigspark.registry import files, ordered, scalars, spectra  # noqa: F401
 from sigspark.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -32,7 +32,7 @@ def with_index(
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
     )
-    share = counts.agg(F.sum("_n") / MAX_HOT_KEYS).scalar()
+    share = df.agg(F.count(F.lit(1)) / MAX_HOT_KEYS).scalar()
     hot = counts.where((F.col("_n") > piece_rows) & (F.col("_n") >= share)).select(
         *keys, "_lo",
         ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") * FINENESS / piece_rows)).alias("_width"),

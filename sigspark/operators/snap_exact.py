@@ -10,47 +10,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.chunks import CHUNK, chunk_of, own_rows, with_halo
+from sigspark.operators.groups import map_groups
 from sigspark.operators.windows import extreme_columns
 from sigspark.sources.scratch import scratch_root
 
 _OUT = "recording_id string, chunk bigint, idx bigint, code int, kind string"
 
 
-def _walk(size: int):
-    """Visit the marks of one chunk in order and move each to its place.
+def _walk_chunk(first: int, last: int, marks: dict[int, int], to_max: np.ndarray, to_min: np.ndarray):
+    """Visit the marks of positions first..last in order and move each to its place.
 
-    Input rows are the chunk's marks and the marks handed over by the previous chunk,
-    with their targets; output rows are the marks that stay (``here``), those moved back
-    over the chunk's start (``back``) and those moved on over its end (``ahead``).
+    Returns the marks that stay, those moved back over the start and those moved on over
+    the end, each as position to code.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["chunk"].iat[0])
-        first, last = chunk * size + 1, (chunk + 1) * size
-        at = pdf["idx"].to_numpy() - first
-        to_max, to_min = np.zeros(size, dtype="int64"), np.zeros(size, dtype="int64")
-        to_max[at], to_min[at] = pdf["max_idx"], pdf["min_idx"]
-        code = pdf["code"].to_numpy()
-        marks = dict(zip((at[code > 0] + first).tolist(), code[code > 0].tolist()))
-        back, ahead = {}, {}
-        queue = sorted(marks)
-        while queue:
-            i = heapq.heappop(queue)
-            if i not in marks:
-                continue
-            target = int((to_max if marks[i] % 2 else to_min)[i - first])
-            if target == i:
-                continue
-            side = back if target < first else ahead if target > last else marks
-            side[target] = marks.pop(i)
-            if i < target <= last:
-                heapq.heappush(queue, target)
-        rows = [(i, c, kind) for kind, side in (("here", marks), ("back", back), ("ahead", ahead)) for i, c in side.items()]
-        return pd.DataFrame({
-            "recording_id": pdf["recording_id"].iat[0], "chunk": chunk,
-            "idx": np.array([r[0] for r in rows], dtype="int64"),
-            "code": np.array([r[1] for r in rows], dtype="int32"),
-            "kind": [r[2] for r in rows],
-        })
+    back, ahead = {}, {}
+    queue = sorted(marks)
+    while queue:
+        i = heapq.heappop(queue)
+        if i not in marks:
+            continue
+        target = int((to_max if marks[i] % 2 else to_min)[i - first])
+        if target == i:
+            continue
+        side = back if target < first else ahead if target > last else marks
+        side[target] = marks.pop(i)
+        if i < target <= last:
+            heapq.heappush(queue, target)
+    return {"here": marks, "back": back, "ahead": ahead}
+
+
+def _walk(size: int):
+    def run(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        ids, chunks = rows["recording_id"].to_numpy(), rows["chunk"].to_numpy()
+        idx, code = rows["idx"].to_numpy(), rows["code"].to_numpy()
+        to_max, to_min = rows["max_idx"].to_numpy(), rows["min_idx"].to_numpy()
+        out = []
+        for start, end in zip(starts, ends):
+            marked = np.flatnonzero(code[start:end]) + start
+            marks = dict(zip(idx[marked].tolist(), code[marked].tolist()))
+            first, last = int(idx[start]), (int(chunks[start]) + 1) * size
+            walked = _walk_chunk(first, last, marks, to_max[start:end], to_min[start:end])
+            out += [(ids[start], chunks[start], i, c, kind) for kind, side in walked.items() for i, c in side.items()]
+        return pd.DataFrame(out, columns=["recording_id", "chunk", "idx", "code", "kind"])
 
     return run
 
@@ -79,7 +80,7 @@ def snap_peaks_exact(signal: DataFrame, d: int, size: int = CHUNK) -> DataFrame:
         entering = todo.join(
             handed.withColumnRenamed("code", "_new"), ["recording_id", "chunk", "idx"], "left"
         ).withColumn("code", F.coalesce("_new", "code")).drop("_new")
-        fresh = entering.groupBy("recording_id", "chunk").applyInPandas(_walk(size), _OUT)
+        fresh = map_groups(entering, ["recording_id", "chunk"], "idx", _walk(size), _OUT)
         if changed is not None:
             fresh = fresh.unionByName(walked.join(changed, ["recording_id", "chunk"], "left_anti"))
         walked = fresh.checkpoint()

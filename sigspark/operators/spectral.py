@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.shapes import two_band_amplitude, two_band_power
 from sigspark.operators.chunks import CHUNK, attach, explode_range, lengths, with_chunk
+from sigspark.operators.groups import map_groups
 from sigspark.sources.scratch import scratch_root
 
 # Bins summed side by side in one pass over the samples.
@@ -88,24 +89,30 @@ def two_band_spectrum(params: DataFrame, n: int, sf: float) -> DataFrame:
 
 # --- all bins ----------------------------------------------------------------
 
-def _fft_group(position: str, frequency: str, inverse: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        length = int(pdf["_len"].iat[0])
-        series = np.zeros(length, dtype=complex)
-        series[pdf[position].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        result = np.fft.ifft(series) * length if inverse else np.fft.fft(series)
-        first = pdf.iloc[0]
+def _transform_groups(df: DataFrame, keys: list[str], position: str, frequency: str, inverse: bool) -> DataFrame:
+    """Transform each group of ``keys``: ``_len`` values at ``position``, absent ones zero.
+
+    Both directions are unscaled.
+    """
+    fields = ["recording_id", "n", "_n1", "_part"]
+
+    def transform(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        at, size = rows[position].to_numpy(), rows["_len"].to_numpy()[starts]
+        values = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+        spectra = []
+        for start, end, length in zip(starts, ends, size):
+            series = np.zeros(length, dtype=complex)
+            series[at[start:end]] = values[start:end]
+            spectra.append(np.fft.ifft(series) * length if inverse else np.fft.fft(series))
+        out = np.concatenate(spectra)
         return pd.DataFrame({
-            "recording_id": first["recording_id"], "n": first["n"], "_n1": first["_n1"],
-            "_part": first["_part"], frequency: np.arange(length), "re": result.real, "im": result.imag,
+            **{f: np.repeat(rows[f].to_numpy()[starts], size) for f in fields},
+            frequency: np.concatenate([np.arange(length) for length in size]),
+            "re": out.real, "im": out.imag,
         })
 
-    return run
-
-
-def _transform_groups(df: DataFrame, keys: list[str], position: str, frequency: str, inverse: bool) -> DataFrame:
     schema = f"recording_id string, n bigint, _n1 bigint, _part bigint, {frequency} bigint, re double, im double"
-    return df.groupBy(*keys).applyInPandas(_fft_group(position, frequency, inverse), schema)
+    return map_groups(df.select(*fields, position, "_len", "re", "im"), keys, position, transform, schema)
 
 
 class Lengths(NamedTuple):

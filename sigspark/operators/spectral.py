@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions.shapes import two_band_amplitude, two_band_power
+from sigspark.functions.shapes import next_pow2, two_band_amplitude, two_band_power
 from sigspark.operators.chunks import CHUNK, attach, explode_range, lengths, with_chunk
 from sigspark.operators.groups import map_groups
 from sigspark.sources.scratch import scratch_root
@@ -124,13 +124,20 @@ class Lengths(NamedTuple):
 
 def survey_lengths(per_recording: DataFrame, group_rows: int = GROUP_ROWS) -> Lengths:
     """Look at the lengths ``n`` (one small aggregate) to know which transforms are needed."""
-    long = F.col("n") > group_rows
+    long, prime = F.col("n") > group_rows, F.col("_n1").isNull()
     row = _with_factor(per_recording, group_rows).agg(
-        F.max(long & F.col("_n1").isNotNull()), F.max(long & F.col("_n1").isNull())
+        F.max(long & ~prime), F.max(long & prime), F.max(F.when(long & prime, _padded(F.col("n"))))
     ).first()
+    if row[2] is not None and row[2] > group_rows * group_rows:
+        raise ValueError(f"a series needs {row[2]} bins; raise group_rows above {group_rows}")
     return Lengths(bool(row[0]), bool(row[1]))
 
 
+def _padded(n: Column) -> Column:
+    """Power-of-two length for the chirp convolution of n values."""
+    return next_pow2((2 * n - 1).cast("double"))
+
+
 def _fft_short(series: DataFrame, inverse: bool) -> DataFrame:
     whole = series.withColumns({
         "_n1": F.lit(1).cast("bigint"), "_part": F.lit(0).cast("bigint"), "_len": F.col("n"),
@@ -175,16 +182,15 @@ def _fft_chirp(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
     """All bins of series of any length, as a convolution with a chirp.
 
     ``2jk = j^2 + k^2 - (k-j)^2`` turns the sum into a convolution, which is done with
-    transforms of a power-of-two length of at least 2n - 1; those always factor.
+    transforms of a power-of-two length of at least 2n - 1, which factors evenly.
     """
     sign = 1 if inverse else -1
-    padded = F.pow(F.lit(2.0), F.ceil(F.log2((2 * F.col("n") - 1).cast("double")))).cast("bigint")
 
     def chirp(position: str) -> Column:
         j = F.col(position)
         return sign * 2 * F.pi() * F.pmod(j * j, 2 * F.col("size")) / (2 * F.col("size"))
 
-    sized = series.withColumn("size", F.col("n")).withColumn("n", padded)
+    sized = series.withColumn("size", F.col("n")).withColumn("n", _padded(F.col("n")))
     turned = sized.select("recording_id", "n", "j", *_rotated(F.col("re"), F.col("im"), chirp("j")))
     one_each = sized.groupBy("recording_id", "n", "size").agg(F.lit(0).cast("bigint").alias("_first")).withColumn("_last", F.col("size") - 1)
     half = explode_range(one_each, "_first", "_last", "m")

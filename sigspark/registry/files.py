@@ -22,8 +22,8 @@ from sigspark.streaming.segments import stream_segments
 @query("a1_signal_scan", with_signal("SELECT recording_id, idx, t, v, peak FROM sig"))
 def a1_signal_scan(spark, d):
     path = scratch_path(spark, "signals")
-    signals.write_signals(signal(spark, d), path)
-    return signals.read_signals(spark, path, id_from="folder")
+    signals.write_signals(signal(spark, d), path, layout="folders")
+    return signals.read_signals(spark, path, layout="folders")
 
 
 @query("a2_delimited_roundtrip", with_signal("SELECT recording_id, idx, (idx - 1) / 256e0 AS t, v, peak FROM sig"))
@@ -31,7 +31,7 @@ def a2_delimited_roundtrip(spark, d):
     path = scratch_path(spark, "signals")
     sep = signals.separator("tab")
     signals.write_signals(to_samples(signal(spark, d), 256), path, sep)
-    return signals.read_signals(spark, path, sep, sf_ecg=256, id_from="folder")
+    return signals.read_signals(spark, path, sep, sf_ecg=256, layout="table")
 
 
 @query("a3_partitioned_corpus", with_signal("""

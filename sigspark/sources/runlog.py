@@ -64,7 +64,9 @@ def write_run_log(params: DataFrame, path: str, waves: bool = True) -> None:
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``(recording_id, line_no, line)`` of log files, named by folder or file stem."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    raw = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    )
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/recording_id=([^/]+)/[^/]*$", 1)
     stem = F.regexp_replace("_metadata.file_name", r"\.txt$", "")
     named = raw.select(F.when(folder != "", folder).otherwise(stem).alias("recording_id"), "value")

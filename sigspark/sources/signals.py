@@ -21,23 +21,23 @@ def read_signals(
     path: str,
     sep: str = ",",
     sf_ecg: float | None = None,
-    id_from: str = "file",
+    layout: str = "files",
 ) -> DataFrame:
     """Recording files ``Time,Voltage,Peak`` as a signal.
 
-    The recording is named by the file stem, or with ``id_from="folder"`` by a
-    ``recording_id=`` folder as written by :func:`write_signals`. With a known sampling
-    rate the position follows from the time; otherwise rows are numbered along the time.
-    A malformed row fails the read.
+    ``layout`` says where the recording's name is: in the stem of its one file
+    (``files``), in a ``recording_id=`` folder (``folders``), or in a first column
+    (``table``). With a known sampling rate the position follows from the time; otherwise
+    rows are numbered along the time. A malformed row fails the read.
     """
-    fields = schema.SAMPLE_FILE
-    if id_from == "folder":
-        fields = T.StructType([*fields.fields, T.StructField("recording_id", T.StringType())])
+    name = T.StructField("recording_id", T.StringType())
+    samples = schema.SAMPLE_FILE.fields
+    fields = {"files": samples, "folders": [*samples, name], "table": [name, *samples]}[layout]
     raw = (
-        spark.read.schema(fields).option("header", True).option("sep", sep)
+        spark.read.schema(T.StructType(fields)).option("header", True).option("sep", sep)
         .option("mode", "FAILFAST").option("pathGlobFilter", "*.csv").csv(path)
     )
-    if id_from == "file":
+    if layout == "files":
         raw = raw.withColumn("recording_id", F.regexp_replace("_metadata.file_name", r"\.csv$", ""))
     rows = raw.select(
         "recording_id", F.col("Time").alias("t"), F.col("Voltage").alias("v"), F.col("Peak").alias("peak")
@@ -58,15 +58,20 @@ def ordered(signal: DataFrame, *leading: str) -> DataFrame:
     return signal.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def write_signals(signal: DataFrame, path: str, sep: str = ",") -> None:
-    """One folder per recording with ``Time``, ``Voltage``, ``Peak`` text files, CRLF line ends."""
-    (
-        ordered(signal).select(
-            "recording_id", F.col("t").alias("Time"), F.col("v").alias("Voltage"), F.col("peak").alias("Peak")
-        )
-        .write.partitionBy("recording_id")
-        .option("header", True).option("sep", sep).option("lineSep", "\r\n").csv(path)
+def write_signals(signal: DataFrame, path: str, sep: str = ",", layout: str = "table") -> None:
+    """Delimited text with CRLF line ends: ``Time``, ``Voltage``, ``Peak``.
+
+    ``table`` puts the recording's name in a first column and writes few large files;
+    ``folders`` writes the three columns only, in a folder per recording, for tools that
+    want recordings apart.
+    """
+    rows = ordered(signal).select(
+        "recording_id", F.col("t").alias("Time"), F.col("v").alias("Voltage"), F.col("peak").alias("Peak")
     )
+    writer = rows.write.option("header", True).option("sep", sep).option("lineSep", "\r\n")
+    if layout == "folders":
+        writer = writer.partitionBy("recording_id")
+    writer.csv(path)
 
 
 def write_corpus(signal: DataFrame, recordings: DataFrame, path: str) -> None:

@@ -49,14 +49,22 @@ def chunk_window(*order: str) -> WindowSpec:
     return Window.partitionBy(*KEY).orderBy(*(order or ("idx",)))
 
 
-def explode_range(df: DataFrame, first: str, last: str, name: str, block: int = CHUNK) -> DataFrame:
+def explode_range(
+    df: DataFrame, first: str, last: str, name: str, block: int = CHUNK, spread_by: list[str] | None = None
+) -> DataFrame:
     """One row per whole number from column ``first`` to column ``last``, none if empty.
 
     The range is cut into blocks first, so one very long range is never a single array.
+    With ``spread_by`` (columns that tell the rows apart) the blocks go to different tasks
+    before they are filled; the partition count is given so that they are not merged again
+    for being small.
     """
     blocks = df.where(F.col(first) <= F.col(last)).withColumn(
         "_block", F.explode(F.expr(f"sequence(0L, ({last} - {first}) div {block})"))
     )
+    if spread_by:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(tasks, *spread_by, "_block")
     lo = F.expr(f"{first} + _block * {block}")
     hi = F.expr(f"least({last}, {first} + _block * {block} + {block - 1})")
     return blocks.withColumn(name, F.explode(F.sequence(lo, hi))).drop("_block")

@@ -27,12 +27,12 @@ def lookup_ranges(plan: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def expand_plan(scenarios: DataFrame) -> DataFrame:
-    """One row per sample of each scenario, numbered from 0."""
+    """One row per sample of each scenario ``(folder, activity, samples, ...)``, numbered from 0."""
     numbered = scenarios.withColumns({
         "_first": F.lit(0).cast("bigint"), "_last": F.col("samples").cast("bigint") - 1,
     })
     return (
-        explode_range(numbered, "_first", "_last", "_no")
+        explode_range(numbered, "_first", "_last", "_no", spread_by=["folder", "activity"])
         .withColumn("sample_no", F.col("_no").cast("int"))
         .drop("_first", "_last", "_no")
     )

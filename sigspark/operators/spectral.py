@@ -79,7 +79,7 @@ def two_band_spectrum(params: DataFrame, n: int, sf: float) -> DataFrame:
     The frequencies are angular, as are the band centres and widths.
     """
     grid = params.withColumns({"_first": F.lit(0).cast("bigint"), "_last": F.lit(n - 1).cast("bigint")})
-    grid = explode_range(grid, "_first", "_last", "k").drop("_first", "_last")
+    grid = explode_range(grid, "_first", "_last", "k", spread_by=params.columns).drop("_first", "_last")
     f = F.least(F.col("k"), n - F.col("k")) * (sf / n)
     power = two_band_power(
         f, F.col("f_lo"), F.col("f_hi"), F.col("f_lo_std"), F.col("f_hi_std"), F.col("lf_hf_ratio")
@@ -99,12 +99,20 @@ def _transform_groups(df: DataFrame, keys: list[str], position: str, frequency:
     def transform(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         at, size = rows[position].to_numpy(), rows["_len"].to_numpy()[starts]
         values = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
-        spectra = []
-        for start, end, length in zip(starts, ends, size):
-            series = np.zeros(length, dtype=complex)
-            series[at[start:end]] = values[start:end]
-            spectra.append(np.fft.ifft(series) * length if inverse else np.fft.fft(series))
-        out = np.concatenate(spectra)
+        def spectrum(series):
+            return np.fft.ifft(series) * series.shape[-1] if inverse else np.fft.fft(series)
+
+        whole = ends[-1] - starts[0] == size.sum() and (size == size[0]).all()
+        if whole and (at[starts[0]:ends[-1]].reshape(len(size), -1) == np.arange(size[0])).all():
+            # Full groups of one length: all at once.
+            out = spectrum(values[starts[0]:ends[-1]].reshape(len(size), -1)).ravel()
+        else:
+            spectra = []
+            for start, end, length in zip(starts, ends, size):
+                series = np.zeros(length, dtype=complex)
+                series[at[start:end]] = values[start:end]
+                spectra.append(spectrum(series))
+            out = np.concatenate(spectra)
         return pd.DataFrame({
             **{f: np.repeat(rows[f].to_numpy()[starts], size) for f in fields},
             frequency: np.concatenate([np.arange(length) for length in size]),
@@ -162,12 +170,15 @@ def _fft_grid(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
 
 
 def _with_factor(series: DataFrame, group_rows: int) -> DataFrame:
-    """Add ``_n1``: the smallest factor of n that leaves at most ``group_rows``, if any."""
-    factors = F.expr(
-        f"filter(sequence((n - 1) div {group_rows} + 1, {group_rows}L), m -> n % m = 0)"
-    )
-    fits = F.col("n") <= group_rows * group_rows
-    return series.withColumn("_n1", F.when(F.col("n") <= group_rows, F.lit(1).cast("bigint")).when(fits, F.array_min(factors)))
+    """Add ``_n1``: 1 for a short series, else a power of two near the root that divides n.
+
+    NULL if that leaves a group above ``group_rows``. Cheap enough to be worked out per row.
+    """
+    n = F.col("n")
+    twos = n.bitwiseAND(-n)
+    n1 = F.least(twos, next_pow2(F.sqrt(n.cast("double"))))
+    fits = (n1 <= group_rows) & (n <= n1 * group_rows)
+    return series.withColumn("_n1", F.when(n <= group_rows, F.lit(1).cast("bigint")).when(fits, n1))
 
 
 def _rotated(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:
@@ -193,7 +204,7 @@ def _fft_chirp(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
     sized = series.withColumn("size", F.col("n")).withColumn("n", _padded(F.col("n")))
     turned = sized.select("recording_id", "n", "j", *_rotated(F.col("re"), F.col("im"), chirp("j")))
     one_each = sized.groupBy("recording_id", "n", "size").agg(F.lit(0).cast("bigint").alias("_first")).withColumn("_last", F.col("size") - 1)
-    half = explode_range(one_each, "_first", "_last", "m")
+    half = explode_range(one_each, "_first", "_last", "m", spread_by=["recording_id"])
     both_ends = half.select(
         "recording_id", "n", F.cos(chirp("m")).alias("re"), (-F.sin(chirp("m"))).alias("im"),
         F.explode(F.when(F.col("m") == 0, F.array(F.col("m"))).otherwise(F.array(F.col("m"), F.col("n") - F.col("m")))).alias("j"),
@@ -217,9 +228,9 @@ def fft(series: DataFrame, kinds: Lengths, inverse: bool = False, group_rows: in
     """All bins of each series ``(recording_id, n, j, re, im)`` as ``(recording_id, n, k, re, im)``.
 
     Unscaled both ways. No group is longer than ``group_rows``. A series up to that length
-    is one group. A longer one is arranged as an ``n1 x n2`` grid with ``n = n1 * n2``: the
-    columns are transformed, turned by their twiddle angle, then the rows are transformed.
-    A longer series whose length has no such factors goes through a chirp convolution.
+    is one group. A longer one is arranged as an ``n1 x n2`` grid with ``n = n1 * n2`` and n1
+    a power of two: the columns are transformed, turned by their twiddle angle, then the
+    rows are transformed. Other lengths go through a chirp convolution.
     """
     if not (kinds.grid or kinds.chirp):
         return _fft_short(series, inverse)

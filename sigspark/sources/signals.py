@@ -80,7 +80,7 @@ def write_corpus(signal: DataFrame, recordings: DataFrame, path: str) -> None:
     Sorted by folder, recording and position over even ranges, so a folder of any size is
     written by as many tasks as it needs and each task writes few files.
     """
-    catalogue = lengths(signal).join(recordings, "recording_id")
+    catalogue = lengths(signal).join(recordings, "recording_id", "left")
     joined = attach(with_chunk(signal), catalogue).drop("chunk", "n")
     (
         ordered(joined, "split", "activity")

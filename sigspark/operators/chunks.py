@@ -6,7 +6,7 @@ A recording may hold a third of all rows. Every ordered operator therefore works
 * bounded frames (neighbours, +-d samples) copy the few rows around each chunk edge to
   the neighbouring chunk (:func:`with_halo`) and drop the copies afterwards;
 * unbounded frames (running sums, last value so far) summarise each chunk to one row and
-  carry the summary forward (:func:`carry_in`);
+  carry the summary forward (:func:`carried`);
 * whole-recording figures (length, extent) are joined on ``(recording_id, chunk)`` after
   spreading one row per recording over its chunks (:func:`attach`).
 
@@ -87,16 +87,16 @@ def lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("recording_id").agg(F.max("idx").alias("n"))
 
 
-def carry_in(df: DataFrame, summaries: dict[str, Column], carries: dict[str, Column]) -> DataFrame:
-    """Add what earlier chunks of the recording hand over to each chunk.
+def carried(df: DataFrame, summaries: dict[str, Column], carries: dict[str, Column]) -> DataFrame:
+    """What earlier chunks of the recording hand over to each chunk: one row per chunk.
 
     ``summaries`` are aggregates over one chunk; ``carries`` are aggregates over the
-    summaries of all earlier chunks. ``df`` must carry ``chunk``.
+    summaries of all earlier chunks. ``df`` must carry ``chunk``. Join the result on
+    ``KEY`` after the windows over the chunk, whose partitioning and order it then shares.
     """
     per_chunk = df.groupBy(*KEY).agg(*[c.alias(name) for name, c in summaries.items()])
     earlier = (
         Window.partitionBy("recording_id").orderBy("chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = per_chunk.select(*KEY, *[c.over(earlier).alias(name) for name, c in carries.items()])
-    return df.join(carried, list(KEY))
+    return per_chunk.select(*KEY, *[c.over(earlier).alias(name) for name, c in carries.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.chunks import carry_in, explode_range
+from sigspark.operators.chunks import KEY, carried, chunk_window, explode_range
 
 
 def widen_ranges(ranges: DataFrame, params: list[str]) -> DataFrame:
@@ -62,20 +62,15 @@ def hold_asof(points: DataFrame, steps: DataFrame, span: float) -> DataFrame:
         steps.select("recording_id", "t", F.struct("rr").alias("_held")).withColumn("_is_point", F.lit(0)),
         allowMissingColumns=True,
     ).withColumn("chunk", chunk)
-    marked = carry_in(
+    carry = carried(
         marked,
         {"_last": F.max_by("_held", F.when(F.col("_is_point") == 0, F.col("t")))},
         {"_carried": F.last("_last", ignorenulls=True)},
     )
-    so_far = (
-        Window.partitionBy("recording_id", "chunk").orderBy("t", "_is_point")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    held = F.coalesce(F.last("_held", ignorenulls=True).over(so_far), F.col("_carried"))
-    return (
-        marked.withColumn("_now", held)
-        .where(F.col("_is_point") == 1)
-        .select(*points.columns, F.col("_now.rr").alias("rr"))
+    so_far = chunk_window("t", "_is_point").rowsBetween(Window.unboundedPreceding, 0)
+    held = marked.withColumn("_now", F.last("_held", ignorenulls=True).over(so_far)).where(F.col("_is_point") == 1)
+    return held.join(carry, list(KEY)).select(
+        *points.columns, F.coalesce("_now", "_carried")["rr"].alias("rr")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.chunks import (
-    CHUNK, attach, carry_in, chunk_window, own_rows, with_chunk, with_halo,
+    CHUNK, KEY, attach, carried, chunk_window, own_rows, with_chunk, with_halo,
 )
 
 # Voltage range a recording is scaled to.
@@ -156,13 +156,14 @@ def segments(signal: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def running_sum(signal: DataFrame, value: str, name: str, size: int = CHUNK) -> DataFrame:
     """Sum up to and including each row, along ``idx``."""
-    df = carry_in(
-        with_chunk(signal, size),
-        {"_sum": F.sum(value)}, {"_before": F.sum("_sum")},
-    )
+    df = with_chunk(signal, size)
+    carry = carried(df, {"_sum": F.sum(value)}, {"_before": F.sum("_sum")})
     so_far = chunk_window().rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(value).over(so_far) + F.coalesce("_before", F.lit(0))
-    return df.withColumn(name, total).drop("chunk", "_before")
+    return (
+        df.withColumn(name, F.sum(value).over(so_far)).join(carry, list(KEY))
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+        .drop("chunk", "_before")
+    )
 
 
 def beat_bounds(rr: DataFrame, sf: float, ticks: int = 1_000_000, size: int = CHUNK) -> DataFrame:
@@ -187,17 +188,18 @@ def rr_intervals(signal: DataFrame, size: int = CHUNK) -> DataFrame:
     the number of R marks of earlier chunks are carried in.
     """
     marks = with_chunk(signal.where(F.col("peak") == 3).select("recording_id", "idx", "t"), size)
-    marks = carry_in(
+    carry = carried(
         marks,
         {"_count": F.count(F.lit(1)), "_last": F.max("t")},
         {"_beats": F.sum("_count"), "_prev": F.max("_last")},
     )
     w = chunk_window()
-    return marks.select(
+    inside = marks.withColumns({"_number": F.row_number().over(w), "_lag": F.lag("t").over(w)})
+    return inside.join(carry, list(KEY)).select(
         "recording_id", "idx",
-        (F.coalesce("_beats", F.lit(0)) + F.row_number().over(w)).alias("beat"),
+        (F.coalesce("_beats", F.lit(0)) + F.col("_number")).alias("beat"),
         "t",
-        (F.col("t") - F.coalesce(F.lag("t").over(w), F.col("_prev"))).alias("rr"),
+        (F.col("t") - F.coalesce("_lag", "_prev")).alias("rr"),
     )
 
 

@@ -19,16 +19,16 @@ def annotate(
 ) -> DataFrame:
     """Downsample, mark, snap, scale and add noise to ``(recording_id, idx, x, y, v)``.
 
-    All window steps run on one partitioning: the halo covers the crossing, both reaches
-    of the snap and the scale join, so the samples are shuffled once.
+    All window steps run on one partitioning and order, which the join with the extents
+    shares: the halo covers the crossing and both reaches of the snap, so the samples are
+    shuffled and sorted once.
     """
     d = snap_width(sf_ecg)
     sampled = downsample(state, q).select("recording_id", "idx", phase(F.col("x"), F.col("y")).alias("theta"), "v")
     df = with_halo(sampled, 2 * d + 1, 2 * d + 1, size)
-    df = attach(df, scale_extent(sampled), size)
     df = crossing_columns(df, waves).withColumnRenamed("mark", "peak")
     if d > 0:
         df = snap_columns(df, d)
-    df = own_rows(df, size)
+    df = attach(own_rows(df, size), scale_extent(sampled), size)
     noisy = add_noise(scaled("v"), noise_amp, unit_draw(seed, "recording_id", "idx"))
     return to_samples(df.withColumn("v", noisy), sf_ecg)

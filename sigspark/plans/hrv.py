@@ -9,15 +9,17 @@ from sigspark.operators.chunks import CHUNK
 from sigspark.operators.spectral import band_power, dft
 from sigspark.operators.stats import rr_moments
 from sigspark.operators.windows import rr_intervals
+from sigspark.sources.scratch import scratch_root
 
 
 def hrv_features(signal: DataFrame, kmax: int, bands: dict[str, tuple[float, float]], size: int = CHUNK) -> DataFrame:
     """One row per recording: interval and rate moments, band powers and their ratio.
 
-    Bands are in cycles per beat. The three parts are small (one row per recording) and
-    are joined on the recording.
+    Bands are in cycles per beat. The intervals are a small part of the samples but are
+    read three times, so they are checkpointed; the three parts are one row per recording.
     """
-    rr = rr_intervals(signal, size)
+    scratch_root(signal.sparkSession)
+    rr = rr_intervals(signal, size).select("recording_id", "beat", "rr").checkpoint()
     series = rr.where(F.col("rr").isNotNull()).select(
         "recording_id", (F.col("beat") - 1).alias("idx"), F.col("rr").alias("v")
     )

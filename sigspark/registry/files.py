@@ -12,7 +12,7 @@ from sigspark.operators.samples import to_samples
 from sigspark.registry.base import query, rounded
 from sigspark.registry.ordered import SEGMENTS_SQL
 from sigspark.registry.scalars import NAME_SQL, named_events
-from sigspark.registry.tables import dbl, signal, table, with_signal
+from sigspark.registry.tables import dbl, signal, stored_signal, table, with_signal
 from sigspark.sources import catalog, runlog, signals
 from sigspark.sources.scratch import scratch_path
 from sigspark.streaming.replay import replay_source, replay_windows
@@ -40,7 +40,7 @@ SELECT 'Env' || CAST(CAST(recording_id AS BIGINT) % 4 + 1 AS VARCHAR) AS split,
        count(*) AS n_rows, count(DISTINCT recording_id) AS n_recordings, round(sum(v), 4) AS v_sum
 FROM sig GROUP BY ALL"""))
 def a3_partitioned_corpus(spark, d):
-    sig = signal(spark, d).select("recording_id", "idx", "t", "v", "peak")
+    sig = stored_signal(spark, d).select("recording_id", "idx", "t", "v", "peak")
     user = F.col("recording_id").cast("bigint")
     recordings = sig.select("recording_id").distinct().select(
         "recording_id", F.concat(F.lit("Env"), (user % 4 + 1).cast("string")).alias("split"),

@@ -15,7 +15,7 @@ from sigspark.plans.dataset import plan_dataset, union_plans
 from sigspark.registry.base import query, rounded
 from sigspark.registry.scalars import RANGES_SQL, unit_sql
 from sigspark.registry.tables import (
-    ACTIVITY, CUSTOMER_SCENARIOS, activity, customer_scenarios, dbl, signal, table, with_signal,
+    ACTIVITY, CUSTOMER_SCENARIOS, activity, customer_scenarios, dbl, signal, stored_signal, table, with_signal,
 )
 
 DAY = 86_400.0
@@ -63,7 +63,7 @@ SELECT recording_id, count(rr) AS n_rr, round(avg(rr), 6) AS rr_mean, round(stdd
        round(60 / avg(rr), 9) AS hr_mean, round(60 * stddev_samp(rr) / (avg(rr) * avg(rr)), 9) AS hr_sd
 FROM rr WHERE rr IS NOT NULL GROUP BY recording_id""", RR_SQL))
 def d8_hr_summary(spark, d):
-    return stats.rr_moments(windows.rr_intervals(signal(spark, d))).select(
+    return stats.rr_moments(windows.rr_intervals(stored_signal(spark, d))).select(
         "recording_id", "n_rr", rounded("rr_mean"), rounded("rr_sd"), rounded("hr_mean", 9), rounded("hr_sd", 9)
     )
 
@@ -149,7 +149,7 @@ def e2_snap_peaks(spark, d):
 SELECT recording_id, idx, round((v - min(v) OVER w) * 1.6 / nullif(max(v) OVER w - min(v) OVER w, 0) - 0.4, 6) + 0.0 AS v
 FROM sig WINDOW w AS (PARTITION BY recording_id)"""))
 def e3_minmax(spark, d):
-    return windows.minmax_scale(signal(spark, d)).select("recording_id", "idx", rounded("v"))
+    return windows.minmax_scale(stored_signal(spark, d)).select("recording_id", "idx", rounded("v"))
 
 
 @query("e5_ticks", with_signal("""
@@ -177,7 +177,7 @@ def e7_index(spark, d):
 
 @query("e8_rr_intervals", with_signal("SELECT recording_id, idx, beat, t, rr FROM rr", RR_SQL))
 def e8_rr_intervals(spark, d):
-    return windows.rr_intervals(signal(spark, d))
+    return windows.rr_intervals(stored_signal(spark, d))
 
 
 @query("f2_viewport_slice", with_signal("""
@@ -185,7 +185,7 @@ SELECT recording_id, idx, t, v, x FROM (
   SELECT *, CAST(floor(t / 21600) - floor(first_value(t) OVER (PARTITION BY recording_id ORDER BY idx) / 21600) AS BIGINT) AS x
   FROM sig WHERE idx >= 10) WHERE x <= 50"""))
 def f2_viewport_slice(spark, d):
-    return windows.viewport(signal(spark, d), 10, 50, 21_600.0).select("recording_id", "idx", "t", "v", "x")
+    return windows.viewport(stored_signal(spark, d), 10, 50, 21_600.0).select("recording_id", "idx", "t", "v", "x")
 
 
 @query("f3_decimate", with_signal("""
@@ -224,7 +224,7 @@ SELECT c.recording_id, c.idx, c.t, p.v AS rr
 FROM (SELECT * FROM sig WHERE peak = 2) c ASOF LEFT JOIN (SELECT * FROM sig WHERE peak = 3) p
   ON c.recording_id = p.recording_id AND c.t >= p.t"""))
 def c3_hold_asof(spark, d):
-    sig = signal(spark, d)
+    sig = stored_signal(spark, d)
     points = sig.where(F.col("peak") == 2).select("recording_id", "idx", "t")
     steps = sig.where(F.col("peak") == 3).select("recording_id", "t", F.col("v").alias("rr"))
     return joins.hold_asof(points, steps, DAY)
@@ -234,7 +234,7 @@ def c3_hold_asof(spark, d):
 SELECT a.recording_id, a.idx, (a.idx - 1) / 256e0 AS t, b.v AS rr
 FROM sig a LEFT JOIN sig b ON a.recording_id = b.recording_id AND b.idx = (a.idx - 1) // 2 + 1"""))
 def c3_hold_grid(spark, d):
-    sig = signal(spark, d)
+    sig = stored_signal(spark, d)
     points = sig.select("recording_id", "idx", ((F.col("idx") - 1) / 256.0).alias("t"))
     return joins.hold_on_grid(points, sig.select("recording_id", "idx", F.col("v").alias("rr")), 128)
 
@@ -248,7 +248,7 @@ BEATS_SQL = """beats AS (
 
 def _beats(spark, d):
     """Values as intervals; a tenth of a sample per second, so 1000 hundredths make one."""
-    rr = signal(spark, d).select("recording_id", "idx", F.col("v").alias("rr"))
+    rr = stored_signal(spark, d).select("recording_id", "idx", F.col("v").alias("rr"))
     return windows.beat_bounds(rr, 0.1, ticks=100)
 
 
@@ -325,5 +325,5 @@ f"""reach AS (
   FROM (SELECT *, step + 1 AS i, CASE WHEN marks[step + 1] IN (1, 3, 5) THEN ups[step + 1] ELSE downs[step + 1] END AS target FROM walk)
   WHERE i <= len(marks))""").removeprefix("WITH "))
 def k6_snap_exact(spark, d):
-    sig = signal(spark, d).select("recording_id", "idx", "v", "peak")
+    sig = stored_signal(spark, d).select("recording_id", "idx", "v", "peak")
     return snap_peaks_exact(sig, SNAP).select("recording_id", "idx", "peak")

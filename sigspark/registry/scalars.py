@@ -16,7 +16,7 @@ from sigspark.operators.windows import match_moments
 from sigspark.plans.dataset import explode_waves, with_defaults
 from sigspark.registry.base import query, rounded
 from sigspark.registry.tables import (
-    ACTIVITY, activity, dbl, signal, table, values, with_signal,
+    ACTIVITY, activity, dbl, signal, stored_signal, table, values, with_signal,
 )
 
 WAVE_SQL = values(schema.DEFAULT_WAVES)
@@ -138,7 +138,7 @@ def h10_spectrum(spark, d):
 SELECT recording_id, idx, round(v * 0.25 / nullif(stddev_samp(v) OVER (PARTITION BY recording_id), 0) + 1.5, 6) + 0.0 AS v
 FROM sig"""))
 def h11_match_moments(spark, d):
-    out = match_moments(signal(spark, d).select("recording_id", "idx", "v"), F.lit(1.5), F.lit(0.25))
+    out = match_moments(stored_signal(spark, d).select("recording_id", "idx", "v"), F.lit(1.5), F.lit(0.25))
     return out.select("recording_id", "idx", rounded("v"))
 
 
@@ -203,7 +203,7 @@ SELECT recording_id, k, n, round(CASE WHEN k = 0 OR 2 * k = n THEN 0 WHEN 2 * k
 FROM (SELECT *, 2 * pi() * {unit_sql('5', 'recording_id', 'least(k, n - k)')} AS p
       FROM (SELECT recording_id, idx - 1 AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM sig))"""))
 def h18_phase_mirror(spark, d):
-    sig = signal(spark, d).select("recording_id", "idx")
+    sig = stored_signal(spark, d).select("recording_id", "idx")
     bins = attach(with_chunk(sig), lengths(sig)).select("recording_id", (F.col("idx") - 1).alias("k"), "n")
     phase = draws.mirrored_phase(5, "recording_id", "k", "n")
     return bins.select("recording_id", "k", "n", rounded(phase, 9).alias("phase"))

@@ -12,7 +12,7 @@ from sigspark.plans.surrogate import surrogate
 from sigspark.registry.base import query, rounded
 from sigspark.registry.ordered import ANGLES, DAY, RR_SQL, SNAP, _crossing_sql, snap_sql
 from sigspark.registry.scalars import unit_sql
-from sigspark.registry.tables import signal, with_signal
+from sigspark.registry.tables import stored_signal, with_signal
 
 KMAX = 8
 BANDS = {"lf": (0.0, 0.06), "hf": (0.06, 0.13)}
@@ -32,7 +32,7 @@ def dft_sql(source: str, name: str, last: str) -> str:
 SELECT recording_id, n, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM spec WHERE k >= 1""",
     dft_sql("sig", "spec", str(KMAX + 1))))
 def d4_dft(spark, d):
-    return spectral.dft(signal(spark, d), KMAX).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
+    return spectral.dft(stored_signal(spark, d), KMAX).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
 
 
 @query("d5_idft", with_signal("""
@@ -40,7 +40,7 @@ SELECT recording_id, j + 1 AS idx, round(sum(re * cos(2 * pi() * (k * j % n) / n
 FROM (SELECT *, unnest(range(n)) AS j FROM spec) GROUP BY recording_id, n, j""",
     dft_sql("sig", "spec", "n")))
 def d5_idft(spark, d):
-    sig = signal(spark, d)
+    sig = stored_signal(spark, d)
     kinds = spectral.survey_lengths(lengths(sig))
     return spectral.idft(spectral.dft_fast(sig, kinds=kinds), kinds=kinds).select("recording_id", "idx", rounded("v", 5))
 
@@ -57,7 +57,7 @@ SELECT recording_id, round(lf, 3) + 0.0 AS lf_power, round(hf, 3) + 0.0 AS hf_po
 FROM (SELECT recording_id, {band_sql(BANDS, "lf")} AS lf, {band_sql(BANDS, "hf")} AS hf FROM spec WHERE k >= 1 GROUP BY recording_id)""",
     dft_sql("sig", "spec", str(KMAX + 1))))
 def d6_band_ratio(spark, d):
-    return spectral.band_power(spectral.dft(signal(spark, d), KMAX), BANDS, 1.0).select(
+    return spectral.band_power(spectral.dft(stored_signal(spark, d), KMAX), BANDS, 1.0).select(
         "recording_id", rounded("lf_power", 3), rounded("hf_power", 3), rounded("lf_hf_ratio")
     )
 
@@ -66,7 +66,7 @@ def d6_band_ratio(spark, d):
 SELECT recording_id, n, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM spec""",
     dft_sql("sig", "spec", "n")))
 def k5_dft_fast(spark, d):
-    return spectral.dft_fast(signal(spark, d)).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
+    return spectral.dft_fast(stored_signal(spark, d)).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
 
 
 @query("k2_surrogate", with_signal("""
@@ -81,7 +81,7 @@ FROM back JOIN (SELECT recording_id, avg(v) AS target_mean, stddev_samp(v) AS ta
   SELECT recording_id, n, j, sum(amp * cos(ph) * cos(2 * pi() * (k * j % n) / n) - amp * sin(ph) * sin(2 * pi() * (k * j % n) / n)) / n AS w
   FROM (SELECT *, unnest(range(n)) AS j FROM phased) GROUP BY recording_id, n, j)"""))
 def k2_surrogate(spark, d):
-    out = surrogate(signal(spark, d).select("recording_id", "idx", "v"), 9)
+    out = surrogate(stored_signal(spark, d).select("recording_id", "idx", "v"), 9)
     return out.select("recording_id", "idx", rounded("v", 5))
 
 
@@ -97,7 +97,7 @@ WINDOW w AS (PARTITION BY s.recording_id)""",
     "marked AS (SELECT s.recording_id, s.idx, s.v, coalesce(m.code, 0) AS peak FROM src s LEFT JOIN marks m USING (recording_id, idx))",
     snap_sql("marked", SNAP)))
 def k3_annotate(spark, d):
-    state = signal(spark, d).select("recording_id", "idx", F.cos("v").alias("x"), F.sin("v").alias("y"), "v")
+    state = stored_signal(spark, d).select("recording_id", "idx", F.cos("v").alias("x"), F.sin("v").alias("y"), "v")
     out = annotate(state, list(ANGLES), 2, 256, 0.1, 11)
     return out.select("recording_id", "idx", "t", rounded("v"), "peak")
 
@@ -114,7 +114,7 @@ LEFT JOIN (SELECT recording_id, {band_sql(BEAT_BANDS, "lf")} AS lf, {band_sql(BE
     "series AS (SELECT recording_id, beat - 1 AS idx, rr AS v FROM rr WHERE rr IS NOT NULL)",
     dft_sql("series", "spec", "6")))
 def k4_hrv_features(spark, d):
-    days = signal(spark, d).withColumn("t", F.col("t") / DAY)
+    days = stored_signal(spark, d).withColumn("t", F.col("t") / DAY)
     out = hrv_features(days, 5, BEAT_BANDS)
     return out.select("recording_id", "n_samples", *[c if c == "n_rr" else rounded(c) for c in (
         "n_rr", "rr_mean", "rr_sd", "hr_mean", "hr_sd", "lf_power", "hf_power", "lf_hf_ratio")])

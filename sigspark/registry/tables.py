@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.clock import epoch_micros
 from sigspark.operators.index import with_index
+from sigspark.sources.scratch import scratch_path
 
 # Event types in peak-code order 1..5; the middle one stands for R.
 EVENT_CODES = ("view", "click", "purchase", "signup", "error")
@@ -36,6 +37,14 @@ def signal(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
 
 
+def stored_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same signal, numbered once and written as a table, for operators that read it twice."""
+    rows = signal(spark, sf_dir)
+    path = scratch_path(spark, "signal")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 SIGNAL = """sig AS (
   SELECT CAST(user_id AS VARCHAR) AS recording_id,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,

@@ -59,13 +59,26 @@ def snap_width(sf_ecg: int) -> int:
     return sf_ecg // SNAP_DIVISOR
 
 
+def _reach(column: str, d: int) -> list[Column]:
+    """The column at -d, ..., 0, ..., +d samples, NULL beyond the ends."""
+    w = chunk_window()
+    return [F.lag(column, -k).over(w) if k else F.col(column) for k in range(-d, d + 1)]
+
+
 def extreme_columns(df: DataFrame, d: int, value: str = "v") -> DataFrame:
-    """``max_idx``/``min_idx``: first place of the largest/smallest value within +-d samples."""
-    frame = chunk_window().rowsBetween(-d, d)
-    return df.withColumns({
-        "max_idx": -F.max(F.struct(F.col(value), -F.col("idx"))).over(frame)["col2"],
-        "min_idx": F.min(F.struct(F.col(value), F.col("idx"))).over(frame)["idx"],
-    })
+    """``max_idx``/``min_idx``: first place of the largest/smallest value within +-d samples.
+
+    The neighbours are fetched by offset, which is much cheaper than an aggregate over a
+    sliding frame of records.
+    """
+    near = [f"_near{k}" for k in range(2 * d + 1)]
+    df = df.withColumns(dict(zip(near, _reach(value, d))))
+
+    def first_place(best) -> Column:
+        values = F.array(*near)
+        return F.col("idx") + F.array_position(values, best(values)) - (d + 1)
+
+    return df.withColumns({"max_idx": first_place(F.array_max), "min_idx": first_place(F.array_min)}).drop(*near)
 
 
 def local_extremes(signal: DataFrame, d: int, size: int = CHUNK) -> DataFrame:
@@ -76,14 +89,16 @@ def snap_columns(df: DataFrame, d: int, mark: str = "peak", value: str = "v") ->
     """Replace ``mark`` by the snapped marks on chunked rows (needs a halo of 2d)."""
     df = extreme_columns(df, d, value)
     target = F.when(F.col(mark).isin(1, 3, 5), F.col("max_idx")).when(F.col(mark).isin(2, 4), F.col("min_idx"))
-    sent = F.struct(F.col("idx").alias("from_idx"), F.col("_target").alias("to_idx"), F.col(mark).alias("code"))
-    frame = chunk_window().rowsBetween(-d, d)
-    df = df.withColumn("_target", target)
-    df = df.withColumn("_sent", F.collect_list(F.when(F.col("_target").isNotNull(), sent)).over(frame))
-    arrived = F.array_max(F.filter("_sent", lambda m: m["to_idx"] == F.col("idx")))
+    # Target and code in one number, fetched from every neighbour; the latest sender wins.
+    df = df.withColumn("_sent", target * 8 + F.col(mark))
+    arrived = [
+        F.when(F.floor(sent / 8) == F.col("idx"), F.pmod(sent, F.lit(8)).cast("int"))
+        for sent in reversed([F.col(f"_from{k}") for k in range(2 * d + 1)])
+    ]
+    df = df.withColumns({f"_from{k}": sent for k, sent in enumerate(_reach("_sent", d))})
     return (
-        df.withColumn(mark, F.coalesce(arrived["code"], F.lit(0)))
-        .drop("_sent", "_target", "max_idx", "min_idx")
+        df.withColumn(mark, F.coalesce(*arrived, F.lit(0)))
+        .drop("_sent", "max_idx", "min_idx", *[f"_from{k}" for k in range(2 * d + 1)])
     )
 
 

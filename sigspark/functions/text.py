@@ -37,25 +37,13 @@ def recording_name(instant: Column, label: Column, activity: Column, sample_no:
     )
 
 
-def parse_name(name: Column) -> Column:
-    """Struct ``(ts, label, activity, sample_no)`` of a ``.csv`` file name.
+def name_parts(name: Column) -> Column:
+    """Time, label, activity and, in the full form, counter of a ``.csv`` file name.
 
-    The full form ends in a counter; the three-part form has none and gives NULL there.
-    A name of neither form gives NULL.
+    An array of 4 or 3 texts; a name of neither form gives an array of 1. Each pattern is
+    matched once, however many parts are used.
     """
-    def part(pattern, group):
-        return F.regexp_extract(name, pattern, group)
-
-    full = F.struct(
-        part(NAME_PATTERN, 1).alias("ts"),
-        part(NAME_PATTERN, 2).try_cast("int").alias("label"),
-        part(NAME_PATTERN, 3).alias("activity"),
-        part(NAME_PATTERN, 4).try_cast("int").alias("sample_no"),
-    )
-    short = F.struct(
-        part(SHORT_NAME_PATTERN, 1).alias("ts"),
-        part(SHORT_NAME_PATTERN, 2).try_cast("int").alias("label"),
-        part(SHORT_NAME_PATTERN, 3).alias("activity"),
-        F.lit(None).cast("int").alias("sample_no"),
-    )
-    return F.when(name.rlike(NAME_PATTERN), full).when(name.rlike(SHORT_NAME_PATTERN), short)
+    mark = "\u0001"
+    full = F.regexp_replace(name, NAME_PATTERN, mark.join(("$1", "$2", "$3", "$4")))
+    either = F.regexp_replace(full, SHORT_NAME_PATTERN, mark.join(("$1", "$2", "$3")))
+    return F.split(either, mark)

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.functions.text import parse_name
+from sigspark.functions.text import name_parts
 from sigspark.schema import values_table
 
 
 def catalog_of(names: DataFrame, column: str = "file_name") -> DataFrame:
     """Catalogue columns beside each file name; names of another form are left out."""
+    parts = F.col("_parts")
     return (
-        names.withColumn("_p", parse_name(F.col(column))).where(F.col("_p").isNotNull())
-        .withColumn("recording_id", F.regexp_replace(column, r"\.csv$", ""))
-        .select("*", "_p.*").drop("_p")
+        names.withColumn("_parts", name_parts(F.col(column))).where(F.size("_parts") >= 3)
+        .withColumns({
+            "recording_id": F.regexp_replace(column, r"\.csv$", ""),
+            "ts": parts[0],
+            "label": parts[1].try_cast("int"),
+            "activity": parts[2],
+            "sample_no": F.try_element_at(parts, F.lit(4)).try_cast("int"),
+        })
+        .drop("_parts")
     )
 
 

@@ -70,7 +70,7 @@ def d8_hr_summary(spark, d):
 
 # --- windows --------------------------------------------------------------------
 
-def _crossing_sql(source: str, levels) -> str:
+def crossing_sql(source: str, levels) -> str:
     """Pairs of neighbours, then the last write per sample."""
     hit = " ".join(f"WHEN theta <= {dbl(p)} AND {dbl(p)} <= nxt THEN {i}" for i, p in enumerate(levels, start=1))
     near = " ".join(
@@ -84,7 +84,7 @@ marks AS (SELECT recording_id, target AS idx, arg_max(code, pair_idx) AS code FR
 
 @query("e1_crossing", with_signal("""
 SELECT s.recording_id, s.idx, coalesce(m.code, 0) AS mark FROM src s LEFT JOIN marks m USING (recording_id, idx)""",
-    "src AS (SELECT recording_id, idx, v AS theta FROM sig)", _crossing_sql("src", LEVELS)))
+    "src AS (SELECT recording_id, idx, v AS theta FROM sig)", crossing_sql("src", LEVELS)))
 def e1_crossing(spark, d):
     sig = signal(spark, d).select("recording_id", "idx", F.col("v").alias("theta"))
     return windows.mark_crossings(sig, list(LEVELS)).select("recording_id", "idx", "mark")
@@ -93,7 +93,7 @@ def e1_crossing(spark, d):
 @query("e1_crossing_phase", f"""
 WITH src AS (SELECT label AS recording_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx,
                     atan2(CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE)) AS theta FROM embeddings),
-{_crossing_sql("src", ANGLES)}
+{crossing_sql("src", ANGLES)}
 SELECT s.recording_id, s.idx, coalesce(m.code, 0) AS mark FROM src s LEFT JOIN marks m USING (recording_id, idx)""")
 def e1_crossing_phase(spark, d):
     e = F.col("embedding")

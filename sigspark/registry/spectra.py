@@ -10,7 +10,7 @@ from sigspark.plans.annotate import annotate
 from sigspark.plans.hrv import hrv_features
 from sigspark.plans.surrogate import surrogate
 from sigspark.registry.base import query, rounded
-from sigspark.registry.ordered import ANGLES, DAY, RR_SQL, SNAP, _crossing_sql, snap_sql
+from sigspark.registry.ordered import ANGLES, DAY, RR_SQL, SNAP, crossing_sql, snap_sql
 from sigspark.registry.scalars import unit_sql
 from sigspark.registry.tables import stored_signal, with_signal
 
@@ -93,7 +93,7 @@ SELECT s.recording_id, s.idx, (s.idx - 1) / 256e0 AS t,
 FROM src s LEFT JOIN snapped p ON s.recording_id = p.recording_id AND s.idx = p.idx
 WINDOW w AS (PARTITION BY s.recording_id)""",
     "src AS (SELECT recording_id, (idx - 1) // 2 + 1 AS idx, v, atan2(sin(v), cos(v)) AS theta FROM sig WHERE (idx - 1) % 2 = 0)",
-    _crossing_sql("src", ANGLES),
+    crossing_sql("src", ANGLES),
     "marked AS (SELECT s.recording_id, s.idx, s.v, coalesce(m.code, 0) AS peak FROM src s LEFT JOIN marks m USING (recording_id, idx))",
     snap_sql("marked", SNAP)))
 def k3_annotate(spark, d):

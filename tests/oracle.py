@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from collections import Counter
@@ -32,9 +31,8 @@ def connect(sf_dir: str):
 
 
 def _cell(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else v
-    return v
+    # As text, so that 0.0 and -0.0 count as different.
+    return repr(v) if isinstance(v, float) else v
 
 
 def bag(rows, order) -> Counter:

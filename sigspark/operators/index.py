@@ -15,46 +15,70 @@ MAX_HOT_KEYS = 1 << 16
 FINENESS = 16
 
 
+def cut_keys(
+    df: DataFrame, keys: list[str], order: list[str], piece_rows: int = PIECE_ROWS, cut_along: list[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Add piece numbers that cut hot keys along their order; also the new columns' names.
+
+    ``cut_along`` lists the order columns to cut by, one cut inside the other: by default the
+    first one. Name it twice to cut dense stretches again, and a later order column to cut
+    rows that agree in the earlier ones.
+    """
+    pieces: list[str] = []
+    share = df.agg(F.count(F.lit(1)) / MAX_HOT_KEYS).scalar()
+    for level, column in enumerate(cut_along or order[:1]):
+        group, piece = [*keys, *pieces], f"_piece{level}"
+        axis = number_axis(df, column).cast("double")
+        # A later order column only orders rows that agree in all earlier ones.
+        agree = F.lit(True)
+        for earlier in order[:order.index(column)]:
+            agree = agree & (F.min(earlier) == F.max(earlier))
+        counts = df.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi"), agree.alias("_agree")
+        )
+        hot = counts.where((F.col("_n") > piece_rows) & (F.col("_n") >= share) & F.col("_agree")).select(
+            *group, "_lo",
+            ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") * FINENESS / piece_rows)).alias("_width"),
+        )
+        df = (
+            df.join(F.broadcast(hot), group, "left")
+            # Rows without an order value sort first.
+            .withColumn(piece, F.when(
+                F.col("_width") > 0, F.coalesce(F.floor((axis - F.col("_lo")) / F.col("_width")), F.lit(-1))
+            ).otherwise(F.lit(0).cast("bigint")))
+        )
+        # A key is cut if its first level is.
+        df = df.withColumnRenamed("_width", "_cut") if level == 0 else df.drop("_width")
+        df = df.drop("_lo")
+        pieces.append(piece)
+    return df, pieces
+
+
 def with_index(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     name: str = "idx",
     piece_rows: int = PIECE_ROWS,
+    cut_along: list[str] | None = None,
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... along ``order`` (which must be a total order).
 
-    Small keys are numbered in one window each. A hot key is cut along its first order
-    column into pieces; rows are numbered inside a piece and shifted by the row count of
-    the pieces before it.
+    Small keys are numbered in one window each. A hot key is cut into pieces, see
+    :func:`cut_keys`; rows are numbered inside a piece and shifted by the row count of the
+    pieces before it.
     """
-    axis = number_axis(df, order[0]).cast("double")
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
-    )
-    share = df.agg(F.count(F.lit(1)) / MAX_HOT_KEYS).scalar()
-    hot = counts.where((F.col("_n") > piece_rows) & (F.col("_n") >= share)).select(
-        *keys, "_lo",
-        ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") * FINENESS / piece_rows)).alias("_width"),
-    )
-    cut = (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_piece", F.when(
-            F.col("_width") > 0, F.floor((axis - F.col("_lo")) / F.col("_width"))
-        ).otherwise(F.lit(0).cast("bigint")))
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    cut, pieces = cut_keys(df, keys, order, piece_rows, cut_along)
+    before = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        cut.where(F.col("_width").isNotNull())
-        .groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_piece", F.sum("_rows").over(before).alias("_shift"))
+        cut.where(F.col("_cut").isNotNull())
+        .groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*keys, *pieces, F.sum("_rows").over(before).alias("_shift"))
     )
-    in_piece = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
+    in_piece = F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order))
     return (
         cut.withColumn("_pos", in_piece)
-        .join(shifts, [*keys, "_piece"], "left")
+        .join(shifts, [*keys, *pieces], "left")
         .withColumn(name, F.col("_pos") + F.coalesce("_shift", F.lit(0)))
         .select(*df.columns, name)
     )

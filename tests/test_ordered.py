@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sigspark.operators import joins, spectral, stats, windows
 from sigspark.operators.chunks import explode_range
-from sigspark.operators.index import with_index
+from sigspark.operators.index import cut_keys, with_index
 from sigspark.operators.snap_exact import snap_peaks_exact
 from sigspark.plans.annotate import annotate
 from sigspark.plans.surrogate import surrogate
@@ -65,10 +65,22 @@ def test_with_index_cuts_hot_keys(spark, rows):
         assert out.count() == len(rows)
 
 
-def test_with_index_breaks_ties_inside_one_instant(spark):
-    df = spark.createDataFrame([("k", 1.0, i) for i in range(20)] + [("k", 2.0, 20)], "k string, t double, id bigint")
-    out = with_index(df, ["k"], ["t", "id"], piece_rows=4)
-    assert out.where("idx <> id + 1").count() == 0
+def test_with_index_cuts_ties_and_dense_stretches(spark):
+    # One instant holds half of the key, and a thousandth of its span another quarter.
+    rows = [("k", 1.0, i) for i in range(64)] + [("k", 2.0 + i / 32_000, i) for i in range(32)] + [("k", 100.0 + i, i) for i in range(32)]
+    rows = [(*r, n) for n, r in enumerate(rows, start=1)]
+    df = spark.createDataFrame(rows, "k string, t double, id bigint, want bigint").repartition(5)
+    cuts = {None: 96, ("t", "t"): 64, ("t", "t", "id"): 4}
+    for cut_along, largest in cuts.items():
+        out = with_index(df, ["k"], ["t", "id"], piece_rows=4, cut_along=cut_along and list(cut_along))
+        assert out.where("idx <> want").count() == 0 and out.count() == len(rows)
+        cut, pieces = cut_keys(df, ["k"], ["t", "id"], 4, cut_along and list(cut_along))
+        assert cut.groupBy("k", *pieces).count().agg(F.max("count")).first()[0] <= largest
+
+
+def test_with_index_puts_rows_without_order_first(spark):
+    df = spark.createDataFrame([("k", None if i < 3 else float(i), i) for i in range(20)], "k string, t double, id bigint")
+    assert with_index(df, ["k"], ["t", "id"], piece_rows=4).where("idx <> id + 1").count() == 0
 
 
 def test_with_index_rejects_text_order(spark):

@@ -14,9 +14,11 @@ def scratch_root(spark: SparkSession) -> str:
     Only a session without one (a local test) gets a temporary folder.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sigspark-")
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+        or tempfile.mkdtemp(prefix="sigspark-")
+    )
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

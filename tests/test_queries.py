@@ -17,7 +17,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql()) and len(QUERIES) >= 60
+    assert set(QUERIES) == set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries()) and len(QUERIES) >= 60
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sigspark.llm import minhash
 from sigspark.llm.common import table
+from sigspark.llm.mixing import copies
+from sigspark.llm.sharding import into_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,3 +47,48 @@ JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id"""
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_hypergeometric_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return into_shards(docs, shards=40).select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+OP10_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS BIGINT) AS size,
+    CAST(('0x' || substr(md5(concat_ws('|', '10', doc_id, md5(coalesce(text, '')))), 1, 8)) AS BIGINT) AS u FROM documents),
+s AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size,
+    1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+f AS (SELECT *, 3 * source_size / CAST(weight AS DOUBLE) AS filled,
+    sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS share
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT rest, share, filled FROM f WHERE CAST(rest AS DOUBLE) / share <= filled ORDER BY filled, source NULLS LAST LIMIT 1),
+t AS (SELECT f.*, CASE WHEN k.rest IS NULL OR f.filled < k.filled THEN CAST(3 * f.source_size AS DOUBLE)
+    ELSE CAST(k.rest AS DOUBLE) * f.weight / CAST(k.share AS DOUBLE) END AS target FROM f LEFT JOIN k ON true),
+p AS (SELECT source, n, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+q AS (SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS missing,
+    CASE WHEN p.source_size > 0 THEN (p.target - p.whole * p.source_size) / p.source_size ELSE 0 END AS part,
+    d.size * p.n > p.source_size AS long FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+r AS (SELECT *, row_number() OVER w AS pos, sum(size) OVER w AS words, count(*) OVER (PARTITION BY source, long) AS m
+  FROM q WINDOW w AS (PARTITION BY source, long ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, long AND pos <= floor(m * part + 0.5) AS drawn FROM r),
+o AS (SELECT *, coalesce(sum(size) FILTER (drawn) OVER (PARTITION BY source), 0) AS long_words FROM z)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN long THEN drawn ELSE 2 * words - size <= 2 * (missing - long_words) END::INT) AS BIGINT) AS taken FROM o"""
+
+
+@query("op10_pareto_mix", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    )
+    taken = copies(docs, F.col("size"), F.col("source"), [F.col("doc_id"), F.col("digest")])
+    return taken.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import minhash
-from sigspark.llm.common import table
+from sigspark.llm import chat, minhash
+from sigspark.llm.common import stored, table
 from sigspark.llm.mixing import copies
 from sigspark.llm.sharding import into_shards
 
@@ -92,3 +92,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     taken = copies(docs, F.col("size"), F.col("source"), [F.col("doc_id"), F.col("digest")])
     return taken.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+EXTRA_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+_ESCAPES = ("replace(replace(replace(replace({0}, '%', '%25'), '<', '%3C'), '[', '%5B'), ']', '%5D')")
+OP4_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length({_ESCAPES.format('role')}) + 2 + length({_ESCAPES.format('text')}) + 5) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@query("op4_chat_assembly", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame(EXTRA_TURNS, "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(stored(chat.formatted(turns), "chat"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, minhash, repeats, substrings
+from sigspark.llm import chat, decontaminate, minhash, repeats, substrings
 from sigspark.llm.common import stored, table
 from sigspark.llm.mixing import copies
 from sigspark.llm.sharding import into_shards
@@ -152,3 +152,10 @@ FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id"""
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_greedy_tiling")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaking(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "item_id", "item_words", "covered_words", "tiles")

@@ -19,8 +19,8 @@ _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def plain_words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words without ASCII punctuation."""
-    return (text or "").encode().lower().translate(None, _SIGNS).split()
+    """Lower-cased words without ASCII punctuation."""
+    return (text or "").lower().encode().translate(None, _SIGNS).split()
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:

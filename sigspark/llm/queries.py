@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, decontaminate, minhash, repeats, substrings
+from sigspark.llm import chat, decontaminate, minhash, quality, repeats, substrings
 from sigspark.llm.common import stored, table
 from sigspark.llm.mixing import copies
 from sigspark.llm.sharding import into_shards
@@ -159,3 +159,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.leaking(docs, table(spark, sf_dir, "benchmark"))
     return found.select("row.doc_id", "item_id", "item_words", "covered_words", "tiles")
+
+
+@query("op3_co_training")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"), "kept")

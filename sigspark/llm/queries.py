@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, decontaminate, minhash, quality, repeats, substrings
+from sigspark.llm import chat, decontaminate, minhash, quality, repeats, search, substrings
 from sigspark.llm.common import stored, table
 from sigspark.llm.mixing import copies
 from sigspark.llm.sharding import into_shards
@@ -165,3 +165,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("row.doc_id", F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"), "kept")
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS w FROM documents),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+g AS (SELECT count(*) AS n, sum(len(w)) / CAST(count(*) AS DOUBLE) AS mean FROM d),
+f AS (SELECT t, ln(1 + (g.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY t, g.n),
+s AS (SELECT q.doc_id AS query_id, p.doc_id, CAST(sum(floor(1000 * (f.idf * (p.tf * 2.2::DOUBLE) / (p.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(d.w) / g.mean))) + 0.5)) AS BIGINT) AS score
+  FROM p q JOIN p ON p.t = q.t AND q.doc_id % 100 = 0 JOIN f ON f.t = p.t JOIN d ON d.doc_id = p.doc_id, g GROUP BY ALL),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score >= 1)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+@query("op2_block_max_search", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return search.top_k(docs, docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, decontaminate, minhash, quality, repeats, search, substrings
+from sigspark.llm import chat, decontaminate, minhash, quality, repeats, search, substrings, tokenids
 from sigspark.llm.common import stored, table
 from sigspark.llm.mixing import copies
 from sigspark.llm.sharding import into_shards
@@ -182,3 +182,11 @@ SELECT * FROM r WHERE rank <= 10"""
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return search.top_k(docs, docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+@query("op6_context_mixing_ids")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenids.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)

@@ -76,6 +76,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     done.append((now, np.packbits(twice, bitorder="little").tobytes()))
                 now, seen, twice = block, np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
+            if block is None:
+                break
             part = np.frombuffer(counts, np.uint32)
             place = part & np.uint32(BLOCK - 1)
             twice[place] |= seen[place] | (part >> np.uint32(31)).astype(bool)

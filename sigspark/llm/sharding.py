@@ -42,8 +42,7 @@ def _draw(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
         return min(sample, good)
     if good + bad < 10**9:
         return int(draw.hypergeometric(good, bad, sample))
-    # Halve the population: the sample's part from one half is drawn from the normal limit,
-    # whose error at this size is far below one row in a thousand draws.
+    # The normal limit of the draw: counts stay exact, only the odds of this size are rounded.
     n, p = good + bad, good / (good + bad)
     spread = math.sqrt(sample * p * (1 - p) * (n - sample) / (n - 1))
     return int(min(max(round(draw.normal(sample * p, spread)), max(0, sample - bad)), min(good, sample)))
@@ -54,7 +53,7 @@ def into_shards(docs: DataFrame, shards: int = 40, seed: int = 7, piece_rows: in
 
     Every order of all rows is as likely as any other; shard counts differ by one at most and
     ``slot`` runs from 0 without a gap in each. Rows get a partition by a digest of their
-    columns (about ``piece_rows`` rows each). How many go from each partition to each shard is
+    columns (64 partitions, or as many as leave about ``piece_rows`` rows to each). How many go from each partition to each shard is
     drawn first; then each partition orders its rows at random and deals them out by those
     counts, and each shard orders what it got at random, in pieces of about ``piece_rows``.
 
@@ -66,7 +65,7 @@ def into_shards(docs: DataFrame, shards: int = 40, seed: int = 7, piece_rows: in
     """
     names = docs.columns
     total = docs.count()
-    parts = max(1, math.ceil(total / piece_rows))
+    parts = max(64, math.ceil(total / piece_rows))
     subs = max(1, math.ceil(total / shards / piece_rows))
     digest = lambda k: F.xxhash64(F.lit(seed), F.lit(k), *[F.col(f"row.`{c}`") for c in names])
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("part", F.pmod(digest(0), F.lit(parts)).cast("int"))

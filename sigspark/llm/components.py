@@ -14,7 +14,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has columns ``hi`` > ``lo`` of any ordered type. Neighbourhoods are never
     gathered: each step is a minimum per node (combined before the shuffle) and a join,
     whose skewed partitions adaptive execution splits. Every round is written to the shared
-    scratch folder, so a lost executor costs one round. Runs jobs until a round changes nothing.
+    scratch folder, so a lost executor costs one round. Runs jobs until every edge leads
+    straight to a root.
     """
-    now, mark = stored(edges.filter("hi > lo").distinct(), "edges"), None
+    now = stored(edges.filter("hi > lo").distinct(), "edges")
     while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("s")).first()
-        if seen == mark or seen["n"] == 0:
+        low = now.select(F.col("lo").alias("hi")).distinct()
+        forked = now.groupBy("hi").agg(F.count("*").alias("n")).join(low.withColumn("is_low", F.lit(True)), "hi", "left")
+        if forked.filter("n > 1 OR is_low").isEmpty():
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        mark = seen
         now = stored(_small_star(_large_star(now)), "edges")

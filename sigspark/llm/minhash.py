@@ -220,7 +220,7 @@ def links(
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 80,
-    bands: int = 32, rows: int = 4, seed: int = 1, star_rounds: int = 2,
+    bands: int = 32, rows: int = 4, seed: int = 1, star_rounds: int = 1,
 ) -> DataFrame:
     """``(doc_id, text_key, n_shingles, component_id, kept)``, one row per row of ``docs``.
 

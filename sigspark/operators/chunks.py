@@ -20,14 +20,26 @@ from pyspark.sql import functions as F
 
 CHUNK = 65_536
 KEY = ("recording_id", "chunk")
+# Stands for a recording without a name between cutting and the result, so that its rows
+# keep their key in joins as they do in windows.
+NAMELESS = "\0"
 
 
 def chunk_of(size: int = CHUNK, idx: str = "idx") -> Column:
     return F.expr(f"({idx} - 1) div {size}")
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("recording_id", F.coalesce("recording_id", F.lit(NAMELESS)))
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("recording_id", F.nullif(F.col("recording_id"), F.lit(NAMELESS)))
+
+
 def with_chunk(df: DataFrame, size: int = CHUNK) -> DataFrame:
-    return df.withColumn("chunk", chunk_of(size))
+    """Add ``chunk`` and key nameless recordings; :func:`unkeyed` undoes the latter."""
+    return keyed(df).withColumn("chunk", chunk_of(size))
 
 
 def with_halo(df: DataFrame, before: int, after: int, size: int = CHUNK) -> DataFrame:
@@ -37,7 +49,7 @@ def with_halo(df: DataFrame, before: int, after: int, size: int = CHUNK) -> Data
     """
     first = F.expr(f"greatest(0L, (idx - 1 - {after}) div {size})")
     last = F.expr(f"(idx - 1 + {before}) div {size}")
-    return df.withColumn("chunk", F.explode(F.sequence(first, last)))
+    return keyed(df).withColumn("chunk", F.explode(F.sequence(first, last)))
 
 
 def own_rows(df: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -77,7 +89,7 @@ def attach(df: DataFrame, per_recording: DataFrame, size: int = CHUNK, n: str =
     to one row per chunk, so a hot recording's rows are joined in as many tasks as it has
     chunks. ``df`` must already carry ``chunk``.
     """
-    spread = per_recording.withColumn("_last", F.expr(f"({n} - 1) div {size}")).withColumn("_zero", F.lit(0).cast("bigint"))
+    spread = keyed(per_recording).withColumn("_last", F.expr(f"({n} - 1) div {size}")).withColumn("_zero", F.lit(0).cast("bigint"))
     spread = explode_range(spread, "_zero", "_last", "chunk").drop("_zero", "_last")
     return df.join(spread, list(KEY))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.chunks import KEY, carried, chunk_window, explode_range
+from sigspark.operators.chunks import KEY, carried, chunk_window, explode_range, keyed, unkeyed
 
 
 def widen_ranges(ranges: DataFrame, params: list[str]) -> DataFrame:
@@ -55,13 +55,18 @@ def hold_asof(points: DataFrame, steps: DataFrame, span: float) -> DataFrame:
     """Last step value at or before each point, for irregular times.
 
     ``points`` has ``(recording_id, t, ...)``, ``steps`` has ``(recording_id, t, rr)``. Time is
-    cut into spans; the last step of each span is carried into the later ones.
+    cut into spans; the last step of each span is carried into the later ones. A span must
+    be short enough for its rows to be one task's work. Steps without a time hold nothing;
+    points without one, and points before the first step, get NULL.
     """
-    chunk = F.floor(F.col("t") / span).cast("bigint")
+    # Points without a time come before all others.
+    chunk = F.coalesce(F.floor(F.col("t") / span).cast("bigint"), F.lit(-(2**62)))
+    steps = steps.where(F.col("t").isNotNull())
     marked = points.withColumn("_is_point", F.lit(1)).unionByName(
         steps.select("recording_id", "t", F.struct("rr").alias("_held")).withColumn("_is_point", F.lit(0)),
         allowMissingColumns=True,
     ).withColumn("chunk", chunk)
+    marked = keyed(marked)
     carry = carried(
         marked,
         {"_last": F.max_by("_held", F.when(F.col("_is_point") == 0, F.col("t")))},
@@ -69,7 +74,7 @@ def hold_asof(points: DataFrame, steps: DataFrame, span: float) -> DataFrame:
     )
     so_far = chunk_window("t", "_is_point").rowsBetween(Window.unboundedPreceding, 0)
     held = marked.withColumn("_now", F.last("_held", ignorenulls=True).over(so_far)).where(F.col("_is_point") == 1)
-    return held.join(carry, list(KEY)).select(
+    return unkeyed(held.join(carry, list(KEY))).select(
         *points.columns, F.coalesce("_now", "_carried")["rr"].alias("rr")
     )
 

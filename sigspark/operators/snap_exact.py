@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.operators.chunks import CHUNK, chunk_of, own_rows, with_halo
+from sigspark.operators.chunks import CHUNK, chunk_of, keyed, own_rows, unkeyed, with_halo
 from sigspark.operators.groups import map_groups
 from sigspark.operators.windows import extreme_columns
 from sigspark.sources.scratch import scratch_root
@@ -95,8 +95,8 @@ def snap_peaks_exact(signal: DataFrame, d: int, size: int = CHUNK) -> DataFrame:
     final = walked.where(F.col("kind") != "ahead").groupBy("recording_id", "idx").agg(
         F.max_by("code", "chunk").alias("_code")
     )
-    return (
-        signal.join(final, ["recording_id", "idx"], "left")
+    return unkeyed(
+        keyed(signal).join(final, ["recording_id", "idx"], "left")
         .withColumn("peak", F.coalesce("_code", F.lit(0)))
         .select(*signal.columns)
     )

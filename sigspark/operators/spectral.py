@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.shapes import next_pow2, two_band_amplitude, two_band_power
-from sigspark.operators.chunks import CHUNK, attach, explode_range, lengths, with_chunk
+from sigspark.operators.chunks import CHUNK, attach, explode_range, keyed, lengths, unkeyed, with_chunk
 from sigspark.operators.groups import map_groups
 from sigspark.sources.scratch import scratch_root
 
@@ -53,7 +53,7 @@ def dft(signal: DataFrame, kmax: int, value: str = "v", size: int = CHUNK) -> Da
         )
         for b in range(1, width + 1)
     ])
-    return (
+    return unkeyed(
         df.groupBy("recording_id", "n", "_block").agg(*sums)
         .select("recording_id", "n", F.inline(bins))
         .where(F.col("k") <= kmax)
@@ -61,10 +61,14 @@ def dft(signal: DataFrame, kmax: int, value: str = "v", size: int = CHUNK) -> Da
 
 
 def band_power(spectrum: DataFrame, bands: dict[str, tuple[float, float]], sf: float) -> DataFrame:
-    """Power per frequency band ``[lo, hi)`` in the unit of ``sf``; ``lf``/``hf`` also as a ratio."""
+    """Power per frequency band ``[lo, hi)`` in the unit of ``sf``; ``lf``/``hf`` also as a ratio.
+
+    ``spectrum`` must have every bin of the bands. The constant and the mirrored upper half
+    are left out.
+    """
     f = F.col("k") * sf / F.col("n")
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    out = spectrum.groupBy("recording_id").agg(*[
+    out = spectrum.where((F.col("k") >= 1) & (2 * F.col("k") <= F.col("n"))).groupBy("recording_id").agg(*[
         F.sum(F.when((f >= lo) & (f < hi), power).otherwise(0.0)).alias(f"{name}_power")
         for name, (lo, hi) in bands.items()
     ])
@@ -258,13 +262,13 @@ def dft_fast(
     series = attach(with_chunk(base, size), lengths(base), size).select(
         "recording_id", "n", (F.col("idx") - 1).alias("j"), "re", F.lit(0.0).alias("im")
     )
-    return fft(series, kinds, group_rows=group_rows)
+    return unkeyed(fft(series, kinds, group_rows=group_rows))
 
 
 def idft(spectrum: DataFrame, group_rows: int = GROUP_ROWS, kinds: Lengths | None = None) -> DataFrame:
     """Inverse transform of full spectra, real part, scaled by 1/n: ``(recording_id, idx, v)``."""
-    series = spectrum.select("recording_id", "n", F.col("k").alias("j"), "re", "im")
+    series = keyed(spectrum.select("recording_id", "n", F.col("k").alias("j"), "re", "im"))
     kinds = kinds or survey_lengths(series.select("n"), group_rows)
-    return fft(series, kinds, inverse=True, group_rows=group_rows).select(
+    return unkeyed(fft(series, kinds, inverse=True, group_rows=group_rows)).select(
         "recording_id", (F.col("k") + 1).alias("idx"), (F.col("re") / F.col("n")).alias("v")
     )

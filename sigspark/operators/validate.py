@@ -24,6 +24,7 @@ SCALAR_FIELDS = (
     ("lf_hf_ratio", "double", "'LF/HF ratio' entered"),
 )
 WAVE_FIELDS = ("theta", "a", "b")
+# Messages.
 RATE_MESSAGE = "Internal sampling frequency must be an integer multiple of the ECG sampling frequency!"
 RULES_MESSAGE = "There were errors in internal validation rules!:."
 

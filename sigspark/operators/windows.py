@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.chunks import (
-    CHUNK, KEY, attach, carried, chunk_window, own_rows, with_chunk, with_halo,
+    CHUNK, KEY, attach, carried, chunk_window, own_rows, unkeyed, with_chunk, with_halo,
 )
 
 # Voltage range a recording is scaled to.
@@ -20,7 +20,7 @@ def neighbours(signal: DataFrame, columns: list[str], size: int = CHUNK) -> Data
     w = chunk_window()
     df = with_halo(signal, 1, 0, size)
     df = df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
-    return own_rows(df, size).drop("chunk")
+    return unkeyed(own_rows(df, size).drop("chunk"))
 
 
 # --- marking -----------------------------------------------------------------
@@ -49,7 +49,7 @@ def mark_crossings(signal: DataFrame, waves: list, size: int = CHUNK) -> DataFra
     marked by both its pairs keeps the later pair's mark. ``waves`` are five numbers or
     columns.
     """
-    return own_rows(crossing_columns(with_halo(signal, 1, 1, size), waves), size).drop("chunk")
+    return unkeyed(own_rows(crossing_columns(with_halo(signal, 1, 1, size), waves), size).drop("chunk"))
 
 
 # --- snapping ----------------------------------------------------------------
@@ -59,20 +59,21 @@ def snap_width(sf_ecg: int) -> int:
     return sf_ecg // SNAP_DIVISOR
 
 
-def _reach(column: str, d: int) -> list[Column]:
-    """The column at -d, ..., 0, ..., +d samples, NULL beyond the ends."""
+def _reach(column: str, d: int, width: Column | None = None) -> list[Column]:
+    """The column at -d, ..., 0, ..., +d samples, NULL beyond the ends and beyond ``width``."""
     w = chunk_window()
-    return [F.lag(column, -k).over(w) if k else F.col(column) for k in range(-d, d + 1)]
+    near = [F.lag(column, -k).over(w) if k else F.col(column) for k in range(-d, d + 1)]
+    return near if width is None else [F.when(width >= abs(k), c) for k, c in zip(range(-d, d + 1), near)]
 
 
-def extreme_columns(df: DataFrame, d: int, value: str = "v") -> DataFrame:
+def extreme_columns(df: DataFrame, d: int, value: str = "v", width: Column | None = None) -> DataFrame:
     """``max_idx``/``min_idx``: first place of the largest/smallest value within +-d samples.
 
     The neighbours are fetched by offset, which is much cheaper than an aggregate over a
-    sliding frame of records.
+    sliding frame of records. ``width`` narrows the reach of single rows.
     """
     near = [f"_near{k}" for k in range(2 * d + 1)]
-    df = df.withColumns(dict(zip(near, _reach(value, d))))
+    df = df.withColumns(dict(zip(near, _reach(value, d, width))))
 
     def first_place(best) -> Column:
         values = F.array(*near)
@@ -82,12 +83,12 @@ def extreme_columns(df: DataFrame, d: int, value: str = "v") -> DataFrame:
 
 
 def local_extremes(signal: DataFrame, d: int, size: int = CHUNK) -> DataFrame:
-    return own_rows(extreme_columns(with_halo(signal, d, d, size), d), size).drop("chunk")
+    return unkeyed(own_rows(extreme_columns(with_halo(signal, d, d, size), d), size).drop("chunk"))
 
 
-def snap_columns(df: DataFrame, d: int, mark: str = "peak", value: str = "v") -> DataFrame:
+def snap_columns(df: DataFrame, d: int, mark: str = "peak", value: str = "v", width: Column | None = None) -> DataFrame:
     """Replace ``mark`` by the snapped marks on chunked rows (needs a halo of 2d)."""
-    df = extreme_columns(df, d, value)
+    df = extreme_columns(df, d, value, width)
     target = F.when(F.col(mark).isin(1, 3, 5), F.col("max_idx")).when(F.col(mark).isin(2, 4), F.col("min_idx"))
     # Target and code in one number, fetched from every neighbour; the latest sender wins.
     df = df.withColumn("_sent", target * 8 + F.col(mark))
@@ -108,7 +109,7 @@ def snap_peaks(signal: DataFrame, d: int, size: int = CHUNK) -> DataFrame:
     One pass: every mark moves once, from where it stood. If several meet on a sample the
     one from the latest sample stays. For the step-by-step rule see ``snap_peaks_exact``.
     """
-    return own_rows(snap_columns(with_halo(signal, 2 * d, 2 * d, size), d), size).drop("chunk")
+    return unkeyed(own_rows(snap_columns(with_halo(signal, 2 * d, 2 * d, size), d), size).drop("chunk"))
 
 
 # --- scaling -----------------------------------------------------------------
@@ -127,7 +128,7 @@ def scaled(value: str = "v", lo: float = SCALE_LO, hi: float = SCALE_HI) -> Colu
 def minmax_scale(signal: DataFrame, lo: float = SCALE_LO, hi: float = SCALE_HI, size: int = CHUNK) -> DataFrame:
     """Map each recording to [lo, hi]."""
     df = attach(with_chunk(signal, size), scale_extent(signal), size)
-    return df.withColumn("v", scaled("v", lo, hi)).drop("chunk", "n", "_min", "_max")
+    return unkeyed(df.withColumn("v", scaled("v", lo, hi)).drop("chunk", "n", "_min", "_max"))
 
 
 def match_moments(
@@ -142,12 +143,10 @@ def match_moments(
         F.max("idx").alias("n"), F.avg("v").alias("_mean"), F.stddev_samp("v").alias("_sd")
     )
     if target is not None:
-        own = own.join(target, "recording_id")
+        target = target.withColumnRenamed("recording_id", "_id")
+        own = own.join(target, own["recording_id"].eqNullSafe(target["_id"])).drop("_id")
     df = attach(with_chunk(signal, size), own, size)
-    return (
-        df.withColumn("v", F.col("v") * F.try_divide(sd, F.col("_sd")) + mean)
-        .select(*signal.columns)
-    )
+    return unkeyed(df.withColumn("v", F.col("v") * F.try_divide(sd, F.col("_sd")) + mean).select(*signal.columns))
 
 
 # --- time --------------------------------------------------------------------
@@ -174,9 +173,10 @@ def running_sum(signal: DataFrame, value: str, name: str, size: int = CHUNK) ->
     df = with_chunk(signal, size)
     carry = carried(df, {"_sum": F.sum(value)}, {"_before": F.sum("_sum")})
     so_far = chunk_window().rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    return unkeyed(
         df.withColumn(name, F.sum(value).over(so_far)).join(carry, list(KEY))
-        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+        # A chunk without a value so far takes the sum before it.
+        .withColumn(name, F.when(F.col(name).isNotNull() | F.col("_before").isNotNull(), F.coalesce(name, F.lit(0)) + F.coalesce("_before", F.lit(0))))
         .drop("chunk", "_before")
     )
 
@@ -205,32 +205,36 @@ def rr_intervals(signal: DataFrame, size: int = CHUNK) -> DataFrame:
     marks = with_chunk(signal.where(F.col("peak") == 3).select("recording_id", "idx", "t"), size)
     carry = carried(
         marks,
-        {"_count": F.count(F.lit(1)), "_last": F.max("t")},
-        {"_beats": F.sum("_count"), "_prev": F.max("_last")},
+        {"_count": F.count(F.lit(1)), "_last": F.max_by(F.struct("t"), "idx")},
+        {"_beats": F.sum("_count"), "_prev": F.last("_last")},
     )
     w = chunk_window()
-    inside = marks.withColumns({"_number": F.row_number().over(w), "_lag": F.lag("t").over(w)})
-    return inside.join(carry, list(KEY)).select(
+    inside = marks.withColumns({"_number": F.row_number().over(w), "_lag": F.lag(F.struct("t")).over(w)})
+    return unkeyed(inside.join(carry, list(KEY))).select(
         "recording_id", "idx",
         (F.coalesce("_beats", F.lit(0)) + F.col("_number")).alias("beat"),
         "t",
-        (F.col("t") - F.coalesce("_lag", "_prev")).alias("rr"),
+        (F.col("t") - F.coalesce("_lag", "_prev")["t"]).alias("rr"),
     )
 
 
 # --- plotting ----------------------------------------------------------------
 
-def viewport(signal: DataFrame, start: int, width: int, zoom: float, size: int = CHUNK) -> DataFrame:
-    """Samples from position ``start`` on that fall within ``width`` pixels of it."""
+def viewport(signal: DataFrame, start: int, width: int, zoom: float) -> DataFrame:
+    """Samples from position ``start`` on that fall within ``width`` pixels of it.
+
+    The first sample's time is one row per recording (``idx`` is dense, so it is read with an
+    equality filter at the scan); the samples join it without an aggregate over them. Spark
+    broadcasts the rows if they are few, and the filter on the pixel then comes before any
+    shuffle; otherwise it splits hot recordings at run time.
+    """
+    first = signal.where(F.col("idx") == start).select(F.col("recording_id").alias("_id"), F.col("t").alias("_t0"))
     ahead = signal.where(F.col("idx") >= start)
-    left = ahead.groupBy("recording_id").agg(
-        F.max("idx").alias("n"), F.min_by("t", "idx").alias("_t0")
-    )
     x = F.floor(F.col("t") / zoom) - F.floor(F.col("_t0") / zoom)
     return (
-        attach(with_chunk(ahead, size), left, size)
+        ahead.join(first, ahead["recording_id"].eqNullSafe(first["_id"]))
         .withColumn("x", x.cast("bigint")).where(F.col("x") <= width)
-        .drop("chunk", "n", "_t0")
+        .drop("_id", "_t0")
     )
 
 

@@ -6,12 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.draws import unit_draw
-from sigspark.functions.shapes import add_noise, phase
-from sigspark.operators.chunks import CHUNK, attach, own_rows, with_halo
+from sigspark.functions.shapes import add_noise, phase, rate_adjust_waves
+from sigspark.operators.chunks import CHUNK, attach, own_rows, unkeyed, with_halo
 from sigspark.operators.samples import downsample, to_samples
 from sigspark.operators.windows import (
-    crossing_columns, scale_extent, scaled, snap_columns, snap_width,
+    SNAP_DIVISOR, crossing_columns, scale_extent, scaled, snap_columns, snap_width,
 )
+from sigspark.schema import WAVES
+
+
+def annotate_each(state: DataFrame, params: DataFrame, max_rate: int, seed: int, size: int = CHUNK) -> DataFrame:
+    """:func:`annotate` with every recording's own parameters.
+
+    ``params`` has one row per recording with ``recording_id``, ``q``, ``sf_ecg``, ``noise_amp``,
+    ``hr_mean`` and ``waves``; the wave angles are adjusted to the heart rate. No rate may be
+    above ``max_rate``, which bounds the reach of the snap; a recording with a higher one, or
+    without parameters, is left out. The parameters come in with the extents, on the exchange
+    that the windows use; only ``q`` is joined before it.
+    """
+    d = snap_width(max_rate)
+    angles = F.transform(rate_adjust_waves(F.col("waves"), F.col("hr_mean")), lambda w: w["theta"])
+    own = params.where(F.col("sf_ecg") <= max_rate).select(
+        F.col("recording_id").alias("_id"), F.col("q").cast("bigint").alias("_q"), F.col("sf_ecg").cast("bigint").alias("_sf"),
+        F.col("noise_amp").alias("_noise"), angles.alias("_angles"),
+    )
+    step = own.select("_id", "_q")
+    sampled = (
+        state.join(step, state["recording_id"].eqNullSafe(step["_id"])).where(F.pmod(F.col("idx") - 1, F.col("_q")) == 0)
+        .select("recording_id", F.expr("(idx - 1) div _q + 1").alias("idx"), phase(F.col("x"), F.col("y")).alias("theta"), "v")
+    )
+    extents = scale_extent(sampled)
+    extents = extents.join(own, extents["recording_id"].eqNullSafe(own["_id"])).drop("_id", "_q")
+    df = attach(with_halo(sampled, 2 * d + 1, 2 * d + 1, size), extents, size)
+    df = crossing_columns(df, [F.col("_angles")[k] for k in range(len(WAVES))]).withColumnRenamed("mark", "peak")
+    if d > 0:
+        df = snap_columns(df, d, width=F.expr(f"_sf div {SNAP_DIVISOR}"))
+    df = unkeyed(own_rows(df, size))
+    noisy = add_noise(scaled("v"), F.col("_noise"), unit_draw(seed, "recording_id", "idx"))
+    return df.select(
+        "recording_id", "idx", ((F.col("idx") - 1) / F.col("_sf")).alias("t"), noisy.alias("v"), F.col("peak").cast("int").alias("peak")
+    )
 
 
 def annotate(
@@ -29,6 +63,6 @@ def annotate(
     df = crossing_columns(df, waves).withColumnRenamed("mark", "peak")
     if d > 0:
         df = snap_columns(df, d)
-    df = attach(own_rows(df, size), scale_extent(sampled), size)
+    df = unkeyed(attach(own_rows(df, size), scale_extent(sampled), size))
     noisy = add_noise(scaled("v"), noise_amp, unit_draw(seed, "recording_id", "idx"))
     return to_samples(df.withColumn("v", noisy), sf_ecg)

@@ -149,13 +149,13 @@ SELECT CAST(user_id AS VARCHAR) AS recording_id, CAST(ts AS DATE) AS day, count(
 FROM events GROUP BY ALL""")
 def i1_replay_daily(spark, d):
     kinds = table(spark, d, "events").schema
-    stream = replay_source(spark, d, kinds, pattern="events.parquet")
+    stream = replay_source(spark, f"{d}/events.parquet", kinds)
     rows = stream.select(
         F.col("user_id").cast("string").alias("recording_id"),
         F.timestamp_micros(clock.epoch_micros(stream, "ts")).alias("ts"), F.col("value").alias("v"),
     )
     days = F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86_400).cast("int"))
-    return replay_windows(rows, "1 day", "2 days").select("recording_id", days.alias("day"), "n", "v_min", "v_max")
+    return replay_windows(rows, "1 day").select("recording_id", days.alias("day"), "n", "v_min", "v_max")
 
 
 @query("i2_stream_segments", with_signal(SEGMENTS_SQL))

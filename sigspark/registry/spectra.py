@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from sigspark.operators import spectral
 from sigspark.operators.chunks import lengths
-from sigspark.plans.annotate import annotate
+from sigspark.plans.annotate import annotate_each
 from sigspark.plans.hrv import hrv_features
 from sigspark.plans.surrogate import surrogate
 from sigspark.registry.base import query, rounded
-from sigspark.registry.ordered import ANGLES, DAY, RR_SQL, SNAP, crossing_sql, snap_sql
+from sigspark.registry.ordered import DAY, RR_SQL, crossing_sql, snap_sql
 from sigspark.registry.scalars import unit_sql
 from sigspark.registry.tables import stored_signal, with_signal
+from sigspark.schema import DEFAULT_WAVES, default_waves
 
 KMAX = 8
 BANDS = {"lf": (0.0, 0.06), "hf": (0.06, 0.13)}
@@ -55,9 +58,9 @@ def band_sql(bands, name: str) -> str:
 @query("d6_band_ratio", with_signal(f"""
 SELECT recording_id, round(lf, 3) + 0.0 AS lf_power, round(hf, 3) + 0.0 AS hf_power, round(lf / nullif(hf, 0), 6) AS lf_hf_ratio
 FROM (SELECT recording_id, {band_sql(BANDS, "lf")} AS lf, {band_sql(BANDS, "hf")} AS hf FROM spec WHERE k >= 1 GROUP BY recording_id)""",
-    dft_sql("sig", "spec", str(KMAX + 1))))
+    dft_sql("sig", "spec", "n")))
 def d6_band_ratio(spark, d):
-    return spectral.band_power(spectral.dft(stored_signal(spark, d), KMAX), BANDS, 1.0).select(
+    return spectral.band_power(spectral.dft_fast(stored_signal(spark, d)), BANDS, 1.0).select(
         "recording_id", rounded("lf_power", 3), rounded("hf_power", 3), rounded("lf_hf_ratio")
     )
 
@@ -85,20 +88,42 @@ def k2_surrogate(spark, d):
     return out.select("recording_id", "idx", rounded("v", 5))
 
 
-@query("k3_annotate", with_signal(f"""
-SELECT s.recording_id, s.idx, (s.idx - 1) / 256e0 AS t,
+# (q, rate, noise, heart rate) of the recordings by their number modulo three.
+K3_SETS = ((2, 256, 0.1, 60.0), (1, 128, 0.05, 72.0), (4, 64, 0.2, 54.0))
+
+
+def _adjusted(hr_mean: float) -> list[float]:
+    f = math.sqrt(hr_mean / 60.0)
+    by_wave = {"P": math.sqrt(f), "Q": f, "S": f}
+    return [math.radians(theta) * by_wave.get(wave, 1.0) for wave, theta, _, _ in DEFAULT_WAVES]
+
+
+def _k3_sql(number: int, q: int, rate: int, noise: float, hr_mean: float) -> str:
+    parts = ",\n".join([
+        f"src AS (SELECT recording_id, (idx - 1) // {q} + 1 AS idx, v, atan2(sin(v), cos(v)) AS theta FROM sig"
+        f" WHERE (idx - 1) % {q} = 0 AND CAST(recording_id AS BIGINT) % 3 = {number})",
+        crossing_sql("src", _adjusted(hr_mean)),
+        "marked AS (SELECT s.recording_id, s.idx, s.v, coalesce(m.code, 0) AS peak FROM src s LEFT JOIN marks m USING (recording_id, idx))",
+        snap_sql("marked", rate // 64),
+    ])
+    return f"""SELECT * FROM (WITH {parts}
+SELECT s.recording_id, s.idx, (s.idx - 1) / {rate}e0 AS t,
        round((v - min(v) OVER w) * 1.6 / nullif(max(v) OVER w - min(v) OVER w, 0) - 0.4
-             + 0.1e0 * (2 * {unit_sql('11', 's.recording_id', 's.idx')} - 1), 6) + 0.0 AS v,
+             + {noise!r}e0 * (2 * {unit_sql('11', 's.recording_id', 's.idx')} - 1), 6) + 0.0 AS v,
        coalesce(p.peak, 0) AS peak
 FROM src s LEFT JOIN snapped p ON s.recording_id = p.recording_id AND s.idx = p.idx
-WINDOW w AS (PARTITION BY s.recording_id)""",
-    "src AS (SELECT recording_id, (idx - 1) // 2 + 1 AS idx, v, atan2(sin(v), cos(v)) AS theta FROM sig WHERE (idx - 1) % 2 = 0)",
-    crossing_sql("src", ANGLES),
-    "marked AS (SELECT s.recording_id, s.idx, s.v, coalesce(m.code, 0) AS peak FROM src s LEFT JOIN marks m USING (recording_id, idx))",
-    snap_sql("marked", SNAP)))
+WINDOW w AS (PARTITION BY s.recording_id))"""
+
+
+@query("k3_annotate", with_signal("\nUNION ALL\n".join(_k3_sql(k, *one) for k, one in enumerate(K3_SETS))))
 def k3_annotate(spark, d):
     state = stored_signal(spark, d).select("recording_id", "idx", F.cos("v").alias("x"), F.sin("v").alias("y"), "v")
-    out = annotate(state, list(ANGLES), 2, 256, 0.1, 11)
+    number = F.col("recording_id").cast("bigint") % 3
+    values = [F.element_at(F.array(*map(F.lit, column)), number.cast("int") + 1) for column in zip(*K3_SETS)]
+    params = state.select("recording_id").distinct().select(
+        "recording_id", *[v.alias(c) for v, c in zip(values, ("q", "sf_ecg", "noise_amp", "hr_mean"))], default_waves().alias("waves")
+    )
+    out = annotate_each(state, params, 256, 11)
     return out.select("recording_id", "idx", "t", rounded("v"), "peak")
 
 
@@ -112,9 +137,9 @@ LEFT JOIN (SELECT recording_id, {band_sql(BEAT_BANDS, "lf")} AS lf, {band_sql(BE
            FROM spec WHERE k >= 1 GROUP BY recording_id) b USING (recording_id)""",
     RR_SQL.replace("t - lag(t) OVER w", "t / 86400 - lag(t / 86400) OVER w"),
     "series AS (SELECT recording_id, beat - 1 AS idx, rr AS v FROM rr WHERE rr IS NOT NULL)",
-    dft_sql("series", "spec", "6")))
+    dft_sql("series", "spec", "n")))
 def k4_hrv_features(spark, d):
     days = stored_signal(spark, d).withColumn("t", F.col("t") / DAY)
-    out = hrv_features(days, 5, BEAT_BANDS)
+    out = hrv_features(days, BEAT_BANDS)
     return out.select("recording_id", "n_samples", *[c if c == "n_rr" else rounded(c) for c in (
         "n_rr", "rr_mean", "rr_sd", "hr_mean", "hr_sd", "lf_power", "hf_power", "lf_hf_ratio")])

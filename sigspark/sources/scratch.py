@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,15 @@ from pyspark.sql import SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only a session without one (a local test) gets a temporary folder.
+    Only a local session without one (a test) gets a temporary folder; on a cluster the
+    executors would not share it, so there the setting is required.
     """
     context = spark.sparkContext
-    root = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or context.getCheckpointDir()
-        or tempfile.mkdtemp(prefix="sigspark-")
-    )
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sigspark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

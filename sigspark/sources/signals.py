@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark import schema
-from sigspark.operators.chunks import attach, lengths, with_chunk
+from sigspark.operators.chunks import attach, lengths, unkeyed, with_chunk
 from sigspark.operators.index import with_index
 
 
@@ -28,7 +28,8 @@ def read_signals(
     ``layout`` says where the recording's name is: in the stem of its one file
     (``files``), in a ``recording_id=`` folder (``folders``), or in a first column
     (``table``). With a known sampling rate the position follows from the time; otherwise
-    rows are numbered along the time. A malformed row fails the read.
+    rows are numbered along the time, rows of one time by file, value and peak, so that a
+    retry numbers alike. A malformed row fails the read.
     """
     name = T.StructField("recording_id", T.StringType())
     samples = schema.SAMPLE_FILE.fields
@@ -40,12 +41,13 @@ def read_signals(
     if layout == "files":
         raw = raw.withColumn("recording_id", F.regexp_replace("_metadata.file_name", r"\.csv$", ""))
     rows = raw.select(
-        "recording_id", F.col("Time").alias("t"), F.col("Voltage").alias("v"), F.col("Peak").alias("peak")
+        "recording_id", F.col("Time").alias("t"), F.col("Voltage").alias("v"), F.col("Peak").alias("peak"),
+        F.col("_metadata.file_path").alias("_file"),
     )
     if sf_ecg is not None:
         rows = rows.withColumn("idx", F.rint(F.col("t") * sf_ecg).cast("bigint") + 1)
     else:
-        rows = with_index(rows, ["recording_id"], ["t"])
+        rows = with_index(rows, ["recording_id"], ["t", "_file", "v", "peak"])
     return rows.select("recording_id", "idx", "t", "v", "peak")
 
 
@@ -78,10 +80,15 @@ def write_corpus(signal: DataFrame, recordings: DataFrame, path: str) -> None:
     """Signal with its catalogue columns as Parquet, in ``split=/activity=`` folders.
 
     Sorted by folder, recording and position over even ranges, so a folder of any size is
-    written by as many tasks as it needs and each task writes few files.
+    written by as many tasks as it needs and each task writes few files. The catalogue must
+    name every recording once (checked by a job), or a recording would be in two splits.
     """
-    catalogue = lengths(signal).join(recordings, "recording_id", "left")
-    joined = attach(with_chunk(signal), catalogue).drop("chunk", "n")
+    if not recordings.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        raise ValueError("the catalogue names a recording more than once")
+    known = recordings.withColumnRenamed("recording_id", "_id")
+    counted = lengths(signal)
+    catalogue = counted.join(known, counted["recording_id"].eqNullSafe(known["_id"]), "left").drop("_id")
+    joined = unkeyed(attach(with_chunk(signal), catalogue).drop("chunk", "n"))
     (
         ordered(joined, "split", "activity")
         .write.partitionBy("split", "activity").parquet(path)

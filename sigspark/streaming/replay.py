@@ -10,46 +10,53 @@ from sigspark.sources.scratch import scratch_path
 
 
 def replay_source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 64, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as a stream, some at a time, oldest first."""
+    """Parquet files of a folder, or one file, as a stream, some files at a time, oldest first."""
+    path = path.rstrip("/")
+    path = f"{path[:-1]}[{path[-1]}]"  # a pattern of this one path: a bare one must be a folder
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
         .option("pathGlobFilter", pattern).parquet(path)
     )
 
 
-def windowed(stream: DataFrame, length: str, delay: str) -> DataFrame:
-    """Figures per recording and time window of ``(recording_id, ts, v)``.
-
-    The watermark bounds the state: a window is dropped once the stream is ``delay`` past it.
-    """
+def figures(rows: DataFrame, length: str) -> DataFrame:
+    """Count and extremes per recording and time window of ``(recording_id, ts, v)``."""
     return (
-        stream.withWatermark("ts", delay)
-        .groupBy("recording_id", F.window("ts", length).alias("window"))
+        rows.groupBy("recording_id", F.window("ts", length).alias("window"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
         .select("recording_id", F.col("window.start").alias("start"), "n", "v_min", "v_max")
     )
 
 
-def replay_windows(stream: DataFrame, length: str = "1 second", delay: str = "10 seconds", path: str | None = None) -> DataFrame:
-    """Run the stream over all that is there now and return the windows' latest figures.
+def windowed(stream: DataFrame, length: str, delay: str) -> DataFrame:
+    """The same figures of an endless stream.
 
-    Changed windows are written per micro-batch under the batch number, so a batch that is
-    run again replaces its own rows; the latest batch of a window counts.
+    The watermark bounds the state: a window is closed once the stream is ``delay`` past it,
+    and rows that come later than that are not counted.
+    """
+    return figures(stream.withWatermark("ts", delay), length)
+
+
+def replay_windows(stream: DataFrame, length: str = "1 second", path: str | None = None) -> DataFrame:
+    """Run the stream over all that is there now and return every window's figures.
+
+    Counts and extremes merge, so each micro-batch writes the figures of its own rows under
+    the batch number (a batch that is run again replaces them) and a window's figures are put
+    together at the end. There is no state and no watermark: rows count in whatever order
+    they arrive.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, "replay")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        figures(batch, length).write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
 
     query = (
-        windowed(stream, length, delay).writeStream.outputMode("update")
-        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+        stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
         .foreachBatch(save).start()
     )
     query.awaitTermination()
-    latest = F.max_by(F.struct("n", "v_min", "v_max"), "batch").alias("_w")
-    return (
-        spark.read.parquet(f"{path}/changes").groupBy("recording_id", "start").agg(latest)
-        .select("recording_id", "start", "_w.*")
+    kinds = figures(spark.createDataFrame([], stream.schema), length).schema
+    return spark.read.schema(kinds).parquet(f"{path}/parts").groupBy("recording_id", "start").agg(
+        F.sum("n").alias("n"), F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max")
     )

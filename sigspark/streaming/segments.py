@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sigspark.operators.chunks import CHUNK, with_halo
+from sigspark.operators.chunks import CHUNK, unkeyed, with_halo
 from sigspark.sources.scratch import scratch_path
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,12 +61,12 @@ class SegmentProcessor(StatefulProcessor):
 
         pdf["has_prev"] = pdf["has_prev"].astype(bool) | joined
         pdf["has_next"] = pdf["has_next"].astype(bool) | (pdf["idx"].diff(-1) == -1)
-        for row in pdf.itertuples():
-            at = (int(row.idx),)
-            if not (row.has_prev and row.has_next):
-                self._waiting.updateValue(at, (float(row.t), float(row.v), bool(row.has_prev), bool(row.has_next)))
-            elif row.kept:
-                self._waiting.removeKey(at)
+        # Nearly all samples have both neighbours by now and are none of the state's business.
+        finished = pdf["has_prev"] & pdf["has_next"]
+        for row in pdf[~finished].itertuples():
+            self._waiting.updateValue((int(row.idx),), (float(row.t), float(row.v), bool(row.has_prev), bool(row.has_next)))
+        for idx in pdf.loc[finished & pdf["kept"].astype(bool), "idx"]:
+            self._waiting.removeKey((int(idx),))
 
     def close(self) -> None:
         pass
@@ -96,4 +96,4 @@ def stream_segments(stream: DataFrame, size: int = CHUNK, path: str | None = Non
     finally:
         spark.conf.set(_PROVIDER, before)
     query.awaitTermination()
-    return spark.read.schema(_OUT).parquet(f"{path}/pieces")
+    return unkeyed(spark.read.schema(_OUT).parquet(f"{path}/pieces"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.functions.clock import instant_text
 from sigspark.functions.draws import uniform, uniform_int
 from sigspark.functions.shapes import sample_period_ms
 from sigspark.functions.text import recording_name
@@ -76,17 +77,22 @@ def plan_dataset(
     scenarios: DataFrame,
     ranges: DataFrame,
     seed: int,
-    instant: Column,
+    start_us: int,
     sf: int = DEFAULTS["sf"],
     sf_ecg: int = DEFAULTS["sf_ecg"],
     compat: bool = False,
 ) -> DataFrame:
-    """One row per planned recording, with drawn parameters, checks and name.
+    """One full parameter row per planned recording: defaults, draws over them, checks and name.
 
-    Every planned row is returned; ``valid`` and ``reason`` say whether it may be made.
-    ``instant`` is the ISO text that starts the names. No action is run.
+    Every planned row is returned; ``valid`` and ``reason`` say whether it may be made. Names
+    start with an instant, ``start_us`` (microseconds since 1970) plus the number of the
+    scenario in the order of folder and activity, so no two rows share a name. ``waves`` has
+    the drawn R height and width, angles in degrees. No action is run; the only window is
+    over the scenario rows.
     """
-    plan = expand_plan(lookup_ranges(scenarios, widen_ranges(ranges, list(RANGE_PARAMS))))
+    number = F.row_number().over(Window.orderBy("folder", "activity", "label")) - 1
+    numbered = scenarios.withColumn("_instant", F.lit(start_us).cast("bigint") + number)
+    plan = with_defaults(expand_plan(lookup_ranges(numbered, widen_ranges(ranges, list(RANGE_PARAMS)))))
     drawn = draw_params(plan, seed, ["folder", "activity", "sample_no"], compat)
     known = F.col("hr_mean").isNotNull()
     checked = drawn.withColumns({"sf": F.lit(sf), "sf_ecg": F.lit(sf_ecg)}).withColumn(
@@ -94,8 +100,14 @@ def plan_dataset(
         F.when(~known, F.concat(F.lit("unknown activity: "), F.col("activity")))
         .when(~rate_ok(F.col("sf"), F.col("sf_ecg")), "rates do not divide"),
     )
-    return checked.withColumn("valid", F.col("reason").isNull()).select(
-        recording_name(instant, F.col("label"), F.col("activity"), F.col("sample_no")).alias("recording_id"),
+    waves = F.transform("waves", lambda w: F.when(
+        w["wave"] == "R", F.struct(w["wave"].alias("wave"), w["theta"].alias("theta"), F.col("a_r").alias("a"), F.col("b_r").alias("b"))
+    ).otherwise(w)).cast(WAVE_TYPE)
+    return checked.withColumns({
+        "valid": F.col("reason").isNull(), "waves": waves, "period_ms": sample_period_ms(F.lit(sf_ecg)),
+    }).select(
+        recording_name(instant_text(F.col("_instant")), F.col("label"), F.col("activity"), F.col("sample_no")).alias("recording_id"),
         F.col("folder").alias("split"), "activity", "label", "sample_no",
-        "seed", *RANGE_PARAMS, "noise_amp", "a_r", "b_r", "sf", "sf_ecg", "valid", "reason",
+        "seed", *RANGE_PARAMS, "noise_amp", "a_r", "b_r", "sf", "sf_ecg", "n_beats", "f_lo_std", "f_hi_std",
+        "plot_amp", "period_ms", "waves", "valid", "reason",
     )

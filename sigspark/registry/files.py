@@ -97,12 +97,15 @@ def _params(spark, d):
         F.round(1 + k % 15 / 10.0, 1).alias("hr_std"), F.lit(0.1).alias("f_lo"), F.lit(0.01).alias("f_hi_std"),
         F.lit(0.01).alias("f_lo_std"), F.lit(0.25).alias("f_hi"), F.lit(0.5).alias("lf_hf_ratio"),
         F.lit(3).cast("bigint").alias("period_ms"), waves.alias("waves"),
+        shapes.next_pow2(256 * (60 / (50 + k % 90).cast("double")) * 512).alias("series_n"),
     )
 
 
 PARAMS_SQL = """params AS (
   SELECT CAST(c_custkey AS VARCHAR) AS recording_id, round(0.05e0 + c_custkey % 20 / 100e0, 2) AS noise_amp,
-         CAST(50 + c_custkey % 90 AS DOUBLE) AS hr_mean, round(1 + c_custkey % 15 / 10e0, 1) AS hr_std FROM customer)"""
+         CAST(50 + c_custkey % 90 AS DOUBLE) AS hr_mean, round(1 + c_custkey % 15 / 10e0, 1) AS hr_std,
+         list_min(list_filter(list_transform(range(10, 25), lambda k: CAST(1 AS BIGINT) << k), lambda x: x >= 256 * (60 / CAST(50 + c_custkey % 90 AS DOUBLE)) * 512)) AS series_n
+  FROM customer)"""
 
 
 def _log_sql() -> str:
@@ -118,6 +121,7 @@ def _log_sql() -> str:
     for title, pick in (("theta(radians)", lambda w: math.radians(w[1])), ("a(calculated)", lambda w: w[2]), ("b(calculated)", lambda w: w[3])):
         lines.append(f"'      {title}'")
         lines += [f"'{w[0]}: [{pick(w)!r}' || chr(9) || ']'" for w in schema.DEFAULT_WAVES]
+    lines.append("'Using ' || CAST(series_n AS VARCHAR) || ' = 2^ ' || CAST(CAST(round(log2(series_n)) AS INTEGER) AS VARCHAR) || ' samples'")
     return ", ".join(lines)
 
 
@@ -129,19 +133,48 @@ def a6_param_lines(spark, d):
     return runlog.param_lines(_params(spark, d))
 
 
-@query("a7_log_pivot", f"""
+PIVOT_SQL = f"""
 WITH {PARAMS_SQL}
 SELECT recording_id, 256 AS n_beats, 256 AS sf_ecg, 512 AS sf, noise_amp, hr_mean, hr_std, 0.1e0 AS f_lo, 0.01e0 AS f_hi_std,
-       0.01e0 AS f_lo_std, 0.25e0 AS f_hi, 0.5e0 AS lf_hf_ratio, CAST(3 AS BIGINT) AS period_ms,
+       0.01e0 AS f_lo_std, 0.25e0 AS f_hi, 0.5e0 AS lf_hf_ratio, CAST(3 AS BIGINT) AS period_ms, series_n,
        {dbl(math.radians(-60.0))} AS theta_p, 30e0 AS a_r, 0.4e0 AS b_t
-FROM params""")
+FROM params"""
+
+
+@query("a7_log_pivot", PIVOT_SQL)
 def a7_log_pivot(spark, d):
+    return _pivoted(runlog.pivot_log(runlog.param_lines(_params(spark, d))))
+
+
+def _pivoted(rows):
     waves = F.col("waves")
-    return runlog.pivot_log(runlog.param_lines(_params(spark, d))).select(
+    return rows.select(
         "*", waves[0]["theta"].alias("theta_p"), waves[2]["a"].alias("a_r"), waves[4]["b"].alias("b_t")
     ).drop("waves")
 
 
+@query("a7_log_files", PIVOT_SQL)
+def a7_log_files(spark, d):
+    """Logs written as a table and read back."""
+    path = scratch_path(spark, "logs")
+    runlog.write_run_log(_params(spark, d), path)
+    return _pivoted(runlog.read_run_log(spark, path, layout="table"))
+
+
+@query("a7_form_layout", PIVOT_SQL.replace("series_n,", "CAST(NULL AS BIGINT) AS series_n,"))
+def a7_form_layout(spark, d):
+    """The saved-form layout: its own header, bare section names, numbered waves, angles in degrees."""
+    rows = _params(spark, d).drop("series_n")
+    lines = runlog.param_lines(rows).withColumn("line", F.regexp_replace("line", r"^ECG Log:$", runlog.FORM_HEADER))
+    lines = lines.withColumn("line", F.regexp_replace("line", r"\((radians|calculated)\)$", ""))
+    wave = F.regexp_extract("line", r"^([PQRST]): \[", 1)
+    value = F.regexp_extract("line", r"\[(\S+)\t\]$", 1).cast("double")
+    degrees = F.round(F.degrees(value), 9)
+    shown = F.when(F.col("line_no") < 20, degrees).otherwise(value).cast("string")
+    numbered = F.concat(wave, F.lit(": ["), F.instr(F.lit("PQRST"), wave).cast("string"), F.lit("] = "), shown)
+    return _pivoted(runlog.pivot_log(lines.withColumn("line", F.when(wave != "", numbered).otherwise(F.col("line")))))
+
+
 # --- streams --------------------------------------------------------------------
 
 @query("i1_replay_daily", """

@@ -12,6 +12,7 @@ from sigspark.operators import joins, stats, windows
 from sigspark.operators.index import with_index
 from sigspark.operators.snap_exact import snap_peaks_exact
 from sigspark.plans.dataset import plan_dataset, union_plans
+from sigspark.sources.runlog import param_lines, pivot_log
 from sigspark.registry.base import query, rounded
 from sigspark.registry.scalars import RANGES_SQL, unit_sql
 from sigspark.registry.tables import (
@@ -285,24 +286,54 @@ def _draw_sql(param: str, lo: str, hi: str) -> str:
     return f"{lo} + ({hi} - {lo}) * {unit_sql('42', 'folder', 'activity', 'sample_no', repr(param))}"
 
 
-@query("k1_plan_dataset", f"""
-WITH {CUSTOMER_SCENARIOS}, {RANGES_SQL},
+START_US = 1_767_225_600_000_000  # 2026-01-01T00:00:00Z
+PLAN_SQL = f"""{CUSTOMER_SCENARIOS}, {RANGES_SQL},
 wide AS (SELECT activity, {", ".join(f"max({e}) FILTER (param = '{p}') AS {p}_{e}" for p in schema.RANGE_PARAMS for e in ("lo", "hi"))} FROM rng GROUP BY activity),
-plan AS (SELECT *, CAST(unnest(range(samples)) AS INTEGER) AS sample_no FROM scen)
-SELECT '2026-01-01T00_00_00Z_' || CAST(label AS VARCHAR) || '_' || p.activity || '_' || lpad(CAST(sample_no AS VARCHAR), 4, '0') AS recording_id,
+plan AS (SELECT *, CAST(unnest(range(samples)) AS INTEGER) AS sample_no FROM (SELECT *, row_number() OVER (ORDER BY folder, activity, label) - 1 AS us FROM scen)),
+drawn AS (
+SELECT '2026-01-01T00_00_00' || CASE WHEN us = 0 THEN '' WHEN us % 1000 = 0 THEN '_' || lpad(CAST(us // 1000 AS VARCHAR), 3, '0') ELSE '_' || lpad(CAST(us AS VARCHAR), 6, '0') END
+       || 'Z_' || CAST(label AS VARCHAR) || '_' || p.activity || '_' || lpad(CAST(sample_no AS VARCHAR), 4, '0') AS recording_id,
        folder AS split, p.activity, label, sample_no,
-       {", ".join(f"round({_draw_sql(p, p + '_lo', p + '_hi')}, 9) AS {p}" for p in schema.RANGE_PARAMS)},
-       round({_draw_sql('noise_amp', 'noise_min', 'noise_max')}, 9) AS noise_amp,
+       {", ".join(f"{_draw_sql(p, p + '_lo', p + '_hi')} AS {p}" for p in schema.RANGE_PARAMS)},
+       {_draw_sql('noise_amp', 'noise_min', 'noise_max')} AS noise_amp,
        CAST(1 + floor({unit_sql('42', 'folder', 'activity', 'sample_no', "'seed'")} * 42) AS INTEGER) AS seed,
        27 + floor({unit_sql('42', 'folder', 'activity', 'sample_no', "'a_r'")} * 18) AS a_r,
-       round({_draw_sql('b_r', '0.08e0', '0.12e0')}, 9) AS b_r,
-       512 AS sf, 256 AS sf_ecg, hr_mean_lo IS NOT NULL AS valid,
-       CASE WHEN hr_mean_lo IS NULL THEN 'unknown activity: ' || p.activity END AS reason
-FROM (SELECT *, activity AS act FROM plan) p LEFT JOIN (SELECT * RENAME (activity AS known) FROM wide) w ON p.activity = w.known""")
+       {_draw_sql('b_r', '0.08e0', '0.12e0')} AS b_r,
+       512 AS sf, 256 AS sf_ecg, 256 AS n_beats, 0.01e0 AS f_lo_std, 0.01e0 AS f_hi_std, 1.4e0 AS plot_amp, CAST(3 AS BIGINT) AS period_ms,
+       hr_mean_lo IS NOT NULL AS valid, CASE WHEN hr_mean_lo IS NULL THEN 'unknown activity: ' || p.activity END AS reason
+FROM (SELECT *, activity AS act FROM plan) p LEFT JOIN (SELECT * RENAME (activity AS known) FROM wide) w ON p.activity = w.known)"""
+DRAWN = (*schema.RANGE_PARAMS, "noise_amp", "b_r")
+
+
+def _plan(spark, d):
+    return plan_dataset(customer_scenarios(spark, d), schema.activity_ranges(spark), 42, START_US)
+
+
+@query("k1_plan_dataset", f"""
+WITH {PLAN_SQL}
+SELECT * REPLACE ({", ".join(f"round({c}, 9) AS {c}" for c in DRAWN)}), a_r AS wave_a, round(b_r, 9) AS wave_b FROM drawn""")
 def k1_plan_dataset(spark, d):
-    plan = plan_dataset(customer_scenarios(spark, d), schema.activity_ranges(spark), 42, F.lit("2026-01-01T00:00:00Z"))
-    drawn = (*schema.RANGE_PARAMS, "noise_amp", "b_r")
-    return plan.select(*[rounded(c, 9) if c in drawn else F.col(c) for c in plan.columns])
+    plan = _plan(spark, d)
+    wave = F.col("waves")[2]
+    return plan.select(
+        *[rounded(c, 9) if c in DRAWN else F.col(c) for c in plan.columns if c != "waves"],
+        wave["a"].alias("wave_a"), F.round(wave["b"], 9).alias("wave_b"),
+    )
+
+
+@query("k1_plan_log", f"""
+WITH {PLAN_SQL}
+SELECT recording_id, n_beats, sf_ecg, sf, {", ".join(f"round({c}, 9) AS {c}" for c in ("noise_amp", "hr_mean", "hr_std", "f_lo", "f_hi", "lf_hf_ratio"))},
+       f_hi_std, f_lo_std, period_ms, CAST(NULL AS BIGINT) AS series_n, a_r, round(b_r, 9) AS b_r, 0.75e0 AS a_t FROM drawn WHERE valid""")
+def k1_plan_log(spark, d):
+    """The plan's valid rows as log lines and back."""
+    back = pivot_log(param_lines(_plan(spark, d).where("valid")))
+    waves = F.col("waves")
+    numbers = ("noise_amp", "hr_mean", "hr_std", "f_lo", "f_hi", "lf_hf_ratio")
+    return back.select(
+        *[rounded(c, 9) if c in numbers else F.col(c) for c in back.columns if c != "waves"],
+        waves[2]["a"].alias("a_r"), F.round(waves[2]["b"], 9).alias("b_r"), waves[4]["a"].alias("a_t"),
+    )
 
 
 # --- exact snapping ---------------------------------------------------------------

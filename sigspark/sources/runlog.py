@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.schema import WAVES
@@ -27,11 +27,20 @@ ORDER_HEADER = "Order of Extrema:"
 SECTIONS = (("theta", "      theta(radians)"), ("a", "      a(calculated)"), ("b", "      b(calculated)"))
 # An optional clock prefix, a label, a number, an optional unit.
 LINE_PATTERN = r"^(?:\[[^\]]*\]: )?([^:\[\]]+): (\S+)(?: .*)?$"
-WAVE_PATTERN = r"^(?:\[[^\]]*\]: )?([PQRST]): \[(\S+)\t\]$"
-SECTION_PATTERN = r"^(?:\[[^\]]*\]: )?\s*(theta|a|b)\((?:radians|calculated)\)$"
+# The run layout (radians) and the saved-form layout (degrees, bare section names).
+WAVE_PATTERN = r"^(?:\[[^\]]*\]: )?([PQRST]): \[(?:\d+\] = )?([^\t\]\s]+)\t?\]?$"
+SECTION_PATTERN = r"^(?:\[[^\]]*\]: )?\s*(theta|a|b)(?:\((?:radians|calculated)\))?:?\s*$"
+FORM_HEADER = "ECG Parameters:"
+# How many samples the beat series has, as a power of two.
+SERIES_PATTERN = r"^(?:\[[^\]]*\]: )?Using (\d+) = 2\^ *(\d+) samples"
 
 
-def _lines(waves: bool):
+def series_line(n: Column) -> Column:
+    """The line that tells the length of the beat series, a power of two."""
+    return F.concat(F.lit("Using "), n.cast("string"), F.lit(" = 2^ "), F.log2(n).cast("int").cast("string"), F.lit(" samples"))
+
+
+def _lines(waves: bool, series: bool = False):
     lines = [F.lit(HEADER)]
     lines += [
         F.concat(F.lit(f"{label}: "), F.col(name).cast("string"), F.lit(unit))
@@ -45,25 +54,38 @@ def _lines(waves: bool):
                 F.concat(F.lit(f"{wave}: ["), F.col("waves")[i][field].cast("string"), F.lit("\t]"))
                 for i, wave in enumerate(WAVES)
             ]
+    if series:
+        lines.append(series_line(F.col("series_n")))
     return F.array(*lines)
 
 
 def param_lines(params: DataFrame, waves: bool = True) -> DataFrame:
     """Log lines ``(recording_id, line_no, line)`` of parameter rows.
 
-    With ``waves`` the wave array (angles in radians) follows in three sections.
+    With ``waves`` the wave array (angles in radians) follows in three sections, and then, if
+    there is a column ``series_n``, the length of the beat series.
     """
-    return params.select("recording_id", F.posexplode(_lines(waves)).alias("line_no", "line"))
+    return params.select("recording_id", F.posexplode(_lines(waves, "series_n" in params.columns)).alias("line_no", "line"))
+
 
+def write_run_log(params: DataFrame, path: str, waves: bool = True, layout: str = "table") -> None:
+    """Log texts of parameter rows.
 
-def write_run_log(params: DataFrame, path: str, waves: bool = True) -> None:
-    """One folder per recording with its log text, CRLF line ends."""
-    text = params.select("recording_id", F.array_join(_lines(waves), "\r\n").alias("value"))
+    ``table`` writes lines with their recording and number as few Parquet files; ``folders``
+    writes a folder per recording with its text, CRLF line ends, for people who read them.
+    """
+    if layout == "table":
+        lines = param_lines(params, waves)
+        lines.repartitionByRange("recording_id", "line_no").sortWithinPartitions("recording_id", "line_no").write.parquet(path)
+        return
+    text = params.select("recording_id", F.array_join(_lines(waves, "series_n" in params.columns), "\r\n").alias("value"))
     text.repartitionByRange("recording_id").write.partitionBy("recording_id").text(path)
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``(recording_id, line_no, line)`` of log files, named by folder or file stem."""
+def log_lines(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    """Lines ``(recording_id, line_no, line)`` of log files, named by folder or file stem, or of a log table."""
+    if layout == "table":
+        return spark.read.schema("recording_id string, line_no int, line string").parquet(path)
     raw = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     )
@@ -74,7 +96,10 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pivot_log(lines: DataFrame, waves: bool = True) -> DataFrame:
-    """One row of parameters per recording from its log lines. No header is needed."""
+    """One row of parameters per recording from its log lines, of either layout; no header is needed.
+
+    Angles are radians in both. ``series_n`` is the length of the beat series, if a line tells it.
+    """
     label = F.regexp_extract("line", LINE_PATTERN, 1)
     number = F.regexp_extract("line", LINE_PATTERN, 2)
     found = lines.withColumn("_label", label).withColumn("_number", number)
@@ -82,6 +107,7 @@ def pivot_log(lines: DataFrame, waves: bool = True) -> DataFrame:
         F.max(F.when(F.col("_label") == text, F.col("_number"))).try_cast(kind).alias(name)
         for name, kind, text, _ in LINES
     ]
+    picks.append(F.max(F.regexp_extract("line", SERIES_PATTERN, 1)).try_cast("bigint").alias("series_n"))
     if not waves:
         return found.groupBy("recording_id").agg(*picks)
     # The three wave sections share their labels; they are told apart by where they start.
@@ -90,20 +116,28 @@ def pivot_log(lines: DataFrame, waves: bool = True) -> DataFrame:
     found = found.withColumn("_section", section).withColumn("_wave", wave).withColumn(
         "_value", F.regexp_extract("line", WAVE_PATTERN, 2).try_cast("double")
     )
-    starts = [F.max(F.when(F.col("_section") == f, F.col("line_no"))).alias(f"_at_{f}") for f, _ in SECTIONS]
-    values = F.collect_list(F.when(F.col("_wave") != "", F.struct("line_no", "_wave", "_value"))).alias("_values")
-    grouped = found.groupBy("recording_id").agg(*picks, *starts, values)
-
-    def pick(wave_name: str, field: str):
-        # The wave's first line after the section's start.
-        after = F.filter("_values", lambda x: (x["_wave"] == wave_name) & (x["line_no"] > F.col(f"_at_{field}")))
-        return F.array_min(after)["_value"]
-
-    wave_array = F.array(*[
-        F.struct(F.lit(w).alias("wave"), *[pick(w, f).alias(f) for f, _ in SECTIONS]) for w in WAVES
-    ])
-    return grouped.select("recording_id", *[name for name, *_ in LINES], wave_array.alias("waves"))
-
-
-def read_run_log(spark: SparkSession, path: str, waves: bool = True) -> DataFrame:
-    return pivot_log(log_lines(spark, path), waves)
+    # A wave's first line after a section's start; sections come in a fixed order, each in one place.
+    starts = [F.min(F.when(F.col("_section") == f, F.col("line_no"))).alias(f"_at_{f}") for f, _ in SECTIONS]
+    form = F.max(F.col("line").endswith(FORM_HEADER)).alias("_form")
+    ends = found.groupBy("recording_id").agg(*starts, form).withColumnRenamed("recording_id", "_id")
+    values = found.join(ends, found["recording_id"].eqNullSafe(ends["_id"]))
+    names = {}
+    for number, (field, _) in enumerate(SECTIONS):
+        later = [F.col(f"_at_{f}") for f, _ in SECTIONS[number + 1:]]
+        inside = F.col("line_no") > F.col(f"_at_{field}")
+        for end in later:
+            inside = inside & (end.isNull() | (F.col("line_no") < end) | (end < F.col(f"_at_{field}")))
+        for w in WAVES:
+            names[w, field] = F.min(F.when(inside & (F.col("_wave") == w), F.struct("line_no", "_value")))["_value"].alias(f"_{w}_{field}")
+    grouped = values.groupBy("recording_id").agg(*picks, F.max("_form").alias("_form"), *names.values())
+
+    def pick(w: str, field: str):
+        value = F.col(f"_{w}_{field}")
+        return F.when(F.col("_form"), F.radians(value)).otherwise(value) if field == "theta" else value
+
+    wave_array = F.array(*[F.struct(F.lit(w).alias("wave"), *[pick(w, f).alias(f) for f, _ in SECTIONS]) for w in WAVES])
+    return grouped.select("recording_id", *[name for name, *_ in LINES], "series_n", wave_array.alias("waves"))
+
+
+def read_run_log(spark: SparkSession, path: str, waves: bool = True, layout: str = "files") -> DataFrame:
+    return pivot_log(log_lines(spark, path, layout), waves)

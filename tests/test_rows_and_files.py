@@ -116,10 +116,12 @@ def test_unknown_activity_is_gated_out(spark):
 # --- plans ------------------------------------------------------------------------
 
 def test_plan_of_the_fixed_scenarios(spark):
-    args = (schema.scenarios(spark), schema.activity_ranges(spark), 1, F.lit("2026-01-01T00:00:00Z"))
+    args = (schema.scenarios(spark), schema.activity_ranges(spark), 1, 1_767_225_600_000_000)
     plan = dataset.plan_dataset(*args).persist()
     assert plan.count() == 1200 and plan.where("valid").count() == 1200
-    assert plan.select("split", "recording_id").distinct().count() == 1200
+    assert plan.select("recording_id").distinct().count() == 1200
+    waves = plan.select(F.col("waves")[2].alias("r"), "a_r", "b_r").where("r.wave <> 'R' OR r.a <> a_r OR r.b <> b_r")
+    assert waves.count() == 0 and runlog.pivot_log(runlog.param_lines(plan)).count() == 1200
     per = {r[0]: r[1:] for r in plan.groupBy("split").agg(F.count("*"), F.min("noise_amp"), F.max("noise_amp")).collect()}
     assert per["Env1"][0] == 200 and per["Eval"][0] == 400 and 0.06 <= per["Env1"][1] and per["Env1"][2] < 0.12
     joined = plan.join(joins.widen_ranges(schema.activity_ranges(spark), list(schema.RANGE_PARAMS)), "activity")
@@ -132,9 +134,9 @@ def test_plan_of_the_fixed_scenarios(spark):
 
 def test_plan_with_bad_rates_or_activity_is_marked(spark):
     one_scenario = schema.values_table(spark, "folder, activity, label, samples, noise_min, noise_max", [("E", "Exercising", 0, 2, 0.1, 0.2)])
-    plan = dataset.plan_dataset(one_scenario, schema.activity_ranges(spark), 1, F.lit("Z"))
+    plan = dataset.plan_dataset(one_scenario, schema.activity_ranges(spark), 1, 0)
     assert {r.reason for r in plan.collect()} == {"unknown activity: Exercising"}
-    plan = dataset.plan_dataset(schema.scenarios(spark), schema.activity_ranges(spark), 1, F.lit("Z"), sf=500)
+    plan = dataset.plan_dataset(schema.scenarios(spark), schema.activity_ranges(spark), 1, 0, sf=500)
     assert plan.where("valid").count() == 0
 
 
@@ -208,8 +210,8 @@ def params(spark):
 
 def test_run_log_there_and_back(spark, tmp_path):
     path = str(tmp_path / "logs")
-    runlog.write_run_log(params(spark), path)
-    back = runlog.read_run_log(spark, path)
+    runlog.write_run_log(params(spark), path, layout="folders")
+    back = runlog.read_run_log(spark, path).drop("series_n")
     want = params(spark).select(*back.columns)
     assert back.exceptAll(want).count() == 0 and back.count() == 2
 
@@ -222,3 +224,19 @@ def test_log_with_clock_prefix_and_no_header(spark, tmp_path):
     row = runlog.read_run_log(spark, str(tmp_path)).first()
     assert (row.recording_id, row.hr_mean, row.sf_ecg, row.n_beats) == ("x", 60.0, 256, None)
     assert (row.waves[0].theta, row.waves[0].a, row.waves[0].b, row.waves[1].theta) == (-1.5, 1.2, None, None)
+
+
+def test_form_layout_of_a_log(spark):
+    text = ["ECG Parameters:", "Heart rate mean: 60.0 beats per minute", "Order of Extrema:", "      theta", "P: [1] = -60.0", "T: [5] = 90.0",
+            "      a", "P: [1] = 1.2", "      b", "P: [1] = 0.25", "Using 131072 = 2^ 17 samples for calculating RR intervals"]
+    lines = spark.createDataFrame([("x", i, t) for i, t in enumerate(text)], "recording_id string, line_no int, line string")
+    row = runlog.pivot_log(lines).first()
+    assert (row.hr_mean, row.series_n, row.waves[0].a, row.waves[0].b, row.waves[4].a) == (60.0, 131072, 1.2, 0.25, None)
+    assert abs(row.waves[0].theta + 1.0471975511965976) < 1e-12 and abs(row.waves[4].theta - 1.5707963267948966) < 1e-12
+
+
+def test_a_catalogue_that_names_a_recording_twice_is_refused(spark, tmp_path):
+    one = spark.createDataFrame([("x", 1, 0.0, 1.0, 0)], "recording_id string, idx bigint, t double, v double, peak int")
+    twice = spark.createDataFrame([("x", "Env1", "a"), ("x", "Eval", "a")], "recording_id string, split string, activity string")
+    with pytest.raises(ValueError, match="more than once"):
+        signals.write_corpus(one, twice, str(tmp_path / "corpus"))

@@ -2,54 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.clock import number_axis
 
-# A key is cut into pieces when it has more rows than PIECE_ROWS and more than a
-# 1/MAX_HOT_KEYS share of all rows. At most MAX_HOT_KEYS keys can have such a share,
-# which bounds the table of cut keys that is broadcast.
+# A key with more rows than this is cut into pieces of about this many.
 PIECE_ROWS = 1 << 20
-MAX_HOT_KEYS = 1 << 16
-FINENESS = 16
+# A hot key is cut at so many quantiles of its order column, then evenly between them.
+CELLS = 64
+FINENESS = 4
+
+
+def _cell(axis: Column) -> Column:
+    """How many of the quantiles ``_borders`` lie below the axis, found in two short steps."""
+    step = int(CELLS ** 0.5)
+    below = lambda borders: F.size(F.filter(borders, lambda b: b < axis))
+    coarse = F.transform(F.sequence(F.lit(step), F.lit(CELLS - 1), F.lit(step)), lambda k: F.col("_borders")[k - 1])
+    first = below(coarse) * step
+    return first + below(F.slice("_borders", first + 1, step))
 
 
 def cut_keys(
     df: DataFrame, keys: list[str], order: list[str], piece_rows: int = PIECE_ROWS, cut_along: list[str] | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Add piece numbers that cut hot keys along their order; also the new columns' names.
+    """Add piece numbers that cut hot keys along their order columns; also the new columns' names.
 
-    ``cut_along`` lists the order columns to cut by, one cut inside the other: by default the
-    first one. Name it twice to cut dense stretches again, and a later order column to cut
-    rows that agree in the earlier ones.
+    One aggregate gives every key's row count and the quantiles of its first order column. A
+    hot key is cut at these quantiles, so an outlier, a gap or a burst moves no other rows
+    together, and each cell again into even stretches. Rows without an order value come first,
+    NaN last, in pieces of their own. ``cut_along`` lists the order columns to cut by, one cut
+    inside the other: by default the first one. Name a later order column to cut rows that
+    agree in the earlier ones, as in a burst of one instant or rows without a value. Keys are
+    compared null-safe.
     """
     pieces: list[str] = []
-    share = df.agg(F.count(F.lit(1)) / MAX_HOT_KEYS).scalar()
     for level, column in enumerate(cut_along or order[:1]):
         group, piece = [*keys, *pieces], f"_piece{level}"
         axis = number_axis(df, column).cast("double")
+        finite = F.when(~F.isnan(axis) & (F.abs(axis) < float("inf")), axis)
         # A later order column only orders rows that agree in all earlier ones.
         agree = F.lit(True)
         for earlier in order[:order.index(column)]:
-            agree = agree & (F.min(earlier) == F.max(earlier))
+            none = F.count(earlier) == 0
+            agree = agree & (none | ((F.min(earlier) == F.max(earlier)) & (F.count(earlier) == F.count(F.lit(1)))))
+        marks = [k / CELLS for k in range(1, CELLS)]
         counts = df.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi"), agree.alias("_agree")
+            F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
+            F.percentile_approx(finite, marks, 1000).alias("_borders"), agree.alias("_agree"),
         )
-        hot = counts.where((F.col("_n") > piece_rows) & (F.col("_n") >= share) & F.col("_agree")).select(
-            *group, "_lo",
-            ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") * FINENESS / piece_rows)).alias("_width"),
+        hot = counts.where((F.col("_n") > piece_rows) & F.col("_agree")).select(
+            *[F.col(c).alias(f"_hot_{c}") for c in group], "_lo", "_hi", "_borders",
+            F.ceil(F.col("_n") * FINENESS / (piece_rows * CELLS)).alias("_cuts"), F.lit(True).alias("_is_hot"),
         )
+        same = F.lit(True)
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
+        cell = _cell(finite)
+        lo = F.when(cell > 0, F.element_at("_borders", F.greatest(cell, F.lit(1)))).otherwise(F.col("_lo"))
+        hi = F.when(cell < CELLS - 1, F.element_at("_borders", F.least(cell + 1, F.lit(CELLS - 1)))).otherwise(F.col("_hi"))
+        inside = F.least(F.floor(F.try_divide(finite - lo, hi - lo) * F.col("_cuts")), F.col("_cuts") - 1)
+        place = F.when(axis.isNull() | (axis == float("-inf")), F.when(axis.isNull(), F.lit(-2)).otherwise(F.lit(-1))).when(
+            finite.isNull(), F.when(F.isnan(axis), CELLS * F.col("_cuts") + 1).otherwise(CELLS * F.col("_cuts"))
+        ).otherwise(cell * F.col("_cuts") + F.coalesce(inside, F.lit(0)))
         df = (
-            df.join(F.broadcast(hot), group, "left")
-            # Rows without an order value sort first.
-            .withColumn(piece, F.when(
-                F.col("_width") > 0, F.coalesce(F.floor((axis - F.col("_lo")) / F.col("_width")), F.lit(-1))
-            ).otherwise(F.lit(0).cast("bigint")))
+            df.join(hot, same, "left")
+            .withColumn(piece, F.when(F.col("_is_hot"), place).otherwise(F.lit(0)).cast("bigint"))
+            .drop("_lo", "_hi", "_borders", "_cuts", *[f"_hot_{c}" for c in group])
         )
         # A key is cut if its first level is.
-        df = df.withColumnRenamed("_width", "_cut") if level == 0 else df.drop("_width")
-        df = df.drop("_lo")
+        df = df.withColumnRenamed("_is_hot", "_cut") if level == 0 else df.drop("_is_hot")
         pieces.append(piece)
     return df, pieces
 
@@ -66,19 +88,23 @@ def with_index(
 
     Small keys are numbered in one window each. A hot key is cut into pieces, see
     :func:`cut_keys`; rows are numbered inside a piece and shifted by the row count of the
-    pieces before it.
+    pieces before it. The input is read for the borders, for the counts of hot keys' pieces
+    and for the numbers.
     """
     cut, pieces = cut_keys(df, keys, order, piece_rows, cut_along)
     before = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        cut.where(F.col("_cut").isNotNull())
+        cut.where(F.col("_cut"))
         .groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, *pieces, F.sum("_rows").over(before).alias("_shift"))
+        .select(*[F.col(c).alias(f"_s_{c}") for c in (*keys, *pieces)], F.sum("_rows").over(before).alias("_shift"))
     )
+    same = F.lit(True)
+    for c in (*keys, *pieces):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
     in_piece = F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order))
     return (
         cut.withColumn("_pos", in_piece)
-        .join(shifts, [*keys, *pieces], "left")
+        .join(shifts, same, "left")
         .withColumn(name, F.col("_pos") + F.coalesce("_shift", F.lit(0)))
         .select(*df.columns, name)
     )

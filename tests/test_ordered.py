@@ -70,7 +70,7 @@ def test_with_index_cuts_ties_and_dense_stretches(spark):
     rows = [("k", 1.0, i) for i in range(64)] + [("k", 2.0 + i / 32_000, i) for i in range(32)] + [("k", 100.0 + i, i) for i in range(32)]
     rows = [(*r, n) for n, r in enumerate(rows, start=1)]
     df = spark.createDataFrame(rows, "k string, t double, id bigint, want bigint").repartition(5)
-    cuts = {None: 96, ("t", "t"): 64, ("t", "t", "id"): 4}
+    cuts = {None: 64, ("t", "id"): 16}
     for cut_along, largest in cuts.items():
         out = with_index(df, ["k"], ["t", "id"], piece_rows=4, cut_along=cut_along and list(cut_along))
         assert out.where("idx <> want").count() == 0 and out.count() == len(rows)
@@ -83,10 +83,28 @@ def test_with_index_puts_rows_without_order_first(spark):
     assert with_index(df, ["k"], ["t", "id"], piece_rows=4).where("idx <> id + 1").count() == 0
 
 
-def test_with_index_rejects_text_order(spark):
-    df = spark.createDataFrame([("k", "x")], "k string, s string")
-    with pytest.raises(TypeError):
-        with_index(df, ["k"], ["s"])
+@pytest.mark.parametrize("kind", ["even", "outlier", "nameless", "text", "odd"])
+def test_hot_keys_are_cut_whatever_their_order_column(spark, kind):
+    rng = random.Random(3)
+    n, piece = 4000, 200
+    order = [float(i) for i in range(n)]
+    if kind == "outlier":
+        order[-1] = 1e15
+    if kind == "odd":
+        order[:3], order[-3:] = [None, None, float("-inf")], [float("inf"), float("nan"), float("nan")]
+    rows = [(None if kind == "nameless" else "k", f"{i:05d}" if kind == "text" else order[i], i) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"k string, t {'string' if kind == 'text' else 'double'}, id bigint").repartition(4)
+    assert with_index(df, ["k"], ["t", "id"], piece_rows=piece).where("idx <> id + 1").count() == 0
+    cut, pieces = cut_keys(df, ["k"], ["t", "id"], piece)
+    assert cut.groupBy("k", *pieces).count().agg(F.max("count")).first()[0] <= 4 * piece
+
+
+def test_a_burst_is_cut_along_the_next_column(spark):
+    df = spark.createDataFrame([("k", 1.0 if i < 3000 else float(i), i) for i in range(4000)], "k string, t double, id bigint")
+    assert with_index(df, ["k"], ["t", "id"], piece_rows=200, cut_along=["t", "id"]).where("idx <> id + 1").count() == 0
+    cut, pieces = cut_keys(df, ["k"], ["t", "id"], 200, ["t", "id"])
+    assert cut.groupBy("k", *pieces).count().agg(F.max("count")).first()[0] <= 800
 
 
 def test_explode_range_in_blocks(spark):
@@ -256,7 +274,7 @@ def test_viewport_and_decimate(sig, rows):
     for rec, rs in by_rec(rows).items():
         ahead = [r for r in rs if r[1] >= 4]
         want += [(rec, r[1]) for r in ahead if math.floor(r[2] / 0.5) - math.floor(ahead[0][2] / 0.5) <= 20]
-    assert got(windows.viewport(sig, 4, 20, 0.5, SIZE), "recording_id", "idx") == want
+    assert got(windows.viewport(sig, 4, 20, 0.5), "recording_id", "idx") == want
     total = windows.decimate(sig, 3.0).agg(F.sum("n")).first()[0]
     assert total == len(rows)
 

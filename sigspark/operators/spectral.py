@@ -16,8 +16,9 @@ from sigspark.sources.scratch import scratch_root
 
 # Bins summed side by side in one pass over the samples.
 BINS_PER_PASS = 32
-# Longest series transformed inside one group.
-GROUP_ROWS = 1 << 18
+# Longest series transformed inside one group. Its square bounds the (padded) length of a
+# recording: 2^40 samples.
+GROUP_ROWS = 1 << 20
 
 _BINS = ["recording_id", "n", "k", "re", "im"]
 
@@ -202,8 +203,16 @@ def _fft_chirp(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
     sign = 1 if inverse else -1
 
     def chirp(position: str) -> Column:
-        j = F.col(position)
-        return sign * 2 * F.pi() * F.pmod(j * j, 2 * F.col("size")) / (2 * F.col("size"))
+        # j^2 mod 2n from the halves of j, so that no product leaves 64 bits below 2^40 samples.
+        j, m = F.col(position), 2 * F.col("size")
+        high, low = F.shiftright(j, 20), j.bitwiseAND((1 << 20) - 1)
+        square = F.lit(0).cast("bigint")
+        for part, shift in ((high * high, 40), (2 * high * low, 20), (low * low, 0)):
+            part = F.pmod(part, m)
+            for _ in range(shift // 20):
+                part = F.pmod(part * (1 << 20), m)
+            square = square + part
+        return sign * 2 * F.pi() * F.pmod(square, m) / m
 
     sized = series.withColumn("size", F.col("n")).withColumn("n", _padded(F.col("n")))
     turned = sized.select("recording_id", "n", "j", *_rotated(F.col("re"), F.col("im"), chirp("j")))

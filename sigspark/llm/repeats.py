@@ -18,7 +18,7 @@ from sigspark.llm.substrings import let_through, sketch
 from sigspark.operators.groups import map_groups
 
 #: Bytes of contexts in one index, about.
-INDEX_BYTES = 1 << 22
+INDEX_BYTES = 1 << 20
 #: Contexts of one anchor in one index; those of a hotter anchor are indexed in pieces.
 PIECE = 4096
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MIX)

@@ -25,7 +25,7 @@ class _Models:
 
     def __init__(self, lanes: int):
         self.table = np.full(lanes * ORDERS * SLOTS, 32768, np.uint16)
-        self.weights = np.full((lanes, BITS, ORDERS), 24000, np.int64)
+        self.weights = np.full((BITS, lanes, ORDERS), 24000, np.int64)
         self.base = (np.arange(lanes)[:, None] * ORDERS + np.arange(ORDERS)) * SLOTS
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
@@ -37,18 +37,34 @@ class _Models:
 
     def predict(self, n: int, bit: int, node: np.ndarray) -> np.ndarray:
         """The chance of a one, in 4096ths."""
-        mixed = ((self.context + node[:, None]) * 0x2C1B3C6D) & 0xFFFFFFFF
-        self.slot = self.base[:n] + ((mixed >> 13) % SLOTS)
-        self.chance = self.table[self.slot].astype(np.int64)
-        self.inputs = STRETCH[self.chance >> 4]
-        self.bit = bit
-        self.mean = SQUASH[np.clip((self.inputs * self.weights[:n, bit]).sum(axis=1) >> 16, -2047, 2047) + 2047]
+        mixed = self.context + node[:, None]
+        mixed *= 0x2C1B3C6D
+        mixed >>= 13
+        mixed &= SLOTS - 1
+        mixed += self.base[:n]
+        self.slot, self.bit = mixed, bit
+        self.chance = self.table.take(mixed).astype(np.int32)
+        self.inputs = STRETCH.take(self.chance >> 4)
+        weights = self.weights[bit, :n]
+        sums = np.einsum("ij,ij->i", self.inputs, weights) >> 16
+        np.maximum(sums, -2047, out=sums)
+        np.minimum(sums, 2047, out=sums)
+        sums += 2047
+        self.mean = SQUASH.take(sums)
         return self.mean
 
     def learn(self, n: int, one: np.ndarray) -> None:
         miss = (one * 4096 - self.mean) * 6
-        self.weights[:n, self.bit] += (self.inputs * miss[:, None] + 8192) >> 14
-        self.table[self.slot] = np.clip(self.chance + ((one[:, None] * 65535 - self.chance) >> 4), 32, 65503)
+        step = self.inputs * miss[:, None]
+        step += 8192
+        step >>= 14
+        self.weights[self.bit, :n] += step
+        moved = (one.astype(np.int32) * 65535)[:, None] - self.chance
+        moved >>= 4
+        moved += self.chance
+        np.maximum(moved, 32, out=moved)
+        np.minimum(moved, 65503, out=moved)
+        self.table[self.slot] = moved
 
     def end(self, n: int, ids: np.ndarray) -> None:
         self.before[:n] = self.last[:n]

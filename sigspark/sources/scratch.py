@@ -27,5 +27,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the scratch folder that no other call gets."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the scratch folder that no other call gets.
+
+    It lies in a folder of the application, which Hadoop's file system removes when the
+    driver ends: what a query derives lives as long as results that read it can.
+    """
+    folder = f"{scratch_root(spark)}/sigspark-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()

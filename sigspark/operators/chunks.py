@@ -20,21 +20,28 @@ from pyspark.sql import functions as F
 
 CHUNK = 65_536
 KEY = ("recording_id", "chunk")
-# Stands for a recording without a name between cutting and the result, so that its rows
+# Stand for a recording without a name between cutting and the result, so that its rows
 # keep their key in joins as they do in windows.
-NAMELESS = "\0"
+NAMELESS = {"string": "\0", "bigint": -(1 << 63), "int": -(1 << 31)}
 
 
 def chunk_of(size: int = CHUNK, idx: str = "idx") -> Column:
     return F.expr(f"({idx} - 1) div {size}")
 
 
+def _nameless(df: DataFrame) -> Column | None:
+    kind = df.schema["recording_id"].dataType.simpleString()
+    return F.lit(NAMELESS[kind]).cast(kind) if kind in NAMELESS else None
+
+
 def keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("recording_id", F.coalesce("recording_id", F.lit(NAMELESS)))
+    name = _nameless(df)
+    return df if name is None else df.withColumn("recording_id", F.coalesce("recording_id", name))
 
 
 def unkeyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("recording_id", F.nullif(F.col("recording_id"), F.lit(NAMELESS)))
+    name = _nameless(df)
+    return df if name is None else df.withColumn("recording_id", F.nullif(F.col("recording_id"), name))
 
 
 def with_chunk(df: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigspark.operators import joins, spectral, stats, windows
@@ -14,6 +16,7 @@ from sigspark.operators.chunks import explode_range
 from sigspark.operators.index import cut_keys, with_index
 from sigspark.operators.snap_exact import snap_peaks_exact
 from sigspark.plans.annotate import annotate
+from sigspark.plans.hrv import hrv_features
 from sigspark.plans.surrogate import surrogate
 from sigspark.sources.scratch import scratch_root
 
@@ -363,3 +366,36 @@ def test_rr_moments(spark):
     rr = spark.createDataFrame([("x", None), ("x", 1.0), ("x", 0.5)], "recording_id string, rr double")
     row = stats.rr_moments(rr).first()
     assert (row.n_rr, row.rr_mean, row.hr_mean) == (2, 0.75, 80.0)
+
+
+@pytest.mark.parametrize("size", [3, 1 << 16])
+def test_nameless_recordings_keep_their_rows(spark, size):
+    """Operators with joins give the answer of plain windows, null keys and times included."""
+    rows = [(rec, i, None if i == 5 else i * 0.5, float(i * 7 % 5), 3 if i % 2 else 0) for rec in ("a", None) for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "recording_id string, idx bigint, t double, v double, peak int")
+    w = Window.partitionBy("recording_id")
+    plain = df.withColumn("v", (F.col("v") - F.min("v").over(w)) * 1.6 / (F.max("v").over(w) - F.min("v").over(w)) - 0.4)
+    near = lambda d, *c: Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.select(*c).collect())
+    assert near(windows.minmax_scale(df, size=size), "recording_id", "idx", "v") == near(plain, "recording_id", "idx", "v")
+    along = w.orderBy("idx")
+    summed = df.withColumn("s", F.sum("v").over(along))
+    assert near(windows.running_sum(df, "v", "s", size), "recording_id", "idx", "s") == near(summed, "recording_id", "idx", "s")
+    marks = df.where("peak = 3")
+    beats = marks.select("recording_id", "idx", F.row_number().over(along).alias("beat"), (F.col("t") - F.lag("t").over(along)).alias("rr"))
+    assert near(windows.rr_intervals(df, size), "recording_id", "idx", "beat", "rr") == near(beats, "recording_id", "idx", "beat", "rr")
+    points = spark.createDataFrame([(None, 2.2), ("a", None), ("a", 3.9), ("b", 1.0)], "recording_id string, t double")
+    steps = df.select("recording_id", "t", F.col("v").alias("rr"))
+    held = {(r.recording_id, r.t): r.rr for r in joins.hold_asof(points, steps, size * 0.4).collect()}
+    assert held == {(None, 2.2): 3.0, ("a", None): None, ("a", 3.9): 4.0, ("b", 1.0): None}
+    assert spectral.dft(df, 3, size=size).where("recording_id IS NULL").count() == 3
+
+
+def test_bands_take_every_bin(spark):
+    """A thousand beats with a fast ripple: the high band must not be cut off."""
+    rr = [("a", i, sum(1 + 0.1 * (k % 3 == 0) for k in range(i)), 0.0, 3) for i in range(1, 1002)]
+    df = spark.createDataFrame(rr, "recording_id string, idx bigint, t double, v double, peak int")
+    row = hrv_features(df, {"lf": (0.0, 0.2), "hf": (0.2, 0.5)}, size=100).first()
+    series = np.array([rr[k + 1][2] - rr[k][2] for k in range(1000)])
+    power = np.abs(np.fft.fft(series)) ** 2
+    f = np.arange(1000) / 1000
+    assert abs(row.hf_power - power[(f >= 0.2) & (f < 0.5)].sum()) < 1e-6 and row.hf_power > 100

@@ -260,16 +260,24 @@ def fft(series: DataFrame, kinds: Lengths, inverse: bool = False, group_rows: in
 
 
 def dft_fast(
-    signal: DataFrame, value: str = "v", size: int = CHUNK, group_rows: int = GROUP_ROWS, kinds: Lengths | None = None
+    signal: DataFrame, value: str = "v", size: int = CHUNK, group_rows: int = GROUP_ROWS, kinds: Lengths | None = None,
+    flat_as_nan: bool = False,
 ) -> DataFrame:
     """All bins k = 0..n-1 of each recording; the same figures as :func:`dft`.
 
-    ``kinds`` comes from :func:`survey_lengths` and is looked up if it is not given.
+    ``kinds`` comes from :func:`survey_lengths` and is looked up (a job) if it is not given. With
+    ``flat_as_nan`` a recording of one value has NaN in every bin.
     """
     base = signal.select("recording_id", "idx", F.col(value).cast("double").alias("re"))
     kinds = kinds or survey_lengths(lengths(base), group_rows)
-    series = attach(with_chunk(base, size), lengths(base), size).select(
-        "recording_id", "n", (F.col("idx") - 1).alias("j"), "re", F.lit(0.0).alias("im")
+    re = F.col("re")
+    if flat_as_nan:
+        per_recording = base.groupBy("recording_id").agg(F.max("idx").alias("n"), (F.min("re") == F.max("re")).alias("_flat"))
+        re = F.when(F.col("_flat"), float("nan")).otherwise(re)
+    else:
+        per_recording = lengths(base)
+    series = attach(with_chunk(base, size), per_recording, size).select(
+        "recording_id", "n", (F.col("idx") - 1).alias("j"), re.alias("re"), F.lit(0.0).alias("im")
     )
     return unkeyed(fft(series, kinds, group_rows=group_rows))
 

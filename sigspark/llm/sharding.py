@@ -55,7 +55,7 @@ def into_shards(docs: DataFrame, shards: int = 40, seed: int = 7, piece_rows: in
     ``slot`` runs from 0 without a gap in each. Rows get a partition by a digest of their
     columns (64 partitions, or as many as leave about ``piece_rows`` rows to each). How many go from each partition to each shard is
     drawn first; then each partition orders its rows at random and deals them out by those
-    counts, and each shard orders what it got at random, in pieces of about ``piece_rows``.
+    counts, and each shard orders what it got at random, in pieces of about a tenth of ``piece_rows``.
 
     The draws use the digests only, so a retried task or a rerun gives the same rows. Rows
     equal in all columns are alike and share a partition. Nulls are values like others; the
@@ -66,7 +66,7 @@ def into_shards(docs: DataFrame, shards: int = 40, seed: int = 7, piece_rows: in
     names = docs.columns
     total = docs.count()
     parts = max(64, math.ceil(total / piece_rows))
-    subs = max(1, math.ceil(total / shards / piece_rows))
+    subs = max(1, math.ceil(total / shards / max(1, piece_rows // 10)))
     digest = lambda k: F.xxhash64(F.lit(seed), F.lit(k), *[F.col(f"row.`{c}`") for c in names])
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("part", F.pmod(digest(0), F.lit(parts)).cast("int"))
     counts = dict(rows.groupBy("part").agg(F.count("*").alias("n")).collect())

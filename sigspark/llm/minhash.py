@@ -107,73 +107,78 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> Dat
     return joined.mapInArrow(_checker(words, share), "hi binary, lo binary, linked boolean")
 
 
-def _short_sets(words: int):
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full_sets(words: int):
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_set(t, words).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sets, pa.binary())], ["set_key", "short"])
+            sets = [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sets, pa.binary())], ["set_key", "full"])
 
-    return shorten
+    return fill
 
 
-def _likely(share: int, agree: int, width: int):
-    """Pairs of a block of one bucket that may be linked.
+def _linker(share: int, agree: int, width: int):
+    """Which components the sets of a block of one bucket link, as a forest: ``(hi, lo)`` of their roots.
 
-    A pair is looked at in the first band it shares. It must pass the exact size test, agree
-    in enough minima, and reach the threshold on 32-bit shingle hashes with one shingle in a
-    hundred to spare (shortened hashes only ever merge shingles).
+    A pair is looked at in the first band it shares, unless the block has linked its
+    components already. It must pass the exact size test, agree in enough minima, and reach
+    the threshold on the full sets.
     """
-    def pick(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-        keys, root, n, block, band = (rows[c].to_numpy() for c in ("set_key", "root", "n", "block", "band"))
+    def link(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        n, block, band = (rows[c].to_numpy() for c in ("n", "block", "band"))
+        root, names = pd.factorize(rows["root"])
         whole = (rows["i"] == rows["j"]).to_numpy()
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1, width)
-        sets = [np.frombuffer(x, np.uint32) for x in rows["short"]]
-        hi, lo = [], []
+        sets = rows["full"].to_numpy()
+        out = []
         for s, e in zip(starts.tolist(), ends.tolist()):
+            now = root[s:e].copy()
             for x in range(s, e - 1):
                 y = np.arange(x + 1, e)
-                fit = (root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= share * np.maximum(n[y], n[x]))
+                fit = (now[y - s] != now[x - s]) & (100 * np.minimum(n[y], n[x]) >= share * np.maximum(n[y], n[x]))
                 if not whole[s]:
                     fit &= block[y] != block[x]
                 y = y[fit]
                 if not len(y):
                     continue
                 equal = sketch[y] == sketch[x]
-                first = equal.all(axis=2).argmax(axis=1) == band[x]
-                y = y[first & (equal.sum(axis=(1, 2)) >= agree)]
+                total = equal.sum(axis=(1, 2))
+                y = y[(equal.all(axis=2).argmax(axis=1) == band[x]) & (total >= agree)]
+                mine = np.frombuffer(sets[x], np.uint64)
                 for k in y.tolist():
-                    common = len(np.intersect1d(sets[x], sets[k], assume_unique=True)) * 1.01 + 1
+                    if now[k - s] == now[x - s]:
+                        continue
+                    common = len(np.intersect1d(mine, np.frombuffer(sets[k], np.uint64), assume_unique=True))
                     if 100 * common >= share * (n[x] + n[k] - common):
-                        hi.append(max(keys[x], keys[k]))
-                        lo.append(min(keys[x], keys[k]))
-        return pd.DataFrame({"hi": hi, "lo": lo}, dtype=object)
+                        a, b = names[root[x]], names[root[k]]
+                        out.append((max(a, b), min(a, b)))
+                        now[now == now[k - s]] = now[x - s]
+        return pd.DataFrame(out, columns=["hi", "lo"], dtype=object)
 
-    return pick
+    return link
 
 
-def _left_over(now: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, share: int, agree: int, width: int) -> DataFrame:
-    """All likely pairs of different components within a bucket, met block by block."""
+def _block_links(now: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, share: int, agree: int, width: int) -> DataFrame:
+    """Links between different components within a bucket, met block by block, on full sets."""
     here = texts.join(now.select("set_key").distinct(), "set_key", "left_semi")
-    short = nodes.select("set_key", "sketch").join(here.mapInArrow(_short_sets(words), "set_key binary, short binary"), "set_key")
+    full = nodes.select("set_key", "sketch").join(here.mapInArrow(_full_sets(words), "set_key binary, full binary"), "set_key")
     blocks = now.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block")
     met = now.join(blocks, "bucket").select("*", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", "band", "set_key", "n", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
-    ).join(short, "set_key")
-    return map_groups(met, ["bucket", "i", "j"], "set_key", _likely(share, agree, width), "hi binary, lo binary").distinct()
+    ).join(full, "set_key")
+    return map_groups(met, ["bucket", "i", "j"], "set_key", _linker(share, agree, width), "hi binary, lo binary").distinct()
 
 
 def links(
     signatures: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, share: int, star_rounds: int, agree: int, width: int,
 ) -> DataFrame:
-    """``(node, root)`` of the components of the distinct sets.
+    """``(node, root)`` of the components of the distinct sets, for nodes that are not roots.
 
     Candidates are met bucket by bucket. In each of ``star_rounds`` rounds every bucket that
     still holds more than one component tests its members against one pivot, a different one
     per round; confirmed pairs join components, so a large group of near copies costs a few
-    rows per member, not its pairs. What is left are pairs of different components that share
-    a bucket. They meet in blocks of bounded size, inside which pairs that cannot be linked
-    are passed over (``_likely``).
+    rows per member, not its pairs. The members of buckets that are still mixed then meet in
+    blocks of bounded size, which hand on a forest of links between components each.
     """
     nodes = stored(
         signatures.filter("set_key IS NOT NULL").groupBy("set_key").agg(
@@ -192,30 +197,31 @@ def links(
     texts = stored(source.join(wanted, same).select(wanted["set_key"], "text").dropDuplicates(["set_key"]), "texts")
 
     near = F.expr(f"100 * least(n, other_n) >= {share} * greatest(n, other_n)")
-    now, tested = members.withColumn("root", F.col("set_key")), None
-    for turn in range(star_rounds + 1):
-        if turn < star_rounds:
-            order = F.xxhash64(F.lit(turn), "set_key")
-            pivot = now.groupBy("bucket").agg(F.min(F.struct(order, "set_key", "n", "root")).alias("p")).select(
-                "bucket", F.col("p.set_key").alias("other"), F.col("p.n").alias("other_n"), F.col("p.root").alias("other_root")
-            )
-            pairs = now.join(pivot, "bucket").filter(F.col("root") != F.col("other_root")).filter(near).select(
-                F.greatest("set_key", "other").alias("hi"), F.least("set_key", "other").alias("lo")
-            ).distinct()
-        else:
-            pairs = _left_over(now, nodes, texts, words, share, agree, width)
+    now, tested, labels = members.withColumn("root", F.col("set_key")), None, None
+    for turn in range(star_rounds):
+        order = F.xxhash64(F.lit(turn), "set_key")
+        pivot = now.groupBy("bucket").agg(F.min(F.struct(order, "set_key", "n", "root")).alias("p")).select(
+            "bucket", F.col("p.set_key").alias("other"), F.col("p.n").alias("other_n"), F.col("p.root").alias("other_root")
+        )
+        pairs = now.join(pivot, "bucket").filter(F.col("root") != F.col("other_root")).filter(near).select(
+            F.greatest("set_key", "other").alias("hi"), F.least("set_key", "other").alias("lo")
+        ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hi", "lo"], "left_anti")
         result = stored(confirmed(pairs, texts, words, share), "pairs")
         tested = result if tested is None else tested.union(result)
         labels = stored(connected_components(tested.filter("linked").select("hi", "lo")), "labels")
-        if turn < star_rounds:
-            now = members.join(labels, members["set_key"] == labels["node"], "left").select(
-                "bucket", "band", "set_key", "n", F.coalesce("root", "set_key").alias("root")
-            )
-            mixed = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-            now = stored(now.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-    return labels
+        now = members.join(labels, members["set_key"] == labels["node"], "left").select(
+            "bucket", "band", "set_key", "n", F.coalesce("root", "set_key").alias("root")
+        )
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+        now = stored(now.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
+    # What is left links roots; their own roots then stand for all they stood for.
+    last = stored(connected_components(_block_links(now, nodes, texts, words, share, agree, width)), "labels")
+    if labels is None:
+        return last
+    over = last.select(F.col("node").alias("over"), F.col("root").alias("top"))
+    return labels.join(over, labels["root"] == over["over"], "left").select("node", F.coalesce("top", "root").alias("root")).union(last)
 
 
 def near_duplicates(
@@ -228,10 +234,10 @@ def near_duplicates(
     cent or more are linked; ``component_id`` is the smallest id reachable and ``kept`` marks
     it. Two sets at the threshold share none of the bands with a probability of
     ``(1 - (share/100)^rows)^bands``, 5e-8 with the defaults; candidates are confirmed on the
-    full sets. Equal sets are one node, so copies cost one row each. In the last round of
+    full sets. Equal sets are one node, so copies cost one row each. In the blocks of
     ``links`` a candidate must also agree in ``share - 20`` per cent of all minima: a pair at
     the threshold falls short of that by more than five standard deviations (1e-6 with the
-    defaults, less for more similar pairs), and only if no earlier round has linked it.
+    defaults, less for more similar pairs), and only if no star has linked it.
 
     Null or wordless texts have no shingles and stand alone. A null id is larger than any
     other: a component without ids has a null ``component_id`` and keeps its rows. Repeated

@@ -17,7 +17,7 @@ K1, B = 1.2, 0.75
 #: Scores are sums of whole numbers, a term's share in thousandths: sums are exact in any order.
 SCALE = 1000
 #: Documents of a shard, queries that visit it together, documents of a block of postings.
-SHARD_ROWS, QUERY_ROWS, BLOCK_ROWS = 8192, 2048, 64
+SHARD_ROWS, QUERY_ROWS, BLOCK_ROWS = 8192, 8192, 64
 
 
 def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -43,6 +43,15 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(which)), pa.array(term.view(np.int64))], ["query", "term"])
 
 
+def _best(places: np.ndarray, scores: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest scores, ties by smaller id; only those that may be among them are sorted."""
+    if len(scores) > k:
+        near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        keep = near[np.lexsort((ids[places[near]], -scores[near]))[:k]]
+        places, scores = places[keep], scores[keep]
+    return places, scores
+
+
 class ShardIndex:
     """Postings of a shard's documents for the terms its queries use, with the largest impact of every block."""
 
@@ -83,6 +92,11 @@ class ShardIndex:
         order = np.argsort(-bound, kind="stable")
         places, scores, done, step, least = np.empty(0, np.int64), np.empty(0), 0, 2, 1.0
         while done < len(order) and bound[order[done]] >= least:
+            if done and 2 * int((bound[order[done:]] >= least).sum()) > len(order):
+                # The best blocks' k-th score rules out less than half: lists are read faster whole than by runs.
+                spans = [slice(self.begin[self.runs[t]], self.begin[self.runs[t + 1]]) for t in terms.tolist()]
+                total = np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.impact[x] for x in spans]), self.size)
+                return _best(np.flatnonzero(total >= least), total[total >= least], k, ids)
             now = order[done : done + step]
             live = np.zeros(len(bound), bool)
             live[now[bound[now] >= least]] = True
@@ -92,9 +106,7 @@ class ShardIndex:
             total = np.bincount(self.doc[at], self.impact[at], self.size)
             hit = np.flatnonzero(total >= least)
             places, scores = np.append(places, hit), np.append(scores, total[hit])
-            if len(scores) > k:
-                keep = np.lexsort((ids[places], -scores))[:k]
-                places, scores = places[keep], scores[keep]
+            places, scores = _best(places, scores, k, ids)
             if len(scores) == k:
                 least = max(1.0, scores.min())
             done, step = done + step, step * 4

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ _ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CACHE: dict[str, np.ndarray] = {}
 #: Words whose features a worker keeps at hand.
 CACHE_WORDS = 1 << 18
+#: Log odds (of 0.95) from which a view is sure of a row.
+SURE = float(np.log(19))
+#: Tasks that merge the surest rows of the partitions.
+MERGERS = 16
 #: Columns of the page view before binning.
 PAGE = ("characters", "words", "lines", "words_a_line", "upper", "signs", "digits", "distinct", "longest_run", "characters_a_word")
 
@@ -112,8 +117,23 @@ class Model:
             out[k, -128 + _bucket("lang", lang[k])] = out[k, -64 + _bucket("source", source[k])] = 1
         return out
 
-    def scores(self, target: str, words: np.ndarray, pages: np.ndarray) -> np.ndarray:
-        calibrated = np.stack([scale.logit(view.logit(x)[:, None]) for (view, scale), x in zip(self.views[target], (words, pages))], axis=1)
+    def places(self, ids: list[np.ndarray], page: np.ndarray, lang: list, source: list) -> tuple:
+        """Where both matrices have their ones: row and column of the word view, columns of the page view."""
+        n, bins = len(page), self.edges.shape[1] + 1
+        at = np.repeat(np.arange(n), np.fromiter(map(len, ids), int, n))
+        columns = [c * bins + np.searchsorted(self.edges[c], page[:, c]) for c in range(len(PAGE))]
+        columns += [len(PAGE) * bins + np.array([_bucket("lang", v) for v in lang], int), len(PAGE) * bins + 64 + np.array([_bucket("source", v) for v in source], int)]
+        return at, np.concatenate([*ids, np.empty(0, int)]).astype(int), np.stack(columns, axis=1)
+
+    def logits(self, target: str, places: tuple) -> list[np.ndarray]:
+        """Of either view, summed row by row in a fixed order, so that no batch changes a digit."""
+        (words, _), (pages, _) = self.views[target]
+        at, found, columns = places
+        own = np.bincount(at, words.weights.astype(float)[found], len(columns))
+        return [own + words.bias, pages.weights.astype(float)[columns].sum(axis=1) + pages.bias]
+
+    def scores(self, target: str, places: tuple) -> np.ndarray:
+        calibrated = np.stack([scale.logit(x[:, None]) for (_, scale), x in zip(self.views[target], self.logits(target, places))], axis=1)
         return 1 / (1 + np.exp(-np.clip(self.votes[target].logit(np.clip(calibrated, -8, 8)), -30, 30)))
 
 
@@ -137,15 +157,100 @@ def _chosen_in(chosen: np.ndarray, text: str | None) -> np.ndarray:
 
 
 def _digester(chosen: np.ndarray):
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [_chosen_in(chosen, t).astype(np.int32).tobytes() for t in batch["text"]]
-            page = [page_of(t) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(ids=ids, page=page)
+            texts = batch.column("text").to_pylist()
+            ids = pa.array([_chosen_in(chosen, t).astype(np.int16).tobytes() for t in texts], pa.binary())
+            page = pa.array([page_of(t) for t in texts], pa.list_(pa.float64()))
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), ids, page], [*rest, "ids", "page"])
 
     return digest
 
 
+def digested(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``rows`` with ``ids`` (places among the chosen words, 16 bits each) and ``page`` instead of ``text``."""
+    rest = rows.drop("text")
+    return rows.mapInArrow(_digester(chosen), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", ids binary, page array<double>")
+
+
+def _pages(column) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), len(PAGE))
+
+
+def edges_of(digest: DataFrame, shares: np.ndarray) -> np.ndarray:
+    """Quantiles of every layout figure over all rows, in steps of 1/256."""
+    step = F.round(F.col("v") * 256).cast("long").alias("step")
+    found = digest.select(F.posexplode("page").alias("c", "v")).groupBy("c", step).count().toPandas()
+    edges = np.zeros((len(PAGE), len(shares)))
+    for c, own in found.sort_values("step").groupby("c"):
+        upto = own["count"].to_numpy().cumsum()
+        edges[c] = own["step"].to_numpy()[np.searchsorted(upto, np.floor(shares * (upto[-1] - 1)), "right")] / 256
+    return edges
+
+
+#: A candidate: which target, view and class (``slot``) it is sure of, how sure, and its digest.
+CANDIDATE = "slot int, sure double, key binary, ids binary, page array<double>, lang string, source string"
+_OFFER = pa.schema([("slot", pa.int32()), ("sure", pa.float64()), ("key", pa.binary()), ("ids", pa.binary()), ("page", pa.list_(pa.float64())), ("lang", pa.string()), ("source", pa.string())])
+
+
+def _best(found: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The ``most`` surest different rows of every slot; ties by ``key``."""
+    found = found.sort_values(["slot", "sure", "key"], ascending=[True, False, True], ignore_index=True)
+    return found.drop_duplicates(["slot", "key"]).groupby("slot").head(most)
+
+
+def _candidates(model, given, most: int):
+    """The surest rows of a partition per slot; ``given`` has per slot the keys that were handed over before."""
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, floor = None, {}
+        for batch in batches:
+            lang, source, raw = (batch.column(c).to_pylist() for c in ("lang", "source", "ids"))
+            page, keys, rows = _pages(batch.column("page")), {}, []
+            places = model.value.places([np.frombuffer(x, np.int16) for x in raw], page, lang, source)
+            for t, target in enumerate(TARGETS):
+                for k, logit in enumerate(model.value.logits(target, places)):
+                    for value in (0, 1):
+                        slot, sure, seen = 4 * t + 2 * k + value, logit if value else -logit, set()
+                        able = np.flatnonzero(sure >= floor.get(slot, SURE))
+                        last = None
+                        for i in able[np.argsort(-sure[able], kind="stable")].tolist():
+                            if len(seen) >= most and sure[i] < last:  # rows as sure as the last one go by key
+                                break
+                            if i not in keys:
+                                keys[i] = xxhash.xxh3_128_digest(raw[i] + page[i].tobytes() + repr((lang[i], source[i])).encode())
+                            if keys[i] not in seen and keys[i] not in given.value[slot]:
+                                seen.add(keys[i])
+                                last = sure[i]
+                                rows.append((slot, sure[i], keys[i], raw[i], page[i].tolist(), lang[i], source[i]))
+            if rows:
+                part = pd.DataFrame(rows, columns=_OFFER.names)
+                best = _best(part if best is None else pd.concat([best, part]), most)
+                floor = {slot: own.min() for slot, own in best.groupby("slot")["sure"] if len(own) >= most}
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False, schema=_OFFER)
+
+    return offer
+
+
+def _merger(most: int):
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            best = _best(batch if best is None else pd.concat([best, batch]), most)
+        if best is not None:
+            yield best
+
+    return merge
+
+
+def surest(open_rows: DataFrame, model: Model, given: list[set], most: int) -> pd.DataFrame:
+    """The ``most`` surest of all ``open_rows`` per slot: of a partition, of a share of the keys, of all."""
+    context = open_rows.sparkSession.sparkContext
+    part = open_rows.select("ids", "page", "lang", "source").mapInArrow(_candidates(context.broadcast(model), context.broadcast(given), most), CANDIDATE)
+    return _best(part.repartition(MERGERS, "key").mapInPandas(_merger(most), CANDIDATE).toPandas(), most)
+
+
 def choose_words(sample: DataFrame, most: int) -> np.ndarray:
     """The ``most`` features per target that tell most about it, by likelihood ratio on the labelled rows."""
     counts = sample.filter("quality IS NOT NULL").select("text", *TARGETS).mapInPandas(_counter, "feature long, n long, quality long, toxic long")
@@ -162,61 +267,75 @@ def choose_words(sample: DataFrame, most: int) -> np.ndarray:
     return np.array(sorted(out), np.uint32)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 3000, rounds: int = 3, words: int = 512, seed: int = 3) -> Model:
-    """Fit both views for both targets.
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, most: int = 300, rounds: int = 3, words: int = 512, seed: int = 3, carry: tuple[str, ...] = ()) -> tuple[Model, DataFrame]:
+    """Fit both views for both targets; also the digests of all rows, with the ``carry`` columns as ``row``.
 
-    ``labelled`` rows with labels and ``pool`` rows without bound the sample, both taken in
-    the order of a hash of the id. A fifth of the labelled rows is held out. In each round
-    each view labels the pool; rows it is sure of (among the surest tenth of either class and
-    at least 0.95) are added, with half weight, to what the other view learns from. On the rows
-    held out each view's output is calibrated and their vote is weighed.
+    ``labelled`` rows with labels, in the order of a hash of the id, are the sample that words
+    are chosen on and learning starts from; a fifth of them is held out. Every row without a
+    label is a candidate: in each round each view judges all of them, and the different rows
+    it is surest of (``most`` of either class, at most a tenth of all candidates, and at least
+    0.95 sure) are added, with half weight, to what the other view learns from. A row is handed
+    over once. On the rows held out each view's output is calibrated and their vote is weighed.
     """
     order = lambda c: F.xxhash64(F.lit(seed), c)
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic")
     )
     taken = marks.orderBy(order(F.col("doc_id")), "doc_id").limit(labelled)
-    rest = docs.select("doc_id").join(marks, "doc_id", "left_anti").orderBy(order(F.col("doc_id")), "doc_id").limit(pool)
-    none = F.lit(None).cast("int")
-    ids = taken.union(rest.filter("doc_id IS NOT NULL").distinct().select("doc_id", none.alias("quality"), none.alias("toxic")))
-    sample = stored(docs.join(ids, "doc_id").select("doc_id", "text", "lang", "source", "quality", "toxic"), "sample")
+    sample = stored(docs.join(taken, "doc_id").select("doc_id", "text", "lang", "source", "quality", "toxic"), "sample")
     chosen = choose_words(sample, words)
-    table = sample.select("doc_id", "text", "lang", "source", "quality", "toxic").mapInPandas(
-        _digester(chosen), "doc_id long, lang string, source string, quality int, toxic int, ids binary, page array<double>"
-    ).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
-    return fit(table, chosen, rounds, seed)
-
-
-def fit(table: pd.DataFrame, chosen: np.ndarray, rounds: int, seed: int) -> Model:
-    page = np.array(table["page"].tolist(), float).reshape(len(table), len(PAGE))
-    edges = np.quantile(page, np.linspace(0.02, 0.98, 25), axis=0).T if len(table) else np.zeros((len(PAGE), 25))
-    model = Model(chosen, edges, {}, {})
-    sides = (
-        model.word_matrix([np.frombuffer(x, np.int32) for x in table["ids"]]),
-        model.page_matrix(page, table["lang"].tolist(), table["source"].tolist()),
-    )
-    known = table["quality"].notna().to_numpy()
-    held = known & (np.array([zlib.crc32(f"{seed}:{d}".encode()) % 5 for d in table["doc_id"]], int).reshape(-1) == 0)
-    for target in TARGETS:
-        y = table[target].fillna(0).to_numpy(float)
-        # Per view: what it learns from, and with which label and weight.
-        label, weight = [y.copy(), y.copy()], [(known & ~held).astype(float) for _ in sides]
-        views = [Linear(), Linear()]
-        for turn in range(rounds + 1):
+    table = digested(sample, chosen).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
+    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    digest = stored(digested(docs.select(*row, "doc_id", "text", "lang", "source"), chosen), "digest")
+    model = Model(chosen, edges_of(digest, np.linspace(0.02, 0.98, 25)), {}, {})
+    if not len(table) or not rounds:
+        return fit(table, model, seed), digest
+    # Rows without an id have no label; kept apart, they do not meet in one task of the join.
+    digests = digest.select("doc_id", "ids", "page", "lang", "source")
+    open_rows = stored(digests.filter("doc_id IS NOT NULL").join(marks, "doc_id", "left_anti").union(digests.filter("doc_id IS NULL")), "open")
+    most = min(most, max(1, open_rows.count() // 10))
+    given = [set() for _ in range(8)]
+
+    def offers(now: Model) -> pd.DataFrame:
+        found = surest(open_rows, now, given, most)
+        for slot, key in zip(found["slot"], found["key"]):
+            for value in (0, 1):  # of one class only
+                given[slot // 2 * 2 + value].add(key)
+        return found
+
+    return fit(table, model, seed, rounds, offers), digest
+
+
+def fit(table: pd.DataFrame, model: Model, seed: int, rounds: int = 0, offers=None) -> Model:
+    """Both views on the labelled rows and, round by round, on what ``offers(model)`` finds for them."""
+    def sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        page = np.array(rows["page"].tolist(), float).reshape(len(rows), len(PAGE))
+        return model.word_matrix([np.frombuffer(x, np.int16) for x in rows["ids"]]), model.page_matrix(page, rows["lang"].tolist(), rows["source"].tolist())
+
+    known = sides(table)
+    held = np.array([zlib.crc32(f"{seed}:{d}".encode()) % 5 for d in table["doc_id"]], int).reshape(-1) == 0
+    # Per target and view: features, labels and weights of what it learns from.
+    y = {t: table[t].to_numpy(float) for t in TARGETS}
+    learnt = {(t, k): [(known[k][~held], y[t][~held], np.ones((~held).sum()))] for t in TARGETS for k in (0, 1)}
+    for turn in range(rounds + 1):
+        for target in TARGETS:
+            views = []
             for k in (0, 1):
-                use = weight[k] > 0
-                views[k] = Linear().fit(sides[k][use], label[k][use], weight[k][use]) if use.any() else Linear(np.zeros(sides[k].shape[1]))
-            for k in (0, 1) if turn < rounds else ():
-                p = 1 / (1 + np.exp(-np.clip(views[k].logit(sides[k]), -30, 30)))
-                for value, sure in ((1.0, p), (0.0, 1 - p)):
-                    open_rows = np.flatnonzero(~known & (sure >= 0.95))
-                    best = open_rows[np.argsort(-sure[open_rows], kind="stable")][: max(1, int((~known).sum() // 10))]
-                    label[1 - k][best], weight[1 - k][best] = value, 0.5
-        check = held if held.any() else known
-        scales = [Linear().fit(v.logit(x[check])[:, None], y[check], np.ones(check.sum()), 1e-4) if check.any() else Linear(np.ones(1)) for v, x in zip(views, sides)]
+                x, label, weight = map(np.concatenate, zip(*learnt[target, k]))
+                views.append(Linear().fit(x, label, weight) if len(x) else Linear(np.zeros(x.shape[1])))
+            model.views[target] = [(v, Linear(np.ones(1))) for v in views]
+        if turn < rounds:
+            found = offers(model)
+            for slot, own in found.groupby("slot"):
+                target, k, value = TARGETS[slot // 4], slot // 2 % 2, slot % 2
+                learnt[target, 1 - k].append((sides(own)[1 - k], np.full(len(own), float(value)), np.full(len(own), 0.5)))
+    check = held if held.any() else np.ones(len(table), bool)
+    for target in TARGETS:
+        views, right = [v for v, _ in model.views[target]], y[target][check]
+        scales = [Linear().fit(v.logit(x)[check][:, None], right, np.ones(len(right)), 1e-4) if len(right) else Linear(np.ones(1)) for v, x in zip(views, known)]
         model.views[target] = list(zip(views, scales))
-        calibrated = np.stack([s.logit(v.logit(x)[:, None]) for (v, s), x in zip(model.views[target], sides)], axis=1)
-        model.votes[target] = Linear().fit(np.clip(calibrated[check], -8, 8), y[check], np.ones(check.sum()), 1e-4) if check.any() else Linear(np.ones(2))
+        calibrated = np.stack([s.logit(v.logit(x)[:, None]) for (v, s), x in zip(model.views[target], known)], axis=1)
+        model.votes[target] = Linear().fit(np.clip(calibrated[check], -8, 8), right, np.ones(len(right)), 1e-4) if len(right) else Linear(np.ones(2))
     return model
 
 
@@ -224,15 +343,14 @@ def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, source = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            columns = [np.empty(0), np.empty(0)]
-            texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 512):
-                part = texts[k : k + 512]
-                words = model.value.word_matrix([_chosen_in(model.value.chosen, t) for t in part])
-                pages = model.value.page_matrix(np.array([page_of(t) for t in part]), lang[k : k + 512], source[k : k + 512])
-                for c, target in enumerate(TARGETS):
-                    columns[c] = np.append(columns[c], model.value.scores(target, words, pages))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, columns)], ["row", *TARGETS])
+            if "text" in batch.schema.names:
+                texts = batch.column("text").to_pylist()
+                ids, page = [_chosen_in(model.value.chosen, t) for t in texts], np.array([page_of(t) for t in texts], float).reshape(-1, len(PAGE))
+            else:
+                ids, page = [np.frombuffer(x, np.int16) for x in batch.column("ids").to_pylist()], _pages(batch.column("page"))
+            places = model.value.places(ids, page, lang, source)
+            found = [pa.array(model.value.scores(t, places)) for t in TARGETS]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *found], ["row", *TARGETS])
 
     return score
 
@@ -241,14 +359,19 @@ def scored(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id
     """``(row, quality, toxic, kept)`` per row of ``docs``: probabilities, and whether to keep it.
 
     ``row`` holds the ``carry`` columns. A row is kept if its quality is 0.5 or more and its
-    toxicity below 0.5. Fitting collects a bounded sample (``train``); every row is scored.
-    Null and empty texts have no words and the layout of an empty page; null languages and
-    sources are values of their own. Repeated rows get equal scores. Labels without id, or
-    with a null, are left out; of several for one id the worse counts. Without any labels
-    there is nothing to judge by: every probability is 0.5 and no row is kept.
+    toxicity below 0.5. Fitting collects a bounded sample of labelled rows and the surest of
+    all others (``train``); every row is scored, from its stored digest unless it carries its
+    text, which is then not stored a second time. Null and empty texts have no words and the
+    layout of an empty page; null languages and sources are values of their own. Repeated
+    rows get equal scores. Labels without id, or with a null, are left out; of several for
+    one id the worse counts. Without any labels there is nothing to judge by: every
+    probability is 0.5 and no row is kept.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **settings))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text", "lang", "source")
+    again = "text" in carry
+    model, digest = train(docs, labels, carry=() if again else carry, **settings)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    rows = docs.select(row, "text", "lang", "source") if again else digest.select("row", "ids", "page", "lang", "source")
     fields = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_scorer(model), f"row {fields}, quality double, toxic double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = rows.mapInArrow(_scorer(shared), f"row {fields}, quality double, toxic double")
     return out.withColumn("kept", F.expr("quality >= 0.5 AND toxic < 0.5"))

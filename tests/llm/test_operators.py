@@ -384,3 +384,35 @@ def test_quality_of_hostile_rows(spark, hostile, nothing):
     assert out.select("row.*").columns == hostile.columns
     assert quality.scored(nothing, labels).count() == 0
     assert quality.scored(hostile, labels.limit(0)).filter("kept").count() == 0
+
+
+def test_every_unlabelled_row_may_teach_the_other_view(spark):
+    """A source that lies behind the first 3,000 unlabelled rows of the order of ids, and in no label."""
+    rng = random.Random(17)
+    ids = [r[0] for r in spark.range(5000).orderBy(F.xxhash64(F.lit(3), "id")).collect()]
+    last = set(ids[-60:])
+    rows, labels = [], []
+    for k in range(5400):
+        text = prose(rng, 12)
+        toxic = k in last or (k >= 5000 and k % 4 == 0)
+        rows.append((k, text + " zounds gadzooks" if toxic else text, "en", "rare" if k in last else f"s{k % 3}"))
+        if k >= 5000:
+            labels.append((k, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    place = quality._bucket("source", "rare")
+    assert place not in {quality._bucket("source", f"s{k}") for k in range(3)}
+    trained = quality.train(docs, known)
+    model = trained[0] if isinstance(trained, tuple) else trained
+    assert model.views["toxic"][1][0].weights[-64 + place] > 0.05
+
+
+def test_the_surest_rows_are_those_of_all_partitions(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = [(k, prose(rng, 5 + k % 40) + (" zounds" if k % 3 == 0 else ""), "en", "s") for k in range(300)] + [(None, "zounds zounds", None, None)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    scores = [bag(quality.scored(d, known), "row.doc_id", F.round("toxic", 9), "kept") for d in (docs.repartition(7), docs.coalesce(1))]
+    assert scores[0] == scores[1] and sum(scores[0].values()) == 351
+    whole = quality.scored(docs, known, carry=("doc_id", "text"))
+    assert bag(whole, "row.doc_id", F.round("toxic", 9), "kept") == scores[0]

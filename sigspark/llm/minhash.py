@@ -224,6 +224,20 @@ def links(
     return labels.join(over, labels["root"] == over["over"], "left").select("node", F.coalesce("top", "root").alias("root")).union(last)
 
 
+def rooted(
+    docs: DataFrame, id_col: str, text_col: str, words: int, share: int, bands: int, rows: int, seed: int, star_rounds: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, text_key, n_shingles, root)`` of the rows with words, and those without, which have no root."""
+    signatures = stored(signed(docs, id_col, text_col, words, bands, rows, seed), "signatures")
+    agree = bands * rows * (share - 20) // 100
+    labels = links(signatures, docs, id_col, text_col, words, share, star_rounds, agree, rows)
+    rows_out = signatures.select("id", "text_key", "n_shingles", "set_key")
+    found = rows_out.filter("set_key IS NOT NULL").join(labels, rows_out["set_key"] == labels["node"], "left").select(
+        "id", "text_key", "n_shingles", F.coalesce("root", "set_key").alias("root")
+    )
+    return found, rows_out.filter("set_key IS NULL").select("id", "text_key", "n_shingles")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 80,
     bands: int = 32, rows: int = 4, seed: int = 1, star_rounds: int = 1,
@@ -243,31 +257,31 @@ def near_duplicates(
     other: a component without ids has a null ``component_id`` and keeps its rows. Repeated
     rows each give a row. Only the two named columns are read. Runs jobs when called.
     """
-    signatures = stored(signed(docs, id_col, text_col, words, bands, rows, seed), "signatures")
-    agree = bands * rows * (share - 20) // 100
-    labels = links(signatures, docs, id_col, text_col, words, share, star_rounds, agree, rows)
-    rows_out = signatures.select("id", "text_key", "n_shingles", "set_key")
-    rooted = rows_out.filter("set_key IS NOT NULL").join(labels, rows_out["set_key"] == labels["node"], "left").select(
-        "id", "text_key", "n_shingles", F.coalesce("root", "set_key").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = rooted.join(least, "root").select("id", "text_key", "n_shingles", "component_id")
-    alone = rows_out.filter("set_key IS NULL").select("id", "text_key", "n_shingles", F.col("id").alias("component_id"))
+    with_words, without = rooted(docs, id_col, text_col, words, share, bands, rows, seed, star_rounds)
+    least = with_words.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = with_words.join(least, "root").select("id", "text_key", "n_shingles", "component_id")
+    alone = without.select("id", "text_key", "n_shingles", F.col("id").alias("component_id"))
     return found.union(alone).select(
         F.col("id").alias("doc_id"), "text_key", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 80,
+    bands: int = 32, rows: int = 4, seed: int = 1, star_rounds: int = 1,
+) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one document of each component stays.
 
-    Columns and values are those of ``docs``. Of repeated rows with the kept id one stays; so
-    does each different wordless text (of repeated ones with the same id, one).
+    Columns and values are those of ``docs``. A component is the texts linked as in
+    ``near_duplicates``, whatever their ids: of each the row with the smallest id stays, null
+    last, and of several texts with that id the one with the smallest digest. So unrelated
+    texts of one id all stay, and so does one of near copies without ids. Of repeated rows
+    one stays. Each different pair of an id and a wordless text stays once.
     """
-    kept = near_duplicates(docs, id_col, text_col, **settings).filter("kept")
-    # Rows of one component that share the kept id: the one with the smallest text digest.
-    loose = F.when(F.col("component_id").isNull(), F.col("text_key"))
-    kept = kept.groupBy(F.col("component_id").alias("k_id"), loose).agg(F.min("text_key").alias("k_text"))
+    with_words, without = rooted(docs, id_col, text_col, words, share, bands, rows, seed, star_rounds)
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("k")
+    kept = with_words.groupBy("root").agg(first).select("k.id", "k.text_key").union(without.select("id", "text_key").distinct())
+    kept = kept.select(F.col("id").alias("k_id"), F.col("text_key").alias("k_text"))
     whole = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row")[id_col].cast("long")).withColumn("key", text_key(F.col("row")[text_col]))
     same = whole["id"].eqNullSafe(kept["k_id"]) & (whole["key"] == kept["k_text"])
     return whole.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")

@@ -44,6 +44,21 @@ def test_one_of_each_keeps_one_row_of_a_component(hostile, nothing):
     assert minhash.one_of_each(nothing).count() == 0
 
 
+def test_one_of_each_goes_by_component_not_by_id(spark):
+    rng = random.Random(21)
+    one, two, three, lone = (prose(rng, 80) for _ in range(4))
+    rows = [
+        (1, one), (1, two), (2, one + " more"), (3, two + " more"),  # unrelated texts of one id, each with a near copy
+        (5, " \t"), (5, lone), (6, lone + " more"),  # a wordless text beside a worded one
+        (None, three), (None, three + " more"), (None, "x " + three),  # near copies without ids
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in minhash.one_of_each(df).collect()]
+    nameless = [x for x in got if x[0] is None]
+    assert Counter(x for x in got if x[0] is not None) == Counter([(1, one), (1, two), (5, " \t"), (5, lone)])
+    assert len(nameless) == 1 and nameless[0] in rows
+
+
 def test_a_large_group_of_near_copies_is_one_component(spark):
     rng = random.Random(3)
     base = prose(rng, 200).split()

@@ -51,7 +51,9 @@ def _draw(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
 def into_shards(docs: DataFrame, shards: int = 40, seed: int = 7, piece_rows: int = 1_000_000) -> DataFrame:
     """``(row, shard, slot)`` per row of ``docs``; ``row`` holds its columns.
 
-    Every order of all rows is as likely as any other; shard counts differ by one at most and
+    Every order of all rows is as likely as any other, up to 10^9 rows still to be dealt; beyond,
+    a count is a rounded normal draw in place of the hypergeometric one (``_draw``), so odds are
+    approximate and counts stay exact. Shard counts differ by one at most and
     ``slot`` runs from 0 without a gap in each. Rows get a partition by a digest of their
     columns (64 partitions, or as many as leave about ``piece_rows`` rows to each). How many go from each partition to each shard is
     drawn first; then each partition orders its rows at random and deals them out by those

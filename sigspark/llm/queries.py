@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, decontaminate, minhash, quality, repeats, search, substrings, tokenids
+from sigspark.llm import chat, decontaminate, minhash, packing, periods, quality, repeats, search, substrings, tokenids
 from sigspark.llm.common import stored, table
 from sigspark.llm.mixing import copies
 from sigspark.llm.sharding import into_shards
@@ -190,3 +190,43 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenids.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+# A checksum by its polynomial, bit by bit: a byte enters, eight steps follow (-1).
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+    lambda i: [ord(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+# Equal words p apart, gathered to stretches; a run that several lags find has the smallest as its period.
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w, {_CRC} AS h FROM documents),
+e AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+f AS (SELECT doc_id, n, w, a, CASE WHEN a IS NULL THEN 0 ELSE 1 + (n - a) // (3 + g % 8) END AS p FROM e),
+word AS (SELECT doc_id, i, CASE WHEN p > 0 AND i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END AS x FROM (SELECT *, unnest(range(0, n)) AS i FROM f)),
+pair AS (SELECT b.doc_id, b.i, c.i - b.i AS q FROM word b JOIN word c ON b.doc_id = c.doc_id AND b.x = c.x AND b.i < c.i JOIN f ON f.doc_id = b.doc_id WHERE 2 * (c.i - b.i) <= f.n),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair) GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, s, m + q AS l, min(q) AS q FROM stretch WHERE m + q >= greatest(12, 2 * q) GROUP BY doc_id, s, m + q),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t,
+    first(struct_pack(s := s, l := l, q := q) ORDER BY l DESC, s, q) AS top FROM run GROUP BY doc_id),
+cut AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN cut USING (doc_id, i) GROUP BY doc_id)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.q AS period, 1000 * top.l // top.q AS exponent_milli,
+  sha256(coalesce(said.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM f LEFT JOIN said ON said.doc_id = f.doc_id LEFT JOIN kept ON kept.doc_id = f.doc_id"""
+
+
+@query("op11_minimizer_periods", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), tails=True)
+    said = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_dominance_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -87,3 +87,69 @@ def tiles(doc, item, least):
             return covered
         in_item[i : i + n] = in_doc[j : j + n] = [True] * n
         covered += n
+
+
+def runs(w, shortest=12):
+    """``(start, end, period)`` of the maximal runs of a sequence, by every lag."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i < len(w) - q:
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= max(shortest, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1 if j == i else j
+    return sorted(((s, e, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def best_fit(sizes, capacity):
+    """Rooms left by best fit, pieces falling by size, one by one."""
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        open_ = [k for k, room in enumerate(rooms) if room >= size]
+        if open_:
+            rooms[min(open_, key=lambda k: rooms[k])] -= size
+        else:
+            rooms.append(capacity - size)
+    return sorted(rooms)
+
+
+def fewest(sizes, capacity):
+    """The fewest sequences that hold all pieces, by trying everything."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for at in {room: n for n, room in enumerate(rooms) if room >= sizes[k]}.values():
+            go(k + 1, [*rooms[:at], rooms[at] - sizes[k], *rooms[at + 1 :]])
+        go(k + 1, [*rooms, capacity - sizes[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def groups(a, b):
+    """Groups ``(ids of a, ids of b)`` of two token lists ``(id, bytes)``; None unless both spell the same."""
+    if b"".join(t for _, t in a) != b"".join(t for _, t in b):
+        return None
+    out, left, right, x, y = [], [], [], 0, 0
+    a, b = list(a), list(b)
+    while a or b:
+        if x <= y and a:
+            i, t = a.pop(0)
+            left.append(i)
+            x += len(t)
+        else:
+            i, t = b.pop(0)
+            right.append(i)
+            y += len(t)
+        if x == y:
+            out.append((left, right))
+            left, right = [], []
+    return out

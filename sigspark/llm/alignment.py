@@ -9,6 +9,8 @@ token-by-group matrices links all tokens of a group.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,17 @@ from sigspark.llm.vocabulary import Flat, plain_text, portions, ragged, strings
 COMMON = 1 << 16
 #: Pairs of ids that a task counts before it hands the counts on.
 HELD = 1 << 22
+#: Bytes of text aligned together.
+PORTION = 1 << 22
+
+
+#: Stretches handed to a library as one.
+JOINED = 32
+_BLANK = r"[\x09-\x0d\x1c-\x1f \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space, of any script, before a space, and a space at an end: such texts are not cut.
+_RUNS_ON = f"(?:^|{_BLANK}) | $"
+#: Stretches whose white space would run into a neighbour's, or that hold nothing else.
+_EDGES = f"^ (?:{_BLANK}|$)|{_BLANK}$"
 
 
 class Sparse:
@@ -70,6 +83,8 @@ class Vocabulary:
     """Ids and the bytes of each id, by either library."""
 
     def __init__(self, path: str):
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.pieces = path.endswith(".model")
         if self.pieces:
             import sentencepiece
@@ -95,26 +110,51 @@ class Vocabulary:
         self.bytes = Flat(np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens]))
         self.lengths = np.diff(self.bytes.ends)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts that begin with a space, and how many each has."""
+    def _lists(self, texts: list[str]) -> list[list[int]]:
         if self.pieces:
             # This library puts the space before a text itself.
-            found = self.library.encode([text[1:] for text in texts], num_threads=1)
-        else:
-            found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(ids) for ids in found], np.int64)
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum())), sizes
+            return self.library.encode([text[1:] for text in texts], num_threads=1)
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str], n_bytes: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that begin with a space, and how many each has.
+
+        Texts that ``joins`` allows are handed over ``JOINED`` at a time, as one; the bytes of the
+        ids tell whose they are. Where these do not end with each text, texts go one by one.
+        """
+        found, order = [], []
+        together, alone = np.flatnonzero(joins), np.flatnonzero(~joins).tolist()
+        for k in range(0, len(together), JOINED * 256):
+            some = together[k : k + JOINED * 256]
+            firsts = np.arange(0, len(some), JOINED)
+            lists = self._lists(["".join([texts[i] for i in some[j : j + JOINED].tolist()]) for j in firsts.tolist()])
+            ids = np.array(list(itertools.chain.from_iterable(lists)), np.int64)
+            ends, due = np.cumsum(self.lengths[ids]), np.cumsum(n_bytes[some])
+            last = np.searchsorted(ends, due)
+            if len(ids) and last[-1] < len(ids) and (ends[last] == due).all():
+                found.append((ids, np.diff(last, prepend=-1)))
+                order += some.tolist()
+            else:
+                alone += some.tolist()
+        for k in range(0, len(alone), 4096):
+            lists = self._lists([texts[i] for i in alone[k : k + 4096]])
+            found.append((np.array(list(itertools.chain.from_iterable(lists)), np.int64), np.array([len(ids) for ids in lists], np.int64)))
+        rows = np.empty(len(texts), np.int64)
+        rows[np.array(order + alone, np.int64)] = np.arange(len(texts))
+        parts = [np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in range(2)]
+        return Flat(*parts).take(rows)
 
 
 class Aligned:
     """Groups and links of different stretches of text, by number."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary, texts: pa.Array):
-        said = strings(texts)
+        said, joins = strings(texts), pc.invert(pc.match_substring_regex(texts, _EDGES)).to_numpy(zero_copy_only=False)
         raw = np.frombuffer("".join(said).encode(), np.uint8)
         n_bytes = pc.binary_length(texts).to_numpy().astype(np.int64)
-        ids_a, n_a = a.encode(said)
-        ids_b, n_b = b.encode(said)
+        joins &= a.divides and b.divides
+        ids_a, n_a = a.encode(said, n_bytes, joins)
+        ids_b, n_b = b.encode(said, n_bytes, joins)
         #: Whether the tokens of both give the stretch back.
         self.whole = _gives_back(a, ids_a, n_a, raw, n_bytes) & _gives_back(b, ids_b, n_b, raw, n_bytes)
         ids_a, ids_b = ids_a[np.repeat(self.whole, n_a)], ids_b[np.repeat(self.whole, n_b)]
@@ -146,6 +186,10 @@ def _gives_back(v: Vocabulary, ids: np.ndarray, counts: np.ndarray, raw: np.ndar
     ], bool)
 
 
+#: Ids as digits, with each of the three signs after them; made once in a worker.
+_SAID = [np.empty(0, object)]
+
+
 def _said(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
     """``a,a|b;a|b,b`` of the groups of each stretch, with a ``;`` after it."""
     ids, group = np.concatenate([ids_a, ids_b]), np.concatenate([group_a, group_b])
@@ -156,8 +200,9 @@ def _said(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np
     follows[:-1] = np.where(group[1:] != group[:-1], 2, of_b[1:] != of_b[:-1])
     follows[-1:] = 2
     most = int(ids.max()) + 1 if len(ids) else 0
-    words = np.array([b"%d%s" % (i, sign) for sign in (b",", b"|", b";") for i in range(most)], object)
-    parts = words[follows * most + ids].tolist()
+    if len(_SAID[0]) < 3 * most:
+        _SAID[0] = np.array([b"%d%s" % (i, sign) for i in range(most) for sign in (b",", b"|", b";")], object)
+    parts = _SAID[0][ids * 3 + follows].tolist()
     ends = np.cumsum(n_a + n_b).tolist()
     return [b"".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
 
@@ -171,8 +216,6 @@ def _vocabulary(path: str) -> Vocabulary:
     return _WORKER[path]
 
 
-#: White space, of any script, before a space, and a space at the end: such texts are not cut.
-_RUNS_ON = r"(?:^|[\x09-\x0d\x1c-\x1f \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) | $"
 _FIELDS = [
     ("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_overlaps", pa.int64()),
     ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())),
@@ -206,7 +249,7 @@ def _aligner(path_a: str, path_b: str):
         a, b = _vocabulary(path_a), _vocabulary(path_b)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for some in portions(batch):
+            for some in portions(batch, PORTION):
                 found = _rows(a, b, some)
                 keys = np.arange(number, number + some.num_rows)
                 number += some.num_rows

@@ -215,21 +215,22 @@ def tokenizer():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
-def test_token_ids_come_back_from_the_files(spark, hostile, tokenizer, tmp_path):
+@pytest.mark.parametrize("block_ids", [4096, tokenids.BLOCK_IDS])
+def test_token_ids_come_back_from_the_files(spark, hostile, tokenizer, tmp_path, block_ids):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer)
     path = str(tmp_path / "ids")
     rows = hostile.filter("doc_id IS NOT NULL AND doc_id NOT IN (2, 14)").unionByName(
         hostile.limit(1).withColumn("doc_id", F.lit(300).cast("long")).withColumn("text", F.lit("<|endoftext|> áb  x <|startoftext|>Σ's")))
-    tokenids.write_ids(rows, tokenizer, path)
+    tokenids.write_ids(rows, tokenizer, path, block_ids=block_ids)
     got = sorted(map(tuple, tokenids.id_digests(spark, path).collect()))
     want, at = [], 0
     for i, text in sorted((r.doc_id, r.text) for r in rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    assert got == want and max(w[2] for w in want) > tokenids.BLOCK_IDS
+    assert got == want and max(w[2] for w in want) > 2 * 4096
 
 
 def test_token_ids_of_repeated_and_nameless_rows(hostile, nothing, tokenizer):
@@ -247,6 +248,37 @@ def test_range_coder_round_trip_and_gain():
     assert len(coded[2]) < 40 and len(coded[4]) < 300
 
 
+@pytest.mark.parametrize("top", [3, 300, 65_536, 70_000, 1 << 31])
+def test_range_coder_over_many_streams_and_large_ids(top):
+    rng = np.random.default_rng(top)
+    often = rng.integers(0, top, 500)
+    for n in (1, rangecoder.STREAM, 3 * rangecoder.STREAM + 1, 40_000):
+        block = np.where(rng.random(n) < 0.7, often[np.minimum(rng.geometric(0.02, n), 499)], rng.integers(0, top, n))
+        block[n // 2 :] = block[: n - n // 2]
+        assert (rangecoder.decode(rangecoder.encode([block]), [n])[0] == block).all()
+    assert (rangecoder.decode(rangecoder.encode([np.array([top - 1])]), [1])[0] == top - 1).all()
+
+
+def test_checksums_of_parts_join():
+    rng = random.Random(8)
+    for _ in range(20):
+        parts = [rng.randbytes(rng.choice([0, 1, 7, 4096])) for _ in range(rng.randint(1, 6))]
+        assert tokenids.joined_crc([zlib.crc32(x) for x in parts], [len(x) for x in parts]) == zlib.crc32(b"".join(parts))
+
+
+def test_equal_rows_fill_several_files(spark, tokenizer, tmp_path):
+    path, merging = str(tmp_path / "ids"), "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.createDataFrame([(3, "one two three")] * 4000, "doc_id long, text string").repartition(8)
+    spark.conf.set(merging, "false")
+    try:
+        tokenids.write_ids(rows, tokenizer, path)
+    finally:
+        spark.conf.unset(merging)
+    assert spark.read.parquet(path).select("file").distinct().count() > 3
+    found = sorted(map(tuple, tokenids.id_digests(spark, path).collect()))
+    assert [f[1] for f in found] == list(range(0, 16000, 4)) and len({(f[0], *f[2:]) for f in found}) == 1
+
+
 def test_a_damaged_block_is_noticed(spark, tokenizer, hostile, tmp_path):
     tokenids.write_ids(hostile, tokenizer, str(tmp_path / "ids"))
     bad = spark.read.parquet(str(tmp_path / "ids")).withColumn("crc32", F.col("crc32") + 1)

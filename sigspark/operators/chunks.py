@@ -49,10 +49,11 @@ def with_chunk(df: DataFrame, size: int = CHUNK) -> DataFrame:
     return keyed(df).withColumn("chunk", chunk_of(size))
 
 
-def with_halo(df: DataFrame, before: int, after: int, size: int = CHUNK) -> DataFrame:
+def with_halo(df: DataFrame, before: int | str, after: int | str, size: int = CHUNK) -> DataFrame:
     """Add ``chunk``; rows needed by another chunk's frame appear there once more.
 
-    ``before``/``after`` is how many rows a frame reaches back/ahead.
+    ``before``/``after`` is how many rows a frame reaches back/ahead, the same for all rows or
+    the name of a column that has each row's own.
     """
     first = F.expr(f"greatest(0L, (idx - 1 - {after}) div {size})")
     last = F.expr(f"(idx - 1 + {before}) div {size}")

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.clock import number_axis
+from sigspark.sources.scratch import scratch_root
 
 # A key with more rows than this is cut into pieces of about this many.
 PIECE_ROWS = 1 << 20
 # A hot key is cut at so many quantiles of its order column, then evenly between them.
 CELLS = 64
 FINENESS = 4
+# Hot keys up to this number go to every task; beyond, Spark joins as it sees fit.
+SHORT_TABLE = 10_000
 
 
 def _cell(axis: Column) -> Column:
@@ -23,22 +26,51 @@ def _cell(axis: Column) -> Column:
     return first + below(F.slice("_borders", first + 1, step))
 
 
+def hot_keys(df: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS) -> DataFrame | None:
+    """Keys with more than ``piece_rows`` rows and their counts ``_n``; None if there are none.
+
+    A plain count, run when it is asked for: at most one key in ``piece_rows`` rows is hot, so what
+    comes back is small and is kept under the checkpoint folder.
+    """
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows)
+    if hot.isEmpty():
+        return None
+    scratch_root(df.sparkSession)
+    return hot.checkpoint()
+
+
+def _joined(df: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Null-safe join with the table of hot keys; it goes to every task if it is counted to be short."""
+    few = few.withColumnsRenamed({c: f"_hot_{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
+    few = F.broadcast(few) if few.count() <= SHORT_TABLE else few
+    return df.join(few, same, how).drop(*[f"_hot_{c}" for c in keys])
+
+
 def cut_keys(
     df: DataFrame, keys: list[str], order: list[str], piece_rows: int = PIECE_ROWS, cut_along: list[str] | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Add piece numbers that cut hot keys along their order columns; also the new columns' names.
 
-    One aggregate gives every key's row count and the quantiles of its first order column. A
-    hot key is cut at these quantiles, so an outlier, a gap or a burst moves no other rows
-    together, and each cell again into even stretches. Rows without an order value come first,
-    NaN last, in pieces of their own. ``cut_along`` lists the order columns to cut by, one cut
-    inside the other: by default the first one. Name a later order column to cut rows that
-    agree in the earlier ones, as in a burst of one instant or rows without a value. Keys are
-    compared null-safe.
+    A plain count finds the hot keys; only for their rows a quantile sketch of the first order
+    column is made. A hot key is cut at these quantiles, so an outlier, a gap or a burst moves no
+    other rows together, and each cell again into even stretches. Rows without an order value
+    come first, NaN last, in pieces of their own. ``cut_along`` lists the order columns to cut by,
+    one cut inside the other: by default the first one. Name a later order column to cut rows
+    that agree in the earlier ones, as in a burst of one instant or rows without a value. Keys
+    are compared null-safe. ``_cut`` tells the rows of keys that were cut.
     """
     pieces: list[str] = []
+    df = df.withColumn("_cut", F.lit(False))
     for level, column in enumerate(cut_along or order[:1]):
         group, piece = [*keys, *pieces], f"_piece{level}"
+        pieces.append(piece)
+        counted = hot_keys(df, group, piece_rows)
+        if counted is None:
+            df = df.withColumn(piece, F.lit(0).cast("bigint"))
+            continue
         axis = number_axis(df, column).cast("double")
         finite = F.when(~F.isnan(axis) & (F.abs(axis) < float("inf")), axis)
         # A later order column only orders rows that agree in all earlier ones.
@@ -47,17 +79,12 @@ def cut_keys(
             none = F.count(earlier) == 0
             agree = agree & (none | ((F.min(earlier) == F.max(earlier)) & (F.count(earlier) == F.count(F.lit(1)))))
         marks = [k / CELLS for k in range(1, CELLS)]
-        counts = df.groupBy(*group).agg(
+        hot = _joined(df, counted, group, "inner").groupBy(*group).agg(
             F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
             F.percentile_approx(finite, marks, 1000).alias("_borders"), agree.alias("_agree"),
-        )
-        hot = counts.where((F.col("_n") > piece_rows) & F.col("_agree")).select(
-            *[F.col(c).alias(f"_hot_{c}") for c in group], "_lo", "_hi", "_borders",
-            F.ceil(F.col("_n") * FINENESS / (piece_rows * CELLS)).alias("_cuts"), F.lit(True).alias("_is_hot"),
-        )
-        same = F.lit(True)
-        for c in group:
-            same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
+        ).where("_agree").select(
+            *group, "_lo", "_hi", "_borders", F.ceil(F.col("_n") * FINENESS / (piece_rows * CELLS)).alias("_cuts"), F.lit(True).alias("_is_hot"),
+        ).checkpoint()
         cell = _cell(finite)
         lo = F.when(cell > 0, F.element_at("_borders", F.greatest(cell, F.lit(1)))).otherwise(F.col("_lo"))
         hi = F.when(cell < CELLS - 1, F.element_at("_borders", F.least(cell + 1, F.lit(CELLS - 1)))).otherwise(F.col("_hi"))
@@ -66,13 +93,11 @@ def cut_keys(
             finite.isNull(), F.when(F.isnan(axis), CELLS * F.col("_cuts") + 1).otherwise(CELLS * F.col("_cuts"))
         ).otherwise(cell * F.col("_cuts") + F.coalesce(inside, F.lit(0)))
         df = (
-            df.join(hot, same, "left")
+            _joined(df, hot, group, "left")
             .withColumn(piece, F.when(F.col("_is_hot"), place).otherwise(F.lit(0)).cast("bigint"))
-            .drop("_lo", "_hi", "_borders", "_cuts", *[f"_hot_{c}" for c in group])
+            .withColumn("_cut", F.col("_cut") | F.coalesce("_is_hot", F.lit(False)))
+            .drop("_lo", "_hi", "_borders", "_cuts", "_is_hot")
         )
-        # A key is cut if its first level is.
-        df = df.withColumnRenamed("_is_hot", "_cut") if level == 0 else df.drop("_is_hot")
-        pieces.append(piece)
     return df, pieces
 
 
@@ -86,11 +111,13 @@ def with_index(
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... along ``order`` (which must be a total order).
 
-    Small keys are numbered in one window each. A hot key is cut into pieces, see
-    :func:`cut_keys`; rows are numbered inside a piece and shifted by the row count of the
-    pieces before it. The input is read for the borders, for the counts of hot keys' pieces
-    and for the numbers.
+    A plain count looks for hot keys first. Without any, every key is numbered in one window:
+    the input is read twice, the first time only for its keys. A hot key is cut into pieces, see
+    :func:`cut_keys`; rows are numbered inside a piece and shifted by the row count of the pieces
+    before it: the input is then read four times, thrice for keys and order columns only.
     """
+    if hot_keys(df, keys, piece_rows) is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     cut, pieces = cut_keys(df, keys, order, piece_rows, cut_along)
     before = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

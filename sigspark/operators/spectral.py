@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -16,9 +17,10 @@ from sigspark.sources.scratch import scratch_root
 
 # Bins summed side by side in one pass over the samples.
 BINS_PER_PASS = 32
-# Longest series transformed inside one group. Its square bounds the (padded) length of a
-# recording: 2^40 samples.
+# Longest series transformed inside one group.
 GROUP_ROWS = 1 << 20
+# Sides of a grid at most; five of 2^13 are beyond any length with exact angles.
+SIDES = 5
 
 _BINS = ["recording_id", "n", "k", "re", "im"]
 
@@ -93,13 +95,16 @@ def two_band_spectrum(params: DataFrame, n: int, sf: float) -> DataFrame:
 
 
 # --- all bins ----------------------------------------------------------------
+# Between steps a series is told apart by ``recording_id`` and the whole-number columns in
+# ``outer``; these stay with it.
 
-def _transform_groups(df: DataFrame, keys: list[str], position: str, frequency: str, inverse: bool) -> DataFrame:
+def _transform_groups(df: DataFrame, keys: list[str], carried: list[str], position: str, frequency: str, inverse: bool) -> DataFrame:
     """Transform each group of ``keys``: ``_len`` values at ``position``, absent ones zero.
 
-    Both directions are unscaled.
+    ``carried`` are whole numbers, the same on all rows of a group, that the result keeps. Both
+    directions are unscaled.
     """
-    fields = ["recording_id", "n", "_n1", "_part"]
+    fields = ["recording_id", *carried]
 
     def transform(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         at, size = rows[position].to_numpy(), rows["_len"].to_numpy()[starts]
@@ -124,26 +129,24 @@ def _transform_groups(df: DataFrame, keys: list[str], position: str, frequency:
             "re": out.real, "im": out.imag,
         })
 
-    schema = f"recording_id string, n bigint, _n1 bigint, _part bigint, {frequency} bigint, re double, im double"
+    schema = ", ".join(["recording_id string", *(f"{c} bigint" for c in carried), f"{frequency} bigint, re double, im double"])
     return map_groups(df.select(*fields, position, "_len", "re", "im"), keys, position, transform, schema)
 
 
 class Lengths(NamedTuple):
-    """Which kinds of series longer than one group there are."""
+    """Which kinds of series longer than one group there are, as the number of passes over a grid (0: none)."""
 
-    grid: bool
-    chirp: bool
+    grid: int
+    chirp: int
 
 
 def survey_lengths(per_recording: DataFrame, group_rows: int = GROUP_ROWS) -> Lengths:
     """Look at the lengths ``n`` (one small aggregate) to know which transforms are needed."""
-    long, prime = F.col("n") > group_rows, F.col("_n1").isNull()
-    row = _with_factor(per_recording, group_rows).agg(
-        F.max(long & ~prime), F.max(long & prime), F.max(F.when(long & prime, _padded(F.col("n"))))
+    n, passes = F.col("n"), _passes(F.col("n"), group_rows)
+    row = per_recording.agg(
+        F.max(F.when(passes > 1, passes)), F.max(F.when(passes.isNull(), _passes(_padded(n), group_rows)))
     ).first()
-    if row[2] is not None and row[2] > group_rows * group_rows:
-        raise ValueError(f"a series needs {row[2]} bins; raise group_rows above {group_rows}")
-    return Lengths(bool(row[0]), bool(row[1]))
+    return Lengths(row[0] or 0, row[1] or 0)
 
 
 def _padded(n: Column) -> Column:
@@ -151,39 +154,60 @@ def _padded(n: Column) -> Column:
     return next_pow2((2 * n - 1).cast("double"))
 
 
+def _split(n: Column) -> Column:
+    """A power of two near the root that divides n: the first side of its grid."""
+    return F.least(n.bitwiseAND(-n), next_pow2(F.sqrt(n.cast("double"))))
+
+
+def _passes(n: Column, group_rows: int) -> Column:
+    """Sides of the smallest grid with none above ``group_rows``: 1 for a short series.
+
+    More than two sides have the largest power of two that a group holds, as often as needed.
+    NULL if n has too few factors of two. Cheap enough to be worked out per row.
+    """
+    bits = max(group_rows.bit_length() - 1, 1)
+    shifts = F.array(*[F.lit(shift) for shift in range(0, 62, bits)][:SIDES - 1])
+
+    def fits(m: Column, shift: Column) -> Column:
+        rest = F.call_function("shiftright", m, shift)
+        first = _split(rest)
+        whole = F.call_function("shiftleft", rest, shift) == m
+        return whole & (rest > 1) & (first <= group_rows) & (rest <= first * group_rows)
+
+    def counted(m: Column) -> Column:
+        found = F.array_position(F.transform(shifts, lambda shift: fits(m, shift)), F.lit(True))
+        return F.when(m <= group_rows, 1).when(found > 0, found + 1)
+
+    # Bound as a variable, so that n is worked out once.
+    return F.transform(F.array(n), counted)[0].cast("int")
+
+
 def _fft_short(series: DataFrame, inverse: bool) -> DataFrame:
-    whole = series.withColumns({
-        "_n1": F.lit(1).cast("bigint"), "_part": F.lit(0).cast("bigint"), "_len": F.col("n"),
-    })
-    return _transform_groups(whole, ["recording_id"], "j", "k", inverse).select(*_BINS)
+    whole = series.withColumn("_len", F.col("n"))
+    return _transform_groups(whole, ["recording_id"], ["n"], "j", "k", inverse).select(*_BINS)
 
 
-def _fft_grid(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
-    """Series whose length factors, as an ``n1 x n2`` grid: columns first, then rows."""
-    grid = _with_factor(series, group_rows).withColumns({
-        "_part": F.pmod(F.col("j"), F.col("_n1")), "_j2": F.expr("j div _n1"), "_len": F.expr("n div _n1"),
-    })
-    cols = _transform_groups(grid, ["recording_id", "_part"], "_j2", "_k2", inverse)
-    turn = (1 if inverse else -1) * _angle(F.col("_part"), F.col("_k2"), F.col("n"))
+def _fft_grid(series: DataFrame, outer: list[str], inverse: bool, group_rows: int, passes: int) -> DataFrame:
+    """Series of ``passes`` sides, as a grid: its long columns first, themselves grids if need be, then its rows."""
+    side, part, whole = f"_side{passes}", f"_part{passes}", f"_whole{passes}"
+    first = _split(F.col("n")) if passes == 2 else F.lit(1 << (group_rows.bit_length() - 1)).cast("bigint")
+    grid = series.withColumn(side, first).select(
+        "recording_id", *outer, F.col("n").alias(whole), side, F.pmod(F.col("j"), F.col(side)).alias(part), F.expr(f"n div {side}").alias("n"),
+        F.expr(f"j div {side}").alias("j"), "re", "im",
+    )
+    inside = [*outer, whole, side, part]
+    if passes == 2:
+        cols = _transform_groups(grid.withColumn("_len", F.col("n")), ["recording_id", *inside], [*inside, "n"], "j", "k", inverse)
+    else:
+        cols = _fft_grid(grid, inside, inverse, group_rows, passes - 1)
+    turn = (1 if inverse else -1) * _angle(F.col(part), F.col("k"), F.col(whole))
     turned = cols.select(
-        "recording_id", "n", "_n1",
-        F.col("_part").alias("_j1"), F.col("_k2").alias("_part"), F.col("_n1").alias("_len"),
+        "recording_id", *outer, whole, side, F.col(part).alias("_row"), F.col("k").alias(part), F.col(side).alias("_len"),
         *_rotated(F.col("re"), F.col("im"), turn),
     )
-    rows = _transform_groups(turned, ["recording_id", "_part"], "_j1", "_k1", inverse)
-    return rows.withColumn("k", F.col("_part") + F.expr("n div _n1") * F.col("_k1")).select(*_BINS)
-
-
-def _with_factor(series: DataFrame, group_rows: int) -> DataFrame:
-    """Add ``_n1``: 1 for a short series, else a power of two near the root that divides n.
-
-    NULL if that leaves a group above ``group_rows``. Cheap enough to be worked out per row.
-    """
-    n = F.col("n")
-    twos = n.bitwiseAND(-n)
-    n1 = F.least(twos, next_pow2(F.sqrt(n.cast("double"))))
-    fits = (n1 <= group_rows) & (n <= n1 * group_rows)
-    return series.withColumn("_n1", F.when(n <= group_rows, F.lit(1).cast("bigint")).when(fits, n1))
+    rows = _transform_groups(turned, ["recording_id", *inside], inside, "_row", "_high", inverse)
+    k = F.col(part) + F.expr(f"{whole} div {side}") * F.col("_high")
+    return rows.select("recording_id", *outer, F.col(whole).alias("n"), k.alias("k"), "re", "im")
 
 
 def _rotated(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:
@@ -194,47 +218,50 @@ def _rotated(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:
     )
 
 
-def _fft_chirp(series: DataFrame, inverse: bool, group_rows: int) -> DataFrame:
+def _square_mod(j: Column, m: Column) -> Column:
+    """``j * j`` modulo ``m``, from the halves of j, so that no product leaves 64 bits below 2^52."""
+    high, low = F.shiftright(j, 26), j.bitwiseAND((1 << 26) - 1)
+    square = F.lit(0).cast("bigint")
+    for part, shifts in ((high * high, (10, 10, 10, 10, 10, 2)), (2 * high * low, (10, 10, 6)), (low * low, ())):
+        part = F.pmod(part, m)
+        for shift in shifts:
+            part = F.pmod(part * (1 << shift), m)
+        square = square + part
+    return F.pmod(square, m)
+
+
+def _fft_chirp(series: DataFrame, inverse: bool, group_rows: int, passes: int) -> DataFrame:
     """All bins of series of any length, as a convolution with a chirp.
 
     ``2jk = j^2 + k^2 - (k-j)^2`` turns the sum into a convolution, which is done with
-    transforms of a power-of-two length of at least 2n - 1, which factors evenly.
+    transforms of a power-of-two length of at least 2n - 1, which factors evenly. The chirp
+    depends on the length alone: it is made and transformed once for each that occurs, and
+    joined on length and bin. The padded lengths are grids of ``passes`` sides.
     """
     sign = 1 if inverse else -1
 
     def chirp(position: str) -> Column:
-        # j^2 mod 2n from the halves of j, so that no product leaves 64 bits below 2^40 samples.
-        j, m = F.col(position), 2 * F.col("size")
-        high, low = F.shiftright(j, 20), j.bitwiseAND((1 << 20) - 1)
-        square = F.lit(0).cast("bigint")
-        for part, shift in ((high * high, 40), (2 * high * low, 20), (low * low, 0)):
-            part = F.pmod(part, m)
-            for _ in range(shift // 20):
-                part = F.pmod(part * (1 << 20), m)
-            square = square + part
-        return sign * 2 * F.pi() * F.pmod(square, m) / m
+        turns = 2 * F.col("size")
+        return sign * 2 * F.pi() * _square_mod(F.col(position), turns) / turns
 
     sized = series.withColumn("size", F.col("n")).withColumn("n", _padded(F.col("n")))
-    turned = sized.select("recording_id", "n", "j", *_rotated(F.col("re"), F.col("im"), chirp("j")))
-    one_each = sized.groupBy("recording_id", "n", "size").agg(F.lit(0).cast("bigint").alias("_first")).withColumn("_last", F.col("size") - 1)
-    half = explode_range(one_each, "_first", "_last", "m", spread_by=["recording_id"])
-    both_ends = half.select(
-        "recording_id", "n", F.cos(chirp("m")).alias("re"), (-F.sin(chirp("m"))).alias("im"),
-        F.explode(F.when(F.col("m") == 0, F.array(F.col("m"))).otherwise(F.array(F.col("m"), F.col("n") - F.col("m")))).alias("j"),
+    turned = sized.select("recording_id", "size", "n", "j", *_rotated(F.col("re"), F.col("im"), chirp("j")))
+    each = series.select(F.col("n").alias("size")).distinct().withColumns({
+        "n": _padded(F.col("size")), "_first": F.lit(0).cast("bigint"), "_last": F.col("size") - 1,
+    })
+    ends = F.when(F.col("m") == 0, F.array(F.col("m"))).otherwise(F.array(F.col("m"), F.col("n") - F.col("m")))
+    kernel = explode_range(each, "_first", "_last", "m", spread_by=["size"]).select(
+        F.col("size").cast("string").alias("recording_id"), "size", "n", F.cos(chirp("m")).alias("re"), (-F.sin(chirp("m"))).alias("im"), F.explode(ends).alias("j"),
     )
-    left = _fft_grid(turned, False, group_rows)
-    right = _fft_grid(both_ends, False, group_rows).select("recording_id", "k", F.col("re").alias("_re"), F.col("im").alias("_im"))
-    product = left.join(right, ["recording_id", "k"]).select(
-        "recording_id", "n", F.col("k").alias("j"),
+    left = _fft_grid(turned, ["size"], False, group_rows, passes)
+    right = _fft_grid(kernel, ["size"], False, group_rows, passes).select("size", "k", F.col("re").alias("_re"), F.col("im").alias("_im"))
+    product = left.join(right, ["size", "k"]).select(
+        "recording_id", "size", "n", F.col("k").alias("j"),
         ((F.col("re") * F.col("_re") - F.col("im") * F.col("_im")) / F.col("n")).alias("re"),
         ((F.col("re") * F.col("_im") + F.col("im") * F.col("_re")) / F.col("n")).alias("im"),
     )
-    convolved = _fft_grid(product, True, group_rows).select("recording_id", "k", "re", "im")
-    return (
-        half.select("recording_id", "size", F.col("m").alias("k"))
-        .join(convolved, ["recording_id", "k"])
-        .select("recording_id", F.col("size").alias("n"), "k", *_rotated(F.col("re"), F.col("im"), chirp("k")))
-    )
+    convolved = _fft_grid(product, ["size"], True, group_rows, passes).where(F.col("k") < F.col("size"))
+    return convolved.select("recording_id", F.col("size").alias("n"), "k", *_rotated(F.col("re"), F.col("im"), chirp("k")))
 
 
 def fft(series: DataFrame, kinds: Lengths, inverse: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -243,19 +270,22 @@ def fft(series: DataFrame, kinds: Lengths, inverse: bool = False, group_rows: in
     Unscaled both ways. No group is longer than ``group_rows``. A series up to that length
     is one group. A longer one is arranged as an ``n1 x n2`` grid with ``n = n1 * n2`` and n1
     a power of two: the columns are transformed, turned by their twiddle angle, then the
-    rows are transformed. Other lengths go through a chirp convolution.
+    rows are transformed; columns that are too long are grids themselves. Other lengths go
+    through a chirp convolution of a length that is a grid. Lengths below 2^51 are exact in
+    their angles.
     """
     if not (kinds.grid or kinds.chirp):
         return _fft_short(series, inverse)
     # Several branches read the series: write it once.
     scratch_root(series.sparkSession)
-    series = _with_factor(series, group_rows).checkpoint()
-    is_long, factors = F.col("n") > group_rows, F.col("_n1").isNotNull()
-    out = _fft_short(series.where(~is_long).drop("_n1"), inverse)
-    if kinds.grid:
-        out = out.unionByName(_fft_grid(series.where(is_long & factors).drop("_n1"), inverse, group_rows))
-    if kinds.chirp:
-        out = out.unionByName(_fft_chirp(series.where(is_long & ~factors).drop("_n1"), inverse, group_rows).select(*_BINS))
+    series = series.withColumn("_passes", _passes(F.col("n"), group_rows)).checkpoint()
+    passes = F.col("_passes")
+    out = _fft_short(series.where(passes == 1), inverse)
+    for count in range(2, kinds.grid + 1):
+        out = out.unionByName(_fft_grid(series.where(passes == count).drop("_passes"), [], inverse, group_rows, count))
+    for count in range(2, kinds.chirp + 1):
+        fits = passes.isNull() & (F.lit(True) if kinds.chirp == 2 else _passes(_padded(F.col("n")), group_rows) == count)
+        out = out.unionByName(_fft_chirp(series.where(fits).drop("_passes"), inverse, group_rows, count))
     return out
 
 

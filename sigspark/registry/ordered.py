@@ -16,7 +16,7 @@ from sigspark.sources.runlog import param_lines, pivot_log
 from sigspark.registry.base import query, rounded
 from sigspark.registry.scalars import RANGES_SQL, unit_sql
 from sigspark.registry.tables import (
-    ACTIVITY, CUSTOMER_SCENARIOS, activity, customer_scenarios, dbl, signal, stored_signal, table, with_signal,
+    ACTIVITY, CUSTOMER_SCENARIOS, activity, customer_scenarios, dbl, samples, signal, stored_signal, table, with_signal,
 )
 
 DAY = 86_400.0
@@ -30,18 +30,18 @@ SNAP = 4
 @query("d1_moments", with_signal("""
 SELECT recording_id, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM sig GROUP BY ALL"""))
 def d1_moments(spark, d):
-    return stats.moments(signal(spark, d)).select("recording_id", "n", rounded("mean"), rounded("sd"))
+    return stats.moments(samples(spark, d)).select("recording_id", "n", rounded("mean"), rounded("sd"))
 
 
 @query("d2_extent", with_signal("""
 SELECT recording_id, min(v) AS v_min, max(v) AS v_max, max(v) - min(v) AS v_range FROM sig GROUP BY ALL"""))
 def d2_extent(spark, d):
-    return stats.extent(signal(spark, d))
+    return stats.extent(samples(spark, d))
 
 
 @query("d3_row_counts", with_signal("SELECT recording_id, count(*) AS n_rows FROM sig GROUP BY ALL"))
 def d3_row_counts(spark, d):
-    return stats.row_counts(signal(spark, d))
+    return stats.row_counts(samples(spark, d))
 
 
 @query("d7_corpus_tally", """

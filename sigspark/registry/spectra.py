@@ -123,7 +123,7 @@ def k3_annotate(spark, d):
     params = state.select("recording_id").distinct().select(
         "recording_id", *[v.alias(c) for v, c in zip(values, ("q", "sf_ecg", "noise_amp", "hr_mean"))], default_waves().alias("waves")
     )
-    out = annotate_each(state, params, 256, 11)
+    out = annotate_each(state, params, 11)
     return out.select("recording_id", "idx", "t", rounded("v"), "peak")
 
 

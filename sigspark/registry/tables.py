@@ -24,15 +24,19 @@ def event_code(column: str = "event_type"):
     return code
 
 
-def signal(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Events as a signal: one recording per user, ``t`` in seconds, event type as peak code."""
+def samples(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Events as samples of a signal: one recording per user, ``t`` in seconds, event type as peak code."""
     events = table(spark, sf_dir, "events")
-    rows = events.select(
+    return events.select(
         F.col("user_id").cast("string").alias("recording_id"),
         (epoch_micros(events, "ts") / F.lit(1e6)).alias("t"),
         F.col("value").alias("v"), event_code().alias("peak"), "event_id", *extra,
     )
-    return with_index(rows, ["recording_id"], ["t", "event_id"]).select(
+
+
+def signal(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """The samples numbered along each recording."""
+    return with_index(samples(spark, sf_dir, *extra), ["recording_id"], ["t", "event_id"]).select(
         "recording_id", "idx", "t", "v", "peak", "event_id", *extra
     )
 

@@ -11,13 +11,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigspark.operators import joins, spectral, stats, windows
+from sigspark.operators import joins, snap_exact, spectral, stats, windows
 from sigspark.operators.chunks import explode_range
 from sigspark.operators.index import cut_keys, with_index
 from sigspark.operators.snap_exact import snap_peaks_exact
-from sigspark.plans.annotate import annotate
+from sigspark.plans.annotate import annotate, annotate_each
 from sigspark.plans.hrv import hrv_features
 from sigspark.plans.surrogate import surrogate
+from sigspark.schema import DEFAULT_WAVES, default_waves
 from sigspark.sources.scratch import scratch_root
 
 SIZE = 5
@@ -216,6 +217,27 @@ def test_snap_hand_cases(spark):
     assert peaks_of(snap_peaks_exact(tie, windows.snap_width(32))) == [0, 3, 0, 0]
 
 
+@pytest.mark.parametrize("d, size", [(1, 1), (3, 7), (4, 16)])
+def test_exact_snap_over_long_slopes(spark, monkeypatch, d, size):
+    """Marks pass a hundred chunks; kinds meet, merge and overwrite each other on the way."""
+    tries = []
+    plain = snap_exact._try_states
+    monkeypatch.setattr(snap_exact, "_try_states", lambda size, states: tries.append(states) or plain(size, states))
+    rng, rows, want = random.Random(d), [], []
+    n = 100 * size
+    for name, slope, share in (("up", 1, 0.02), ("down", -1, 0.02), ("dense", 1, 0.6), ("rough", 1, 0.3), ("flat", 0, 0.5), ("waves", 1, 0.2)):
+        v, marks = [], []
+        for i in range(n):
+            step = rng.choice([-1.5, 1, 2]) if name == "rough" else 1 if name != "waves" or (i // (7 * size)) % 2 else -1
+            v.append((v[-1] if v else 0.0) + slope * step)
+            marks.append(rng.choice([1, 2, 3, 4, 5]) if rng.random() < share else 0)
+        rows += [(name, i + 1, float(v[i]), marks[i]) for i in range(n)]
+        want += [(name, i, m) for i, m in enumerate(snapped_in_place(v, marks, d), start=1)]
+    df = spark.createDataFrame(rows, "recording_id string, idx bigint, v double, peak int")
+    assert got(snap_peaks_exact(df, d, size), "recording_id", "idx", "peak") == sorted(want)
+    assert len(tries) <= 4
+
+
 def test_scaling(sig, rows, spark):
     out = windows.minmax_scale(sig, size=SIZE).groupBy("recording_id").agg(F.min("v"), F.max("v"))
     figures = {r[0]: (r[1], r[2]) for r in out.collect()}
@@ -307,7 +329,7 @@ def check_bins(df, data, first=0, last=None):
             assert bins[rec][k] == pytest.approx(want[k % len(v)], abs=1e-8), (rec, k)
 
 
-@pytest.mark.parametrize("group_rows", [1 << 18, 16])
+@pytest.mark.parametrize("group_rows", [1 << 18, 16, 4])
 def test_dft_fast_by_group_grid_and_chirp(series, group_rows):
     data, df = series
     check_bins(spectral.dft_fast(df, size=SIZE, group_rows=group_rows), data)
@@ -315,11 +337,31 @@ def test_dft_fast_by_group_grid_and_chirp(series, group_rows):
 
 def test_survey_of_lengths(spark):
     lengths = spark.createDataFrame([(64,), (12,)], "n bigint")
-    assert spectral.survey_lengths(lengths, 100) == (False, False)
-    assert spectral.survey_lengths(lengths, 8) == (True, False)
-    assert spectral.survey_lengths(spark.createDataFrame([(23,), (5,)], "n bigint"), 8) == (False, True)
-    with pytest.raises(ValueError):
-        spectral.survey_lengths(spark.createDataFrame([(101,)], "n bigint"), 8)
+    assert spectral.survey_lengths(lengths, 100) == (0, 0)
+    assert spectral.survey_lengths(lengths, 8) == (2, 0)
+    assert spectral.survey_lengths(spark.createDataFrame([(23,), (5,)], "n bigint"), 8) == (0, 2)
+    # Beyond the square of a group: three sides and more, for powers of two and for padded lengths.
+    assert spectral.survey_lengths(spark.createDataFrame([(256,), (101,)], "n bigint"), 8) == (3, 3)
+    assert spectral.survey_lengths(spark.createDataFrame([(1 << 45,), (3 << 40,), ((1 << 44) + 1,)], "n bigint")) == (3, 3)
+
+
+def test_squares_of_long_positions(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(m // 2), m) for m in (2 * rng.randrange(1, 1 << 52) for _ in range(200))]
+    found = spark.createDataFrame(pairs, "j bigint, m bigint").select("j", "m", spectral._square_mod(F.col("j"), F.col("m")).alias("s"))
+    assert all(r.s == r.j * r.j % r.m for r in found.collect())
+
+
+@pytest.mark.parametrize("n", [256, 101])
+def test_transforms_of_three_and_four_sides(spark, n):
+    """Groups of 8 values: 256 as a deep grid, 101 through a padded length; several recordings of a length."""
+    rng = np.random.default_rng(n)
+    data = {f"r{k}": rng.normal(size=n) for k in range(3)}
+    df = spark.createDataFrame([(r, i + 1, float(x)) for r, v in data.items() for i, x in enumerate(v)], "recording_id string, idx bigint, v double")
+    spectrum = spectral.dft_fast(df, size=SIZE, group_rows=8).persist()
+    check_bins(spectrum, data)
+    back = {(r.recording_id, r.idx): r.v for r in spectral.idft(spectrum, 8).collect()}
+    assert len(back) == 3 * n and all(back[r, i] == pytest.approx(x, abs=1e-9) for r, v in data.items() for i, x in enumerate(v, start=1))
 
 
 def test_dft_in_blocks(series):
@@ -362,6 +404,27 @@ def test_annotate_does_not_depend_on_chunks(sig):
     assert -0.5 <= min(values) and max(values) < 1.3
 
 
+@pytest.mark.parametrize("size", [64, 1 << 16])
+def test_each_recording_with_its_own_rate(spark, size):
+    """Rates far apart, and recordings without parameters, next to the same recordings on their own."""
+    rng = random.Random(12)
+    sets = {"fast": (1, 1000, 0.1), "slow": (1, 64, 0.05), "usual": (2, 256, 0.2), "still": (1, 32, 0.1), None: (1, 500, 0.3)}
+    rows = [(name, i, math.cos(i / 9), math.sin(i / 9), rng.random()) for name in (*sets, "unknown") for i in range(1, 301)]
+    state = spark.createDataFrame(rows, "recording_id string, idx bigint, x double, y double, v double").repartition(5)
+    params = spark.createDataFrame([(n, *p, 60.0) for n, p in sets.items()], "recording_id string, q int, sf_ecg int, noise_amp double, hr_mean double")
+    out = annotate_each(state, params.withColumn("waves", default_waves()), 3, size).persist()
+    angles = [math.radians(theta) for _, theta, _, _ in DEFAULT_WAVES]
+    near = lambda df: sorted((r.idx, round(r.t, 9), round(r.v, 9), r.peak) for r in df.select("idx", "t", "v", "peak").collect())
+    for name, (q, rate, noise) in sets.items():
+        own = F.col("recording_id").eqNullSafe(F.lit(name))
+        assert near(out.where(own)) == near(annotate(state.where(own), angles, q, rate, noise, 3, size))
+        assert out.where(own & (F.col("peak") > 0)).count() > 10
+    rest = out.where("recording_id = 'unknown'").collect()
+    assert sorted(r.idx for r in rest) == list(range(1, 301)) and {(r.t, r.v, r.peak) for r in rest} == {(None, None, 0)}
+    none = annotate_each(state, params.withColumn("waves", default_waves()).limit(0), 3, size)
+    assert none.count() == len(rows) and none.where("peak > 0 OR v IS NOT NULL").count() == 0
+
+
 def test_rr_moments(spark):
     rr = spark.createDataFrame([("x", None), ("x", 1.0), ("x", 0.5)], "recording_id string, rr double")
     row = stats.rr_moments(rr).first()

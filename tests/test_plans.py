@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sigspark.operators import spectral, windows
 from sigspark.operators.index import with_index
-from sigspark.plans.annotate import annotate
+from sigspark.plans.annotate import annotate, annotate_each
+from sigspark.registry import QUERIES
+from sigspark.schema import default_waves
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +58,13 @@ def test_annotate_shuffles_the_samples_once(spark, stored):
     assert "Python" not in plan
 
 
+def test_annotate_each_shuffles_the_samples_once(spark, stored):
+    params = stored.select("recording_id").distinct().select(
+        "recording_id", F.lit(2).alias("q"), F.lit(256).alias("sf_ecg"), F.lit(0.1).alias("noise_amp"), F.lit(60.0).alias("hr_mean"), default_waves().alias("waves"))
+    plan = plan_of(annotate_each(stored, params, 1))
+    assert sample_exchanges(plan) == 2 and by_recording_only(plan) == [] and "Python" not in plan
+
+
 def test_scan_reads_only_needed_columns(stored):
     plan = plan_of(windows.minmax_scale(stored.select("recording_id", "idx", "v")))
     schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
@@ -67,7 +76,20 @@ def test_filters_reach_the_scan(stored):
     assert plan.count("GreaterThanOrEqual(idx,10)") >= 1
 
 
-def test_numbering_reads_the_input_three_times(spark, stored):
-    plan = plan_of(with_index(stored.drop("idx"), ["recording_id"], ["t"]))
-    final = plan.split("== Initial Plan ==")[-1]
-    assert final.count("Scan parquet") <= 5 and "Subquery" not in plan
+def test_numbering_without_hot_keys_is_one_window(stored):
+    """Beside the count that looked for hot keys: one scan, one exchange, no quantile."""
+    plan = plan_of(with_index(stored.drop("idx"), ["recording_id"], ["t"])).split("== Initial Plan ==")[-1]
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert "percentile" not in plan and "Subquery" not in plan and "Join" not in plan
+
+
+def test_numbering_with_hot_keys_reads_twice_more(stored):
+    """Counts and quantiles are tables by then; the rows are read for the pieces' counts and for the numbers."""
+    plan = plan_of(with_index(stored.drop("idx"), ["recording_id"], ["t"], piece_rows=100)).split("== Initial Plan ==")[-1]
+    assert plan.count("Scan parquet") == 2 and "percentile" not in plan
+
+
+def test_aggregates_read_samples_without_numbers(spark):
+    for name in ("d1_moments", "d2_extent", "d3_row_counts"):
+        plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[-1]
+        assert plan.count("Scan parquet") == 1 and "Window" not in plan and plan.count("Exchange") == 1

@@ -26,9 +26,9 @@ from sigspark.llm.vocabulary import Flat, plain_text, portions, ragged, strings
 #: Pairs in so many documents or more that at most this many exist go to every task.
 COMMON = 1 << 16
 #: Pairs of ids that a task counts before it hands the counts on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Bytes of text aligned together.
-PORTION = 1 << 22
+PORTION = 1 << 21
 
 
 #: Stretches handed to a library as one.

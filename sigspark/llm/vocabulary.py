@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,11 @@ import pyarrow.compute as pc
 MOST, PORTION = 1 << 20, 1 << 23
 
 
+#: Latin letters, words of them, and words of these and ASCII signs.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+_PLAIN, _SIMPLE = re.compile("[a-zß-öø-ÿ]+"), r"^[\x00-\x7fÀ-ÖØ-öø-ÿ]*$"
+
+
 def portions(batch: pa.RecordBatch, most: int = PORTION, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have at most ``most`` bytes together, or of one longer text."""
     sizes = pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
@@ -65,10 +72,11 @@ class WordIds:
     """Ids of whole texts by the tokenizers library, for vocabularies that drop white space.
 
     White space separates what such a library's normalizer and splitter look at, so the ids of a
-    text are those of its words, one after the other. An ASCII word is lower-cased first if the
-    normalizer does so, and full stops and commas after a letter or digit are a word of their own
-    if the splitter sees them so. The library encodes each different word once, thousands
-    together with a space between; the offsets of the ids tell whose they are.
+    text are those of its words, one after the other. A word of ASCII signs and Latin letters is
+    lower-cased first if the normalizer does so, and full stops and commas after a letter or digit
+    are a word of their own if the splitter sees them so. The library encodes each different word
+    once: by its model if the word is of such letters alone, else thousands together with a space
+    or a full stop between. What the normalizer and the splitter do is asked of them at the start.
     """
 
     def __init__(self, path: str):
@@ -79,14 +87,31 @@ class WordIds:
         splitter = self.library.pre_tokenizer
         parts = [part for part, _ in splitter.pre_tokenize_str("ab., c7,. .")] if splitter else []
         self.peel = parts == ["ab", ".,", "c", "7", ",.", "."] and len(self.library.encode(".", add_special_tokens=False).ids) == 1
+        # Letters whose normal form is their lower case, and what the splitter makes of each.
+        letters = "".join(sorted({c.lower() for c in _LETTERS}))
+        alone = self.library.normalizer is not None and self.library.normalizer.normalize_str(_LETTERS) == _LETTERS.lower()
+        self.signs = {ord(c): "".join(part for part, _ in splitter.pre_tokenize_str(c)) for c in letters} if splitter else {}
+        added = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.plain = self.peel and alone and not any(token.strip().isalpha() for token in added) and [
+            part for part, _ in splitter.pre_tokenize_str(letters)] == [letters.translate(self.signs)] and self.library.encode(
+            letters, add_special_tokens=False).ids == self._model(letters)
         self._forget()
 
+    def _model(self, word: str) -> list[int]:
+        return [token.id for token in self.library.model.tokenize(word.translate(self.signs))]
+
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {"": 0}
         self.known = Flat(np.empty(0, np.uint32), np.zeros(1, np.int64))
 
     def _learn(self, words: list[str]) -> None:
         """Have the library encode words not met before, thousands together."""
+        plain = [word for word in words if self.plain and _PLAIN.fullmatch(word)]
+        if plain:
+            # Such a word is one piece as it stands, so it goes to the model itself.
+            found = list(map(self._model, plain))
+            self._add(plain, np.array(list(itertools.chain.from_iterable(found)), np.uint32), np.array([len(ids) for ids in found], np.int64))
+            words = [word for word in words if word not in self.numbers]
         stopped = [word for word in words if self.peel and "." not in word]
         others = [word for word in words if not self.peel or "." in word]
         for k in range(0, len(stopped), 4096):
@@ -125,13 +150,13 @@ class WordIds:
         counts = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
         words, where = coded.dictionary, coded.indices.to_numpy()
-        ascii_only = pc.string_is_ascii(words)
+        simple = pc.match_substring_regex(words, _SIMPLE) if self.plain else pc.string_is_ascii(words)
         if self.lower:
-            words = pc.if_else(ascii_only, pc.ascii_lower(words), words)
+            words = pc.if_else(simple, pc.utf8_lower(words), words)
         if not self.peel:
             return self.known.gathered(self._rows(words)[where], counts)
         stems = pc.ascii_rtrim(words, ".,")
-        apart = pc.and_(ascii_only, pc.match_substring_regex(stems, "[A-Za-z0-9]$"))
+        apart = pc.and_(simple, pc.match_substring_regex(stems, "[A-Za-z0-9À-ÖØ-öø-ÿ]$"))
         stems = pc.if_else(apart, stems, words)
         sizes = pc.utf8_length(stems).to_numpy().tolist()
         tails = pa.array([word[n:] for word, n in zip(strings(words), sizes)], pa.large_string())

@@ -73,16 +73,26 @@ f AS (SELECT *, 3 * source_size / CAST(weight AS DOUBLE) AS filled,
 k AS (SELECT rest, share, filled FROM f WHERE CAST(rest AS DOUBLE) / share <= filled ORDER BY filled, source NULLS LAST LIMIT 1),
 t AS (SELECT f.*, CASE WHEN k.rest IS NULL OR f.filled < k.filled THEN CAST(3 * f.source_size AS DOUBLE)
     ELSE CAST(k.rest AS DOUBLE) * f.weight / CAST(k.share AS DOUBLE) END AS target FROM f LEFT JOIN k ON true),
-p AS (SELECT source, n, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-q AS (SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS missing,
-    CASE WHEN p.source_size > 0 THEN (p.target - p.whole * p.source_size) / p.source_size ELSE 0 END AS part,
-    d.size * p.n > p.source_size AS long FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-r AS (SELECT *, row_number() OVER w AS pos, sum(size) OVER w AS words, count(*) OVER (PARTITION BY source, long) AS m
-  FROM q WINDOW w AS (PARTITION BY source, long ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-z AS (SELECT *, long AND pos <= floor(m * part + 0.5) AS drawn FROM r),
-o AS (SELECT *, coalesce(sum(size) FILTER (drawn) OVER (PARTITION BY source), 0) AS long_words FROM z)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN long THEN drawn ELSE 2 * words - size <= 2 * (missing - long_words) END::INT) AS BIGINT) AS taken FROM o"""
+p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+e AS (SELECT d.*, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE -1 END AS k, (u + 0.5) / 4294967296 AS v FROM d),
+c AS (SELECT source, k, count(*) AS n, sum(size) AS w, sum(size::HUGEINT * size) AS q FROM e GROUP BY ALL),
+g AS (SELECT c.*, p.target - p.whole * p.source_size AS missing, power(2.0::DOUBLE, k) AS least,
+    power(2.0::DOUBLE, k) * sum(CASE WHEN k >= 0 THEN n ELSE 0 END) OVER (PARTITION BY c.source) > p.source_size AND k >= 0 AS long,
+    (p.target - p.whole * p.source_size - coalesce(sum(w) OVER (PARTITION BY c.source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / nullif(CAST(sum(q) OVER (PARTITION BY c.source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS rate
+  FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source),
+h AS (SELECT *, max(CASE WHEN rate * least < 1 THEN k END) OVER (PARTITION BY source) AS free,
+    coalesce(sum(CASE WHEN NOT long THEN w END) OVER (PARTITION BY source), 0) AS short_words FROM g),
+i AS (SELECT *, coalesce(max(CASE WHEN k = free THEN rate END) OVER (PARTITION BY source), 0) AS r FROM h),
+j AS (SELECT *, CASE WHEN long THEN CASE WHEN free IS NULL OR k > free THEN n ELSE floor(r * w) END END AS draws FROM i),
+x AS (SELECT e.*, j.draws, j.long, j.missing, j.short_words, p.source_size, p.target, p.whole, CASE WHEN j.long THEN e.k ELSE -1 END AS stratum,
+    CASE WHEN j.long AND r > 0 THEN v / (1 - v) / (least(r * size, 1 - power(2.0::DOUBLE, -40)) / (1 - least(r * size, 1 - power(2.0::DOUBLE, -40)))) ELSE v END AS pareto
+  FROM e JOIN j ON e.source IS NOT DISTINCT FROM j.source AND e.k = j.k JOIN p ON e.source IS NOT DISTINCT FROM p.source),
+y AS (SELECT *, row_number() OVER o AS pos, sum(size) OVER o AS words FROM x WINDOW o AS (PARTITION BY source, stratum ORDER BY pareto, v, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, missing - coalesce(sum(size) FILTER (long AND pos <= draws) OVER (PARTITION BY source), 0) AS open FROM y),
+f2 AS (SELECT *, greatest(least(floor(open / nullif(short_words, 0)), 3 - whole), 0) AS every FROM z)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN size = 0 THEN 0 WHEN long THEN (pos <= draws)::INT
+  ELSE every + (every < 3 - whole AND 2 * words - size <= 2 * (open - every * short_words))::INT END) AS BIGINT) AS taken FROM f2"""
 
 
 @query("op10_pareto_mix", OP10_SQL)

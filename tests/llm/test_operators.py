@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,3 +464,85 @@ def test_the_surest_rows_are_those_of_all_partitions(spark, monkeypatch):
     assert scores[0] == scores[1] and sum(scores[0].values()) == 351
     whole = quality.scored(docs, known, carry=("doc_id", "text"))
     assert bag(whole, "row.doc_id", F.round("toxic", 9), "kept") == scores[0]
+
+
+# --- nothing lost, nothing too often ---------------------------------------------------------
+
+@pytest.mark.parametrize("size", [600, 900])
+def test_repeats_longer_than_a_thousand_bytes(spark, size):
+    """Shared passages of about a whole context, which is nearly twice the size."""
+    rng = random.Random(size)
+    shared = [prose(rng, 600)[: 2 * size - 120 + 40 * k] for k in range(4)]
+    rows = [(k, prose(rng, 30) + shared[k % 4] + prose(rng, 30)) for k in range(24)] + [(90, shared[0][: size - 1]), (91, None), (92, shared[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in repeats.without_repeats(df, size=size).select("row.doc_id", "n_bytes", "n_removed", "kept").collect()}
+    data = [list((t or "").encode()) for _, t in rows]
+    drop = brute.repeated(data, size)
+    assert got == {i: (len(u), sum(d), bytes(b for b, x in zip(u, d) if not x)) for (i, _), u, d in zip(rows, data, drop)}
+
+
+def test_a_pair_is_met_in_the_first_band_whose_key_it_shares():
+    rng = np.random.default_rng(2)
+    sets = [np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)]
+    for band in (0, 5, 31):
+        keys = rng.integers(1, 2**62, (2, 32))
+        keys[1, band:] = keys[0, band:]
+        keys[1, :band] = keys[0, :band] + (1 << 16)  # equal in the low bits only
+        rows = pd.DataFrame({
+            "n": [100, 100], "block": [0, 0], "band": [band] * 2, "root": [b"a", b"b"], "i": [0, 0], "j": [0, 0],
+            "bands": list(keys), "full": [x.tobytes() for x in sets],
+        })
+        found = minhash._linker(80)(rows, np.array([0]), np.array([2]))
+        assert found.to_numpy().tolist() == [[b"b", b"a"]]
+        other = minhash._linker(80)(rows.assign(band=(band + 1) % 32), np.array([0]), np.array([2]))
+        assert len(other) == 0
+
+
+def test_no_document_comes_more_than_three_times(spark):
+    rows = [(k, "small", 0) for k in range(30)] + [(100 + k, "small", 7) for k in range(5)] + [(200 + k, "large", 400) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    out = mixing.copies(df, F.col("words"), F.col("source"), [F.col("doc_id")], weights=(50, 1)).persist()
+    small = out.filter("row.source = 'small'")
+    assert small.first().target == 3 * small.first().source_size == 105
+    assert {r.copies for r in small.collect()} == {3} and out.agg(F.max("copies")).first()[0] <= 3
+
+
+def test_a_heavy_tail_comes_near_its_target(spark):
+    rows = [(k, "a", 1000) for k in range(3)] + [(10 + k, "a", 10) for k in range(20)] + [(100, "b", 4266)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    out = mixing.copies(df, F.col("words"), F.col("source"), [F.col("doc_id")], weights=(1, 1)).filter("row.source = 'a'").collect()
+    taken = sum(r.size * r.copies for r in out)
+    assert out[0].target == 3733 and abs(taken - 3733) < 0.04 * 3733 and max(r.copies for r in out) <= 3
+
+
+def test_long_documents_are_drawn_by_their_words(spark):
+    """Many sources of one make: how often each document is in, against the chance it should have."""
+    sizes = [64, 80, 96, 112, 127, 128, 160, 200, 250, *[9] * 60]
+    rows = [(1000 * s + k, f"s{s:04d}", n) for s in range(900) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    out = mixing.copies(df, F.col("words"), F.col("source"), [F.col("doc_id")], piece_rows=2)
+    total, square = sum(sizes), sum(n * n for n in sizes)
+    part = out.withColumn("whole", F.floor(F.col("target") / F.col("source_size"))).filter(F.abs(F.col("target") - (F.col("whole") + 0.5) * total) < 1e-6)
+    share = dict(part.groupBy((F.col("row.doc_id") % 1000).alias("k")).agg(F.avg(F.col("copies") - F.col("whole"))).collect())
+    rate = 0.5 * total / square
+    for group in (range(5), range(5, 9)):
+        words = sum(sizes[k] for k in group)
+        drawn = int(rate * words)
+        assert 0 < drawn < len(group) and sum(share[k] for k in group) == pytest.approx(drawn)
+        for k in group:
+            assert share[k] == pytest.approx(drawn * sizes[k] / words, abs=0.09)
+        assert share[group[-1]] > share[group[0]] + 0.1
+    taken = part.groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("target")).collect()
+    assert max(abs(r.t - r.target) for r in taken) <= 5
+
+
+@pytest.mark.parametrize("good, bad, sample", [(7, 30, 11), (400, 600, 250), (25_000, 975_000, 30_000)])
+def test_large_draws_follow_the_hypergeometric_law(good, bad, sample):
+    rng = np.random.default_rng(good)
+    mine = np.array([sharding._inverted(u, good, bad, sample) for u in (np.arange(4000) + 0.5) / 4000])
+    numpys = rng.hypergeometric(good, bad, sample, 200_000)
+    assert mine.mean() == pytest.approx(numpys.mean(), rel=0.01) and mine.std() == pytest.approx(numpys.std(), rel=0.02)
+    for q in (0.01, 0.1, 0.5, 0.9, 0.99):
+        assert abs(np.quantile(mine, q) - np.quantile(numpys, q)) <= max(1, 0.05 * numpys.std())
+    huge = sharding.communication_matrix([3 * 10**9, 0, 10**9, 5], 7, 1)
+    assert huge.sum(axis=1).tolist() == [3 * 10**9, 0, 10**9, 5] and huge.sum(axis=0).max() - huge.sum(axis=0).min() <= 1

@@ -115,7 +115,8 @@ def _searcher(size: int):
         context = rows["context"].to_numpy()
         for s, e in zip(starts.tolist(), ends.tolist()):
             parts = [np.append(np.frombuffer(context[k], np.uint8).astype(np.uint16) + 1, 0) for k in range(s, e)]
-            length = RunIndex(np.concatenate(parts)).matching_statistics()
+            # A match ends in the next context at the latest: no two of them are equal.
+            length = RunIndex(np.concatenate(parts), 2 * max(map(len, parts))).matching_statistics()
             begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             for k in range(s, e):
                 windows = len(context[k]) - size + 1

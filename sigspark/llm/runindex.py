@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Matches are measured up to this length.
+#: Matches are measured up to this length, if no other is asked for.
 LONGEST = 1 << 10
 
 
@@ -42,11 +42,11 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, longest: int) -> np.ndarray:
     """Length of the common start of the suffixes at ``a`` and ``b``, eight bytes a step."""
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    for step in range(0, LONGEST, 8):
+    for step in range(0, longest, 8):
         differ = words[np.minimum(a[live] + step, n)] ^ words[np.minimum(b[live] + step, n)]
         same = differ == 0
         stop = live[~same]
@@ -57,7 +57,7 @@ def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarr
         live = live[same]
         if not len(live):
             break
-    out[live] = LONGEST
+    out[live] = longest
     return out
 
 
@@ -66,10 +66,12 @@ class RunIndex:
 
     Separators are zero, bytes one higher than they are. Of the longest match of each place
     with its neighbour in suffix order only the values at run ends are kept: within a run, the
-    match of a place is that of the place before less one, so they tell all others.
+    match of a place is that of the place before less one, so they tell all others; ``longest``
+    is the length up to which matches are measured: no match may be longer.
     """
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, longest: int = LONGEST):
+        longest = -(-longest // 8) * 8
         order = suffix_order(symbols)
         transform = np.where(order > 0, symbols[order - 1].astype(np.int64), -1)  # nothing stands before the text
         change = np.flatnonzero(transform[1:] != transform[:-1]) + 1
@@ -78,14 +80,14 @@ class RunIndex:
         self.lengths = last - first + 1
         #: Sampled places: of every run's first row, with the row before; of its last, with the row after.
         self.heads, self.tails = order[first], order[last]
-        data = np.zeros(len(symbols) + LONGEST + 16, np.uint8)
+        data = np.zeros(len(symbols) + longest + 16, np.uint8)
         data[: len(symbols)] = (symbols - 1).astype(np.uint8)
         # Separators match nothing: a place in one ends every match, checked by the caller's bounds.
-        words = np.lib.stride_tricks.sliding_window_view(data, 8)[: len(symbols) + LONGEST + 1].copy().view(np.uint64).ravel()
+        words = np.lib.stride_tricks.sliding_window_view(data, 8)[: len(symbols) + longest + 1].copy().view(np.uint64).ravel()
         top = len(words) - 1
         self.up, self.down = np.zeros(len(first), np.int64), np.zeros(len(last), np.int64)
-        self.up[1:] = _common(words, order[first[1:]], order[first[1:] - 1], top)
-        self.down[:-1] = _common(words, order[last[:-1]], order[last[:-1] + 1], top)
+        self.up[1:] = _common(words, order[first[1:]], order[first[1:] - 1], top, longest)
+        self.down[:-1] = _common(words, order[last[:-1]], order[last[:-1] + 1], top, longest)
 
     def matching_statistics(self) -> np.ndarray:
         """Length of the longest start of each suffix that also starts elsewhere, in the order of the text."""

@@ -15,7 +15,7 @@ from sigspark.llm.common import run_hashes, stored, text_key, word_hashes, words
 from sigspark.llm.components import connected_components
 from sigspark.operators.groups import map_groups
 
-SIGNED = "id long, text_key binary, n_shingles long, set_key binary, sketch binary, bands array<long>"
+SIGNED = "id long, text_key binary, n_shingles long, set_key binary, bands array<long>"
 #: Members of a bucket that meet in one task at a time, of either side.
 BLOCK = 1024
 
@@ -52,7 +52,7 @@ def _signer(words: int, bands: int, rows: int, seed: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sets, sketches, keys = [], [], [], []
+            size, sets, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, words)
                 size.append(len(found))
@@ -60,15 +60,13 @@ def _signer(words: int, bands: int, rows: int, seed: int):
                 if len(found):
                     # The upper halves of the sums are the hash; a band is a digest of its rows.
                     low = (minima(found, a, b) >> np.uint64(32)).reshape(bands, rows)
-                    sketches.append(low.astype(np.uint16).tobytes())
                     run = run_hashes(np.concatenate([marks, low], axis=1).ravel(), rows + 1)[:: rows + 1]
                     keys.append(run.view(np.int64).tolist())
                 else:
-                    sketches.append(None)
                     keys.append([])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "text_key", "n_shingles", "set_key", "sketch", "bands"],
+                [batch.column("id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "text_key", "n_shingles", "set_key", "bands"],
             )
 
     return sign
@@ -116,18 +114,17 @@ def _full_sets(words: int):
     return fill
 
 
-def _linker(share: int, agree: int, width: int):
+def _linker(share: int):
     """Which components the sets of a block of one bucket link, as a forest: ``(hi, lo)`` of their roots.
 
-    A pair is looked at in the first band it shares, unless the block has linked its
-    components already. It must pass the exact size test, agree in enough minima, and reach
-    the threshold on the full sets.
+    A pair is looked at in the first band whose key it shares, unless the block has linked its
+    components already. It must pass the exact size test and reach the threshold on the full sets.
     """
     def link(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         n, block, band = (rows[c].to_numpy() for c in ("n", "block", "band"))
         root, names = pd.factorize(rows["root"])
         whole = (rows["i"] == rows["j"]).to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1, width)
+        keys = np.stack(rows["bands"].to_list())
         sets = rows["full"].to_numpy()
         out = []
         for s, e in zip(starts.tolist(), ends.tolist()):
@@ -140,9 +137,7 @@ def _linker(share: int, agree: int, width: int):
                 y = y[fit]
                 if not len(y):
                     continue
-                equal = sketch[y] == sketch[x]
-                total = equal.sum(axis=(1, 2))
-                y = y[(equal.all(axis=2).argmax(axis=1) == band[x]) & (total >= agree)]
+                y = y[(keys[y] == keys[x]).argmax(axis=1) == band[x]]
                 mine = np.frombuffer(sets[x], np.uint64)
                 for k in y.tolist():
                     if now[k - s] == now[x - s]:
@@ -157,20 +152,20 @@ def _linker(share: int, agree: int, width: int):
     return link
 
 
-def _block_links(now: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, share: int, agree: int, width: int) -> DataFrame:
+def _block_links(now: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
     """Links between different components within a bucket, met block by block, on full sets."""
     here = texts.join(now.select("set_key").distinct(), "set_key", "left_semi")
-    full = nodes.select("set_key", "sketch").join(here.mapInArrow(_full_sets(words), "set_key binary, full binary"), "set_key")
+    full = nodes.select("set_key", "bands").join(here.mapInArrow(_full_sets(words), "set_key binary, full binary"), "set_key")
     blocks = now.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block")
     met = now.join(blocks, "bucket").select("*", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", "band", "set_key", "n", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
     ).join(full, "set_key")
-    return map_groups(met, ["bucket", "i", "j"], "set_key", _linker(share, agree, width), "hi binary, lo binary").distinct()
+    return map_groups(met, ["bucket", "i", "j"], "set_key", _linker(share), "hi binary, lo binary").distinct()
 
 
 def links(
-    signatures: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, share: int, star_rounds: int, agree: int, width: int,
+    signatures: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, share: int, star_rounds: int,
 ) -> DataFrame:
     """``(node, root)`` of the components of the distinct sets, for nodes that are not roots.
 
@@ -182,7 +177,7 @@ def links(
     """
     nodes = stored(
         signatures.filter("set_key IS NOT NULL").groupBy("set_key").agg(
-            F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
+            F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
             F.min(F.struct("text_key", "id")).alias("at"),
         ), "nodes",
     )
@@ -217,7 +212,7 @@ def links(
         mixed = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
         now = stored(now.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
     # What is left links roots; their own roots then stand for all they stood for.
-    last = stored(connected_components(_block_links(now, nodes, texts, words, share, agree, width)), "labels")
+    last = stored(connected_components(_block_links(now, nodes, texts, words, share)), "labels")
     if labels is None:
         return last
     over = last.select(F.col("node").alias("over"), F.col("root").alias("top"))
@@ -229,8 +224,7 @@ def rooted(
 ) -> tuple[DataFrame, DataFrame]:
     """``(id, text_key, n_shingles, root)`` of the rows with words, and those without, which have no root."""
     signatures = stored(signed(docs, id_col, text_col, words, bands, rows, seed), "signatures")
-    agree = bands * rows * (share - 20) // 100
-    labels = links(signatures, docs, id_col, text_col, words, share, star_rounds, agree, rows)
+    labels = links(signatures, docs, id_col, text_col, words, share, star_rounds)
     rows_out = signatures.select("id", "text_key", "n_shingles", "set_key")
     found = rows_out.filter("set_key IS NOT NULL").join(labels, rows_out["set_key"] == labels["node"], "left").select(
         "id", "text_key", "n_shingles", F.coalesce("root", "set_key").alias("root")
@@ -248,10 +242,7 @@ def near_duplicates(
     cent or more are linked; ``component_id`` is the smallest id reachable and ``kept`` marks
     it. Two sets at the threshold share none of the bands with a probability of
     ``(1 - (share/100)^rows)^bands``, 5e-8 with the defaults; candidates are confirmed on the
-    full sets. Equal sets are one node, so copies cost one row each. In the blocks of
-    ``links`` a candidate must also agree in ``share - 20`` per cent of all minima: a pair at
-    the threshold falls short of that by more than five standard deviations (1e-6 with the
-    defaults, less for more similar pairs), and only if no star has linked it.
+    full sets. Equal sets are one node, so copies cost one row each.
 
     Null or wordless texts have no shingles and stand alone. A null id is larger than any
     other: a component without ids has a null ``component_id`` and keeps its rows. Repeated

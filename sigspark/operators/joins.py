@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.chunks import KEY, carried, chunk_window, explode_range, keyed, unkeyed
+from sigspark.operators.chunks import explode_range, keyed, unkeyed
+from sigspark.operators.index import PIECE_ROWS, cut_keys, hot_keys
 
 
 def widen_ranges(ranges: DataFrame, params: list[str]) -> DataFrame:
@@ -51,32 +52,35 @@ def hold_on_grid(signal: DataFrame, rr: DataFrame, sf: int) -> DataFrame:
     )
 
 
-def hold_asof(points: DataFrame, steps: DataFrame, span: float) -> DataFrame:
+def hold_asof(points: DataFrame, steps: DataFrame, piece_rows: float = PIECE_ROWS) -> DataFrame:
     """Last step value at or before each point, for irregular times.
 
-    ``points`` has ``(recording_id, t, ...)``, ``steps`` has ``(recording_id, t, rr)``. Time is
-    cut into spans; the last step of each span is carried into the later ones. A span must
-    be short enough for its rows to be one task's work. Steps without a time hold nothing;
-    points without one, and points before the first step, get NULL.
+    ``points`` has ``(recording_id, t, ...)``, ``steps`` has ``(recording_id, t, rr)``. Both go through
+    one window per recording. A recording with more than ``piece_rows`` points and steps is cut
+    at common quantiles of their times (:func:`cut_keys`), so a burst is as many pieces as it has
+    rows for, however short it is; the last step of each piece is carried into the later ones.
+    Only rows of one instant stay together. Steps without a time hold nothing; points without
+    one, and points before the first step, get NULL.
     """
-    # Points without a time come before all others.
-    chunk = F.coalesce(F.floor(F.col("t") / span).cast("bigint"), F.lit(-(2**62)))
-    steps = steps.where(F.col("t").isNotNull())
-    marked = points.withColumn("_is_point", F.lit(1)).unionByName(
-        steps.select("recording_id", "t", F.struct("rr").alias("_held")).withColumn("_is_point", F.lit(0)),
+    marked = keyed(points.withColumn("_is_point", F.lit(1)).unionByName(
+        steps.where(F.col("t").isNotNull()).select("recording_id", "t", F.struct("rr").alias("_held")).withColumn("_is_point", F.lit(0)),
         allowMissingColumns=True,
-    ).withColumn("chunk", chunk)
-    marked = keyed(marked)
-    carry = carried(
-        marked,
-        {"_last": F.max_by("_held", F.when(F.col("_is_point") == 0, F.col("t")))},
-        {"_carried": F.last("_last", ignorenulls=True)},
-    )
-    so_far = chunk_window("t", "_is_point").rowsBetween(Window.unboundedPreceding, 0)
-    held = marked.withColumn("_now", F.last("_held", ignorenulls=True).over(so_far)).where(F.col("_is_point") == 1)
-    return unkeyed(held.join(carry, list(KEY))).select(
-        *points.columns, F.coalesce("_now", "_carried")["rr"].alias("rr")
+    ))
+    # Points without a time come before all others.
+    order = [F.col("t").asc_nulls_first(), F.col("_is_point")]
+    if hot_keys(marked, ["recording_id"], piece_rows) is None:
+        so_far = Window.partitionBy("recording_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        held = marked.withColumn("_now", F.last("_held", ignorenulls=True).over(so_far)).where(F.col("_is_point") == 1)
+        return unkeyed(held).select(*points.columns, F.col("_now")["rr"].alias("rr"))
+    cut, pieces = cut_keys(marked, ["recording_id"], ["t"], piece_rows)
+    key = ["recording_id", *pieces]
+    earlier = Window.partitionBy("recording_id").orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cut.where("_cut").groupBy(*key).agg(F.max_by("_held", F.when(F.col("_is_point") == 0, F.col("t"))).alias("_last")).select(
+        *key, F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
     )
+    so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = cut.withColumn("_now", F.last("_held", ignorenulls=True).over(so_far)).where(F.col("_is_point") == 1)
+    return unkeyed(held.join(carry, key, "left")).select(*points.columns, F.coalesce("_now", "_carried")["rr"].alias("rr"))
 
 
 def expand_beats(beats: DataFrame) -> DataFrame:

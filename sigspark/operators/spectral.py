@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +15,7 @@ from sigspark.operators.chunks import CHUNK, attach, explode_range, keyed, lengt
 from sigspark.operators.groups import map_groups
 from sigspark.sources.scratch import scratch_root
 
-# Bins summed side by side in one pass over the samples.
+# Bins summed as columns side by side; more are summed in numpy.
 BINS_PER_PASS = 32
 # Longest series transformed inside one group.
 GROUP_ROWS = 1 << 20
@@ -33,34 +33,51 @@ def _angle(k: Column, j: Column, n: Column) -> Column:
 def dft(signal: DataFrame, kmax: int, value: str = "v", size: int = CHUNK) -> DataFrame:
     """Bins 1..kmax of each recording: ``(recording_id, n, k, re, im)``, sign -1, unscaled.
 
-    Each sample is read once per block of bins and adds to that block's sums, which are
-    combined before the shuffle; no sample is paired with every frequency.
+    Each sample is read once and adds to the sums of all bins, which are combined before the
+    shuffle; no sample is paired with a frequency as a row. Up to ``BINS_PER_PASS`` bins are
+    column sums; more are summed batch by batch in numpy (:func:`_batch_bins`). A NULL adds
+    nothing; without any value the few bins are NULL, the many are left out.
     """
     base = signal.select("recording_id", "idx", F.col(value).alias("_v"))
     df = attach(with_chunk(base, size), lengths(base), size)
-    n, j = F.col("n"), F.col("idx") - 1
     if kmax > BINS_PER_PASS:
-        blocks = (kmax - 1) // BINS_PER_PASS
-        df = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
-    else:
-        df = df.withColumn("_block", F.lit(0))
-    width = min(kmax, BINS_PER_PASS)
+        rows = df.where(F.col("_v").isNotNull()).select("recording_id", "n", "idx", F.col("_v").cast("double"))
+        sums = rows.mapInPandas(_batch_bins(kmax), "recording_id string, n bigint, re array<double>, im array<double>")
+        bins = sums.select("recording_id", "n", F.posexplode(F.arrays_zip("re", "im")).alias("_k", "_bin")).groupBy("recording_id", "n", "_k").agg(
+            F.sum("_bin.re").alias("re"), F.sum("_bin.im").alias("im"))
+        return unkeyed(bins.select("recording_id", "n", (F.col("_k") + 1).cast("bigint").alias("k"), "re", "im"))
+    n, j = F.col("n"), F.col("idx") - 1
     sums = []
-    for b in range(1, width + 1):
-        a = _angle(F.col("_block") * BINS_PER_PASS + b, j, n)
+    for b in range(1, kmax + 1):
+        a = _angle(F.lit(b).cast("bigint"), j, n)
         sums += [F.sum(F.col("_v") * F.cos(a)).alias(f"_re{b}"), F.sum(-F.col("_v") * F.sin(a)).alias(f"_im{b}")]
     bins = F.array(*[
-        F.struct(
-            (F.col("_block") * BINS_PER_PASS + b).cast("bigint").alias("k"),
-            F.col(f"_re{b}").alias("re"), F.col(f"_im{b}").alias("im"),
-        )
-        for b in range(1, width + 1)
+        F.struct(F.lit(b).cast("bigint").alias("k"), F.col(f"_re{b}").alias("re"), F.col(f"_im{b}").alias("im")) for b in range(1, kmax + 1)
     ])
-    return unkeyed(
-        df.groupBy("recording_id", "n", "_block").agg(*sums)
-        .select("recording_id", "n", F.inline(bins))
-        .where(F.col("k") <= kmax)
-    )
+    return unkeyed(df.groupBy("recording_id", "n").agg(*sums).select("recording_id", "n", F.inline(bins)))
+
+
+def _batch_bins(kmax: int):
+    """What the rows of a batch add to bins 1..kmax of their recordings.
+
+    The turn of bin ``64 a + b`` is that of ``64 a`` times that of ``b``, each worked out in whole
+    numbers first, so a row costs a product per bin and few angles.
+    """
+    blocks = -(-kmax // 64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values(["recording_id", "idx"], kind="stable")
+            for s in range(0, len(batch), 4096):
+                rows = batch.iloc[s : s + 4096]
+                name, n, j, v = rows["recording_id"].to_numpy(), rows["n"].to_numpy(), rows["idx"].to_numpy() - 1, rows["_v"].to_numpy()
+                first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+                turn = lambda k: np.exp(-2j * np.pi * ((j[:, None] * k) % n[:, None]) / n[:, None])
+                low, high = turn(np.arange(1, 65)) * v[:, None], turn(64 * np.arange(blocks))
+                sums = np.concatenate([np.add.reduceat(low * high[:, [a]], first, axis=0) for a in range(blocks)], axis=1)[:, :kmax]
+                yield pd.DataFrame({"recording_id": name[first], "n": n[first], "re": list(sums.real), "im": list(sums.imag)})
+
+    return run
 
 
 def band_power(spectrum: DataFrame, bands: dict[str, tuple[float, float]], sf: float) -> DataFrame:

@@ -12,7 +12,9 @@ from sigspark.operators import joins, stats, windows
 from sigspark.operators.index import with_index
 from sigspark.operators.snap_exact import snap_peaks_exact
 from sigspark.plans.dataset import plan_dataset, union_plans
+from sigspark.sources import screens
 from sigspark.sources.runlog import param_lines, pivot_log
+from sigspark.sources.scratch import scratch_path
 from sigspark.registry.base import query, rounded
 from sigspark.registry.scalars import RANGES_SQL, unit_sql
 from sigspark.registry.tables import (
@@ -186,7 +188,19 @@ SELECT recording_id, idx, t, v, x FROM (
   SELECT *, CAST(floor(t / 21600) - floor(first_value(t) OVER (PARTITION BY recording_id ORDER BY idx) / 21600) AS BIGINT) AS x
   FROM sig WHERE idx >= 10) WHERE x <= 50"""))
 def f2_viewport_slice(spark, d):
-    return windows.viewport(stored_signal(spark, d), 10, 50, 21_600.0).select("recording_id", "idx", "t", "v", "x")
+    return windows.viewport(signal(spark, d), 10, 50, 21_600.0).select("recording_id", "idx", "t", "v", "x")
+
+
+@query("f2_screen", with_signal("""
+SELECT recording_id, idx, t, v, x FROM (
+  SELECT *, CAST(floor(t / 21600) - floor(first_value(t) OVER (PARTITION BY recording_id ORDER BY idx) / 21600) AS BIGINT) AS x
+  FROM sig WHERE idx >= 10 AND recording_id = (SELECT recording_id FROM sig GROUP BY recording_id ORDER BY count(*) DESC, recording_id LIMIT 1)) WHERE x <= 400"""))
+def f2_screen(spark, d):
+    """A screen of the longest recording, from a clustered table of all."""
+    path = scratch_path(spark, "clustered")
+    screens.write_clustered(signal(spark, d).select("recording_id", "idx", "t", "v"), path)
+    longest = samples(spark, d).groupBy("recording_id").count().orderBy(F.desc("count"), "recording_id").first().recording_id
+    return screens.screen(spark, path, longest, 10, 400, 21_600.0).select("recording_id", "idx", "t", "v", "x")
 
 
 @query("f3_decimate", with_signal("""
@@ -197,6 +211,16 @@ def f3_decimate(spark, d):
     return windows.decimate(signal(spark, d), 2 * DAY)
 
 
+@query("f3_pyramid", with_signal("\nUNION ALL\n".join(f"""
+SELECT {level} AS level, recording_id, CAST(floor(t / {43200 * 4 ** level}) AS BIGINT) AS x, count(*) AS n, min(v) AS v_min, max(v) AS v_max,
+       arg_min(v, idx) AS v_first, arg_max(v, idx) AS v_last
+FROM sig GROUP BY ALL""" for level in range(3))))
+def f3_pyramid(spark, d):
+    path = scratch_path(spark, "pyramid")
+    screens.write_pyramid(signal(spark, d), path, DAY / 2, factor=4, levels=3)
+    return union_plans(*[screens.read_level(spark, path, level).withColumn("level", F.lit(level)) for level in range(3)])
+
+
 # --- lookups and beats ------------------------------------------------------------
 
 @query("c1_range_lookup", f"""
@@ -228,7 +252,7 @@ def c3_hold_asof(spark, d):
     sig = stored_signal(spark, d)
     points = sig.where(F.col("peak") == 2).select("recording_id", "idx", "t")
     steps = sig.where(F.col("peak") == 3).select("recording_id", "t", F.col("v").alias("rr"))
-    return joins.hold_asof(points, steps, DAY)
+    return joins.hold_asof(points, steps)
 
 
 @query("c3_hold_grid", with_signal("""

@@ -14,10 +14,11 @@ from sigspark.plans.surrogate import surrogate
 from sigspark.registry.base import query, rounded
 from sigspark.registry.ordered import DAY, RR_SQL, crossing_sql, snap_sql
 from sigspark.registry.scalars import unit_sql
-from sigspark.registry.tables import stored_signal, with_signal
+from sigspark.registry.tables import signal, stored_signal, with_signal
 from sigspark.schema import DEFAULT_WAVES, default_waves
 
 KMAX = 8
+MANY_BINS = 70
 BANDS = {"lf": (0.0, 0.06), "hf": (0.06, 0.13)}
 BEAT_BANDS = {"lf": (0.0, 0.2), "hf": (0.2, 0.5)}
 
@@ -38,6 +39,13 @@ def d4_dft(spark, d):
     return spectral.dft(stored_signal(spark, d), KMAX).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
 
 
+@query("d4_dft_many", with_signal("""
+SELECT recording_id, n, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM spec WHERE k >= 1""",
+    dft_sql("sig", "spec", str(MANY_BINS + 1))))
+def d4_dft_many(spark, d):
+    return spectral.dft(signal(spark, d), MANY_BINS).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
+
+
 @query("d5_idft", with_signal("""
 SELECT recording_id, j + 1 AS idx, round(sum(re * cos(2 * pi() * (k * j % n) / n) - im * sin(2 * pi() * (k * j % n) / n)) / n, 5) + 0.0 AS v
 FROM (SELECT *, unnest(range(n)) AS j FROM spec) GROUP BY recording_id, n, j""",

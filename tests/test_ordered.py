@@ -369,6 +369,32 @@ def test_dft_in_blocks(series):
     check_bins(spectral.dft(df, 40, size=SIZE), data, 1, 40)
 
 
+@pytest.mark.parametrize("kmax", [33, 64, 65, 512])
+def test_many_bins_in_one_pass(series, kmax):
+    data, df = series
+    out = spectral.dft(df, kmax, size=SIZE)
+    check_bins(out, data, 1, kmax)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInPandas") == 1 and "_block" not in plan.split("MapInPandas")[0]
+
+
+def test_hold_cuts_bursts_by_rows(spark):
+    """A thousand points and steps within a second, and rows of one instant: NULL times, ties, values before the first step."""
+    rng = random.Random(6)
+    times = [rng.random() for _ in range(1000)] + [0.5] * 30 + [float(k) for k in range(-5, 200, 7)]
+    points = [("hot", t, k) for k, t in enumerate(times)] + [("hot", None, -1), ("cold", 3.0, -2), ("none", 1.0, -3), (None, 0.4, -4)]
+    steps = [("hot", rng.random(), float(k)) for k in range(400)] + [("hot", 0.5, 1000.0), ("hot", None, 5.0), ("cold", 2.0, None), ("cold", 1.0, 7.0), (None, 0.1, 9.0)]
+    p = spark.createDataFrame(points, "recording_id string, t double, no bigint").repartition(4)
+    s = spark.createDataFrame(steps, "recording_id string, t double, rr double").repartition(4)
+    want = {}
+    for name, t, no in points:
+        held = [(u, rr) for n, u, rr in steps if n == name and u is not None and t is not None and u <= t]
+        want[no] = max(held, key=lambda h: h[0])[1] if held else None
+    for piece_rows in (50, 1 << 20):
+        out = joins.hold_asof(p, s, piece_rows)
+        assert out.columns == ["recording_id", "t", "no", "rr"] and {r.no: r.rr for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("group_rows", [1 << 18, 16])
 def test_idft_inverts(series, group_rows):
     data, df = series

@@ -15,7 +15,7 @@ from sigspark.registry.scalars import NAME_SQL, named_events
 from sigspark.registry.tables import dbl, signal, stored_signal, table, with_signal
 from sigspark.sources import catalog, runlog, signals
 from sigspark.sources.scratch import scratch_path
-from sigspark.streaming.replay import replay_source, replay_windows
+from sigspark.streaming.replay import follow, followed, replay_source, replay_windows
 from sigspark.streaming.segments import stream_segments
 
 
@@ -191,6 +191,24 @@ def i1_replay_daily(spark, d):
     return replay_windows(rows, "1 day").select("recording_id", days.alias("day"), "n", "v_min", "v_max")
 
 
+@query("i1_replay_resumed", """
+SELECT CAST(user_id AS VARCHAR) AS recording_id, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS v_min, max(value) AS v_max
+FROM events GROUP BY ALL""")
+def i1_replay_resumed(spark, d):
+    """The replay stopped after some files, in no order of time, and started again over all."""
+    events = table(spark, d, "events")
+    rows = events.select(
+        F.col("user_id").cast("string").alias("recording_id"), F.timestamp_micros(clock.epoch_micros(events, "ts")).alias("ts"), F.col("value").alias("v"), "event_id",
+    )
+    source, out = scratch_path(spark, "replayed"), scratch_path(spark, "windows")
+    kinds = rows.drop("event_id").schema
+    for half in range(2):
+        rows.where(F.pmod("event_id", F.lit(2)) == half).drop("event_id").write.mode("append").parquet(source)
+        follow(replay_source(spark, source, kinds), out, "1 day", available_now=True).awaitTermination()
+    days = F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86_400).cast("int"))
+    return followed(spark, out, "1 day").select("recording_id", days.alias("day"), "n", "v_min", "v_max")
+
+
 @query("i2_stream_segments", with_signal(SEGMENTS_SQL))
 def i2_stream_segments(spark, d):
     path = scratch_path(spark, "samples")

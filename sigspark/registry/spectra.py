@@ -14,7 +14,7 @@ from sigspark.plans.surrogate import surrogate
 from sigspark.registry.base import query, rounded
 from sigspark.registry.ordered import DAY, RR_SQL, crossing_sql, snap_sql
 from sigspark.registry.scalars import unit_sql
-from sigspark.registry.tables import signal, stored_signal, with_signal
+from sigspark.registry.tables import samples, signal, stored_signal, with_signal
 from sigspark.schema import DEFAULT_WAVES, default_waves
 
 KMAX = 8
@@ -36,7 +36,7 @@ def dft_sql(source: str, name: str, last: str) -> str:
 SELECT recording_id, n, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM spec WHERE k >= 1""",
     dft_sql("sig", "spec", str(KMAX + 1))))
 def d4_dft(spark, d):
-    return spectral.dft(stored_signal(spark, d), KMAX).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
+    return spectral.dft(signal(spark, d), KMAX).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
 
 
 @query("d4_dft_many", with_signal("""
@@ -68,7 +68,7 @@ SELECT recording_id, round(lf, 3) + 0.0 AS lf_power, round(hf, 3) + 0.0 AS hf_po
 FROM (SELECT recording_id, {band_sql(BANDS, "lf")} AS lf, {band_sql(BANDS, "hf")} AS hf FROM spec WHERE k >= 1 GROUP BY recording_id)""",
     dft_sql("sig", "spec", "n")))
 def d6_band_ratio(spark, d):
-    return spectral.band_power(spectral.dft_fast(stored_signal(spark, d)), BANDS, 1.0).select(
+    return spectral.band_power(spectral.dft_fast(signal(spark, d)), BANDS, 1.0).select(
         "recording_id", rounded("lf_power", 3), rounded("hf_power", 3), rounded("lf_hf_ratio")
     )
 
@@ -77,7 +77,7 @@ def d6_band_ratio(spark, d):
 SELECT recording_id, n, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM spec""",
     dft_sql("sig", "spec", "n")))
 def k5_dft_fast(spark, d):
-    return spectral.dft_fast(stored_signal(spark, d)).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
+    return spectral.dft_fast(signal(spark, d)).select("recording_id", "n", "k", rounded("re", 5), rounded("im", 5))
 
 
 @query("k2_surrogate", with_signal("""
@@ -125,10 +125,10 @@ WINDOW w AS (PARTITION BY s.recording_id))"""
 
 @query("k3_annotate", with_signal("\nUNION ALL\n".join(_k3_sql(k, *one) for k, one in enumerate(K3_SETS))))
 def k3_annotate(spark, d):
-    state = stored_signal(spark, d).select("recording_id", "idx", F.cos("v").alias("x"), F.sin("v").alias("y"), "v")
+    state = signal(spark, d).select("recording_id", "idx", F.cos("v").alias("x"), F.sin("v").alias("y"), "v")
     number = F.col("recording_id").cast("bigint") % 3
     values = [F.element_at(F.array(*map(F.lit, column)), number.cast("int") + 1) for column in zip(*K3_SETS)]
-    params = state.select("recording_id").distinct().select(
+    params = samples(spark, d).select("recording_id").distinct().select(
         "recording_id", *[v.alias(c) for v, c in zip(values, ("q", "sf_ecg", "noise_amp", "hr_mean"))], default_waves().alias("waves")
     )
     out = annotate_each(state, params, 11)
@@ -147,7 +147,7 @@ LEFT JOIN (SELECT recording_id, {band_sql(BEAT_BANDS, "lf")} AS lf, {band_sql(BE
     "series AS (SELECT recording_id, beat - 1 AS idx, rr AS v FROM rr WHERE rr IS NOT NULL)",
     dft_sql("series", "spec", "n")))
 def k4_hrv_features(spark, d):
-    days = stored_signal(spark, d).withColumn("t", F.col("t") / DAY)
+    days = signal(spark, d).withColumn("t", F.col("t") / DAY)
     out = hrv_features(days, BEAT_BANDS)
     return out.select("recording_id", "n_samples", *[c if c == "n_rr" else rounded(c) for c in (
         "n_rr", "rr_mean", "rr_sd", "hr_mean", "hr_sd", "lf_power", "hf_power", "lf_hf_ratio")])

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from sigspark.operators.windows import segments
-from sigspark.streaming.replay import replay_source, replay_windows
+from sigspark.streaming.replay import follow, followed, replay_source, replay_windows
 from sigspark.streaming.segments import stream_segments
 
 
@@ -38,3 +38,28 @@ def test_replayed_windows_equal_the_batch_answer(spark, tmp_path):
         F.count("*").alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max")
     )
     assert out.exceptAll(want).count() == 0 and out.count() == want.count()
+
+
+def test_an_endless_replay_goes_on_and_counts_late_rows(spark, tmp_path):
+    """Two runs over one checkpoint, files out of order: every row once, late ones told apart."""
+    rows = [(str(k % 3), 1_000_000 * ((k * 37) % 120), float(k % 11)) for k in range(240)]
+    schema = "recording_id string, us bigint, v double"
+    to_ts = lambda df: df.select("recording_id", F.timestamp_micros("us").alias("ts"), "v")
+    batches = [rows[:60], rows[60:100], rows[100:200], rows[200:]]
+    kinds = to_ts(spark.createDataFrame(rows[:1], schema)).schema
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    seen, late, past = {}, {}, -1
+    for number, batch in enumerate(batches):
+        to_ts(spark.createDataFrame(batch, schema)).coalesce(1).write.mode("append").parquet(source)
+        if number in (1, 3):  # two runs, two files each
+            follow(replay_source(spark, source, kinds, files_per_trigger=1), out, "10 seconds", available_now=True).awaitTermination()
+    for batch in batches:
+        for name, us, v in batch:
+            key = name, us // 10_000_000
+            seen.setdefault(key, []).append(v)
+            late[key] = late.get(key, 0) + ((key[1] + 1) * 10 + 20 <= past)
+        past = max(past, max(us for _, us, _ in batch) // 1_000_000)
+    found = followed(spark, out, "10 seconds", "20 seconds").withColumn("no", (F.unix_seconds("start") / 10).cast("bigint")).collect()
+    got = {(r.recording_id, r.no): (r.n, r.v_min, r.v_max, r.n_late, r.closed) for r in found}
+    assert got == {k: (len(v), min(v), max(v), late[k], (k[1] + 1) * 10 + 20 <= past) for k, v in seen.items()}
+    assert sum(late.values()) > 10 and sum(r.n for r in found) == len(rows)

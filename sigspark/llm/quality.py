@@ -275,7 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, most: int =
     label is a candidate: in each round each view judges all of them, and the different rows
     it is surest of (``most`` of either class, at most a tenth of all candidates, and at least
     0.95 sure) are added, with half weight, to what the other view learns from. A row is handed
-    over once. On the rows held out each view's output is calibrated and their vote is weighed.
+    over once. A view that does worse on the rows held out with what it was handed gives it back and
+    stays as it was. On the rows held out each view's output is calibrated and their vote is weighed.
     """
     order = lambda c: F.xxhash64(F.lit(seed), c)
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
@@ -317,22 +318,38 @@ def fit(table: pd.DataFrame, model: Model, seed: int, rounds: int = 0, offers=No
     # Per target and view: features, labels and weights of what it learns from.
     y = {t: table[t].to_numpy(float) for t in TARGETS}
     learnt = {(t, k): [(known[k][~held], y[t][~held], np.ones((~held).sum()))] for t in TARGETS for k in (0, 1)}
+    check = held if held.any() else np.ones(len(table), bool)
+
+    def scale_of(view: Linear, target: str, k: int) -> Linear:
+        """The calibration of a view on the rows held out."""
+        right = y[target][check]
+        return Linear().fit(view.logit(known[k])[check][:, None], right, np.ones(len(right)), 1e-4) if len(right) else Linear(np.ones(1))
+
+    def loss(view: Linear, target: str, k: int) -> float:
+        """Of the calibrated view on the rows held out."""
+        logit = scale_of(view, target, k).logit(view.logit(known[k])[check][:, None])
+        return float(np.logaddexp(0, np.where(y[target][check] > 0, -logit, logit)).mean()) if check.any() else 0.0
+
+    # Per target and view: its loss, the view itself, and how much of what it was handed it keeps.
+    best: dict[tuple, tuple] = {}
     for turn in range(rounds + 1):
         for target in TARGETS:
-            views = []
             for k in (0, 1):
                 x, label, weight = map(np.concatenate, zip(*learnt[target, k]))
-                views.append(Linear().fit(x, label, weight) if len(x) else Linear(np.zeros(x.shape[1])))
-            model.views[target] = [(v, Linear(np.ones(1))) for v in views]
+                view = Linear().fit(x, label, weight) if len(x) else Linear(np.zeros(x.shape[1]))
+                score = loss(view, target, k)
+                if turn == 0 or score <= best[target, k][0]:
+                    best[target, k] = score, view, len(learnt[target, k])
+                del learnt[target, k][best[target, k][2] :]
+            model.views[target] = [(best[target, k][1], Linear(np.ones(1))) for k in (0, 1)]
         if turn < rounds:
             found = offers(model)
             for slot, own in found.groupby("slot"):
                 target, k, value = TARGETS[slot // 4], slot // 2 % 2, slot % 2
                 learnt[target, 1 - k].append((sides(own)[1 - k], np.full(len(own), float(value)), np.full(len(own), 0.5)))
-    check = held if held.any() else np.ones(len(table), bool)
     for target in TARGETS:
         views, right = [v for v, _ in model.views[target]], y[target][check]
-        scales = [Linear().fit(v.logit(x)[check][:, None], right, np.ones(len(right)), 1e-4) if len(right) else Linear(np.ones(1)) for v, x in zip(views, known)]
+        scales = [scale_of(v, target, k) for k, v in enumerate(views)]
         model.views[target] = list(zip(views, scales))
         calibrated = np.stack([s.logit(v.logit(x)[:, None]) for (v, s), x in zip(model.views[target], known)], axis=1)
         model.votes[target] = Linear().fit(np.clip(calibrated[check], -8, 8), right, np.ones(len(right)), 1e-4) if len(right) else Linear(np.ones(2))

@@ -118,7 +118,9 @@ def _linker(share: int):
     """Which components the sets of a block of one bucket link, as a forest: ``(hi, lo)`` of their roots.
 
     A pair is looked at in the first band whose key it shares, unless the block has linked its
-    components already. It must pass the exact size test and reach the threshold on the full sets.
+    components already. It must pass the exact size test and reach the threshold on the full sets,
+    which are looked at only if the sets' counts per bucket of hashes leave that open: two sets
+    have no more in common than the smaller counts of all buckets together.
     """
     def link(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         n, block, band = (rows[c].to_numpy() for c in ("n", "block", "band"))
@@ -129,6 +131,8 @@ def _linker(share: int):
         out = []
         for s, e in zip(starts.tolist(), ends.tolist()):
             now = root[s:e].copy()
+            counts = np.stack([np.bincount((np.frombuffer(v, np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1024) for v in sets[s:e]])
+            counts = counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int64)
             for x in range(s, e - 1):
                 y = np.arange(x + 1, e)
                 fit = (now[y - s] != now[x - s]) & (100 * np.minimum(n[y], n[x]) >= share * np.maximum(n[y], n[x]))
@@ -138,6 +142,8 @@ def _linker(share: int):
                 if not len(y):
                     continue
                 y = y[(keys[y] == keys[x]).argmax(axis=1) == band[x]]
+                most = np.minimum(counts[y - s], counts[x - s]).sum(axis=1, dtype=np.int64)
+                y = y[100 * most >= share * (n[x] + n[y] - most)]
                 mine = np.frombuffer(sets[x], np.uint64)
                 for k in y.tolist():
                     if now[k - s] == now[x - s]:

@@ -63,9 +63,12 @@ def param_lines(params: DataFrame, waves: bool = True) -> DataFrame:
     """Log lines ``(recording_id, line_no, line)`` of parameter rows.
 
     With ``waves`` the wave array (angles in radians) follows in three sections, and then, if
-    there is a column ``series_n``, the length of the beat series.
+    there is a column ``series_n``, the length of the beat series. A row becomes some thirty lines, so
+    the rows are dealt out by recording first; the partition count is given so that they are not
+    merged again for being small, and :func:`pivot_log` finds each log in one place.
     """
-    return params.select("recording_id", F.posexplode(_lines(waves, "series_n" in params.columns)).alias("line_no", "line"))
+    tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return params.repartition(tasks, "recording_id").select("recording_id", F.posexplode(_lines(waves, "series_n" in params.columns)).alias("line_no", "line"))
 
 
 def write_run_log(params: DataFrame, path: str, waves: bool = True, layout: str = "table") -> None:
@@ -95,48 +98,73 @@ def log_lines(spark: SparkSession, path: str, layout: str = "files") -> DataFram
     return named.select("recording_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
+def _told(lines: DataFrame) -> DataFrame:
+    """What each line tells: ``_what`` (a parameter, the series, a section or a wave) and its ``_text``.
+
+    A line is one of these at most, so a pattern is tried only on lines that can match it.
+    """
+    line, what = F.col("line"), F.col("_what")
+    extracted = lambda pattern, group: F.regexp_extract(line, pattern, group)
+    names = F.create_map(*[F.lit(x) for name, _, text, _ in LINES for x in (text, name)])
+    # Each pattern in a step of its own: all in one make a method too long to be compiled.
+    named = lines.withColumns({
+        "_form": line.endswith(FORM_HEADER),
+        "_label": F.when(line.contains(": "), extracted(LINE_PATTERN, 1)),
+    }).withColumn("_what", F.try_element_at(names, F.col("_label")))
+    for can, pattern, group in ((line.contains(": ["), WAVE_PATTERN, 1), (line.contains("Using "), SERIES_PATTERN, 1), (F.lit(True), SECTION_PATTERN, 1)):
+        named = named.withColumn("_group", F.when(what.isNull() & can, extracted(pattern, group)))
+        tag = F.lit("series_n") if pattern == SERIES_PATTERN else F.col("_group")
+        named = named.withColumn("_what", F.when(F.col("_group") != "", tag).otherwise(what))
+        if pattern == SERIES_PATTERN:
+            named = named.withColumn("_text", F.col("_group"))
+    text = F.when(what.isin(*WAVES), extracted(WAVE_PATTERN, 2)).when(what.isin(*[n for n, *_ in LINES]), extracted(LINE_PATTERN, 2))
+    return named.select("recording_id", "line_no", "_what", F.coalesce(text, F.col("_text")).alias("_text"), "_form")
+
+
 def pivot_log(lines: DataFrame, waves: bool = True) -> DataFrame:
     """One row of parameters per recording from its log lines, of either layout; no header is needed.
 
     Angles are radians in both. ``series_n`` is the length of the beat series, if a line tells it.
+    A recording's row is made from the set of what its lines tell, so the lines are read once, nothing
+    is joined to them, and copies of a log add nothing.
     """
-    label = F.regexp_extract("line", LINE_PATTERN, 1)
-    number = F.regexp_extract("line", LINE_PATTERN, 2)
-    found = lines.withColumn("_label", label).withColumn("_number", number)
+    told, places = F.col("_told"), [f for f, _ in SECTIONS]
+    # A parameter counts wherever it stands.
+    at = F.when(F.col("_what").isin(*places, *WAVES), F.col("line_no"))
+    entry = F.struct(F.col("_what").alias("what"), at.alias("at"), F.col("_text").alias("text"))
+    one = _told(lines).groupBy("recording_id").agg(
+        F.collect_set(F.when(F.col("_what").isNotNull(), entry)).alias("_told"), F.max("_form").alias("_form")
+    )
+
+    def of(name: str, value):
+        return F.transform(F.filter(told, lambda x: x["what"] == name), value)
+
     picks = [
-        F.max(F.when(F.col("_label") == text, F.col("_number"))).try_cast(kind).alias(name)
-        for name, kind, text, _ in LINES
+        F.array_max(of(name, lambda x: x["text"])).try_cast(kind).alias(name)
+        for name, kind in (*[(name, kind) for name, kind, _, _ in LINES], ("series_n", "bigint"))
     ]
-    picks.append(F.max(F.regexp_extract("line", SERIES_PATTERN, 1)).try_cast("bigint").alias("series_n"))
     if not waves:
-        return found.groupBy("recording_id").agg(*picks)
+        return one.select("recording_id", *picks)
     # The three wave sections share their labels; they are told apart by where they start.
-    section = F.regexp_extract("line", SECTION_PATTERN, 1)
-    wave = F.regexp_extract("line", WAVE_PATTERN, 1)
-    found = found.withColumn("_section", section).withColumn("_wave", wave).withColumn(
-        "_value", F.regexp_extract("line", WAVE_PATTERN, 2).try_cast("double")
-    )
-    # A wave's first line after a section's start; sections come in a fixed order, each in one place.
-    starts = [F.min(F.when(F.col("_section") == f, F.col("line_no"))).alias(f"_at_{f}") for f, _ in SECTIONS]
-    form = F.max(F.col("line").endswith(FORM_HEADER)).alias("_form")
-    ends = found.groupBy("recording_id").agg(*starts, form).withColumnRenamed("recording_id", "_id")
-    values = found.join(ends, found["recording_id"].eqNullSafe(ends["_id"]))
-    names = {}
-    for number, (field, _) in enumerate(SECTIONS):
-        later = [F.col(f"_at_{f}") for f, _ in SECTIONS[number + 1:]]
-        inside = F.col("line_no") > F.col(f"_at_{field}")
-        for end in later:
-            inside = inside & (end.isNull() | (F.col("line_no") < end) | (end < F.col(f"_at_{field}")))
-        for w in WAVES:
-            names[w, field] = F.min(F.when(inside & (F.col("_wave") == w), F.struct("line_no", "_value")))["_value"].alias(f"_{w}_{field}")
-    grouped = values.groupBy("recording_id").agg(*picks, F.max("_form").alias("_form"), *names.values())
+    starts = {f"_at_{f}": F.array_min(of(f, lambda x: x["at"])) for f in places}
+    marks = {f"_{w}": of(w, lambda x: F.struct(x["at"].alias("at"), x["text"].try_cast("double").alias("value"))) for w in WAVES}
+    placed = one.select("recording_id", *picks, "_form", *[c.alias(name) for name, c in (starts | marks).items()])
 
     def pick(w: str, field: str):
-        value = F.col(f"_{w}_{field}")
+        """A wave's first line after a section's start; sections come in a fixed order, each in one place."""
+        start, later = F.col(f"_at_{field}"), [F.col(f"_at_{f}") for f in places[places.index(field) + 1:]]
+
+        def inside(x):
+            within = x["at"] > start
+            for end in later:
+                within = within & (end.isNull() | (x["at"] < end) | (end < start))
+            return within
+
+        value = F.array_min(F.filter(f"_{w}", inside))["value"]
         return F.when(F.col("_form"), F.radians(value)).otherwise(value) if field == "theta" else value
 
-    wave_array = F.array(*[F.struct(F.lit(w).alias("wave"), *[pick(w, f).alias(f) for f, _ in SECTIONS]) for w in WAVES])
-    return grouped.select("recording_id", *[name for name, *_ in LINES], "series_n", wave_array.alias("waves"))
+    wave_array = F.array(*[F.struct(F.lit(w).alias("wave"), *[pick(w, f).alias(f) for f in places]) for w in WAVES])
+    return placed.select("recording_id", *[name for name, *_ in LINES], "series_n", wave_array.alias("waves"))
 
 
 def read_run_log(spark: SparkSession, path: str, waves: bool = True, layout: str = "files") -> DataFrame:

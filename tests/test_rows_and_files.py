@@ -240,3 +240,17 @@ def test_a_catalogue_that_names_a_recording_twice_is_refused(spark, tmp_path):
     twice = spark.createDataFrame([("x", "Env1", "a"), ("x", "Eval", "a")], "recording_id string, split string, activity string")
     with pytest.raises(ValueError, match="more than once"):
         signals.write_corpus(one, twice, str(tmp_path / "corpus"))
+
+
+def test_a_log_is_read_once_without_a_table_of_all_recordings(spark):
+    """Copies, another order of the sections, no name: all from one exchange, with nothing broadcast or joined."""
+    text = ["LF/HF ratio: 0.5", "a(calculated)", "P: [1.5\t]", "Q: [x\t]", "theta(radians)", "P: [-0.5\t]", "b(calculated)", "P: [7.0\t]", "LF/HF ratio: 0.25"]
+    rows = [(name, i, t) for name in ("x", None) for i, t in enumerate(text)]
+    lines = spark.createDataFrame([*rows, *rows, ("y", 0, "nothing"), ("z", 0, None)], "recording_id string, line_no int, line string")
+    out = runlog.pivot_log(lines)
+    got = {r.recording_id: (r.lf_hf_ratio, r.n_beats, [tuple(w) for w in r.waves[:2]]) for r in out.collect()}
+    both = (0.5, None, [("P", -0.5, 1.5, 7.0), ("Q", None, None, None)])
+    none = (None, None, [("P", None, None, None), ("Q", None, None, None)])
+    assert out.count() == 4 and got == {"x": both, None: both, "y": none, "z": none}
+    plan = runlog.pivot_log(runlog.param_lines(params(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange ") == 1

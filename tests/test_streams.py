@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sigspark.operators.windows import segments
 from sigspark.streaming.replay import follow, followed, replay_source, replay_windows
-from sigspark.streaming.segments import stream_segments
+from sigspark.streaming.segments import SegmentProcessor, stream_segments
 
 
 def test_segments_in_any_arrival_order(spark, tmp_path):
@@ -63,3 +64,26 @@ def test_an_endless_replay_goes_on_and_counts_late_rows(spark, tmp_path):
     got = {(r.recording_id, r.no): (r.n, r.v_min, r.v_max, r.n_late, r.closed) for r in found}
     assert got == {k: (len(v), min(v), max(v), late[k], (k[1] + 1) * 10 + 20 <= past) for k, v in seen.items()}
     assert sum(late.values()) > 10 and sum(r.n for r in found) == len(rows)
+
+
+class _Waiting(dict):
+    """The map state without a session."""
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+
+def test_short_recordings_are_joined_many_at_a_time():
+    """One call for a group of chunks, in portions that cut recordings anywhere; only last samples wait on."""
+    rows = [(f"r{k}", i, i * 0.5, float(i * k % 7)) for k in range(50) for i in range(1, 2 + k % 20)]
+    mixed = [(name, (i - 1) // 8 + extra, i, t, v) for name, i, t, v in rows for extra in ((0, 1) if i % 8 == 0 else (0,))]
+    random.Random(5).shuffle(mixed)
+    frames = [pd.DataFrame(mixed[k : k + 40], columns=["recording_id", "chunk", "idx", "t", "v"]) for k in range(0, len(mixed), 40)]
+    processor = SegmentProcessor(8, portion_rows=200)
+    processor._waiting = _Waiting()
+    out = list(processor.handleInputRows((3,), iter(frames), None))
+    assert len(out) == 2 * -(-len(frames) // 5)
+    got = sorted((r.recording_id, r.idx, r.t1, r.v1, None if pd.isna(r.t0) else (r.t0, r.v0)) for f in out for r in f.itertuples())
+    value = {(name, i): (t, v) for name, i, t, v in rows}
+    assert got == sorted((name, i, t, v, value.get((name, i - 1))) for name, i, t, v in rows)
+    # A last sample waits in its chunk; one that fills its chunk waits as the next chunk's first.
+    assert sorted(processor._waiting) == sorted((f"r{k}", (1 + k % 20) // 8, 1 + k % 20) for k in range(50))

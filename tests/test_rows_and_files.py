@@ -254,3 +254,18 @@ def test_a_log_is_read_once_without_a_table_of_all_recordings(spark):
     assert out.count() == 4 and got == {"x": both, None: both, "y": none, "z": none}
     plan = runlog.pivot_log(runlog.param_lines(params(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange ") == 1
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """More folders than listing tasks: a task per folder would make the listing the longest step."""
+    df = spark.createDataFrame([(f"r{k}", 1, 0.0, 1.0, 0) for k in range(80)], schema.SIGNAL)
+    path = str(tmp_path / "out")
+    signals.write_signals(df, path, layout="folders")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tracker = spark.conf.get(name), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    back = signals.read_signals(spark, path, sf_ecg=256, layout="folders")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= signals.LISTINGS * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before and back.count() == 80 and back.exceptAll(df).count() == 0

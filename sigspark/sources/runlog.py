@@ -25,14 +25,16 @@ LINES = (
 HEADER = "ECG Log:"
 ORDER_HEADER = "Order of Extrema:"
 SECTIONS = (("theta", "      theta(radians)"), ("a", "      a(calculated)"), ("b", "      b(calculated)"))
-# An optional clock prefix, a label, a number, an optional unit.
-LINE_PATTERN = r"^(?:\[[^\]]*\]: )?([^:\[\]]+): (\S+)(?: .*)?$"
+# An optional clock prefix; what follows it matches one of the other patterns.
+CLOCK_PATTERN = r"^\[[^\]]*\]: "
+# A label, a number, an optional unit.
+LINE_PATTERN = r"^[^:\[\]]+: (\S+)(?: .*)?$"
 # The run layout (radians) and the saved-form layout (degrees, bare section names).
-WAVE_PATTERN = r"^(?:\[[^\]]*\]: )?([PQRST]): \[(?:\d+\] = )?([^\t\]\s]+)\t?\]?$"
-SECTION_PATTERN = r"^(?:\[[^\]]*\]: )?\s*(theta|a|b)(?:\((?:radians|calculated)\))?:?\s*$"
+WAVE_PATTERN = r"^[PQRST]: \[(?:\d+\] = )?([^\t\]\s]+)\t?\]?$"
+SECTION_PATTERN = r"^\s*(theta|a|b)(?:\((?:radians|calculated)\))?:?\s*$"
 FORM_HEADER = "ECG Parameters:"
 # How many samples the beat series has, as a power of two.
-SERIES_PATTERN = r"^(?:\[[^\]]*\]: )?Using (\d+) = 2\^ *(\d+) samples"
+SERIES_PATTERN = r"^Using (\d+) = 2\^ *\d+ samples"
 
 
 def series_line(n: Column) -> Column:
@@ -40,23 +42,33 @@ def series_line(n: Column) -> Column:
     return F.concat(F.lit("Using "), n.cast("string"), F.lit(" = 2^ "), F.log2(n).cast("int").cast("string"), F.lit(" samples"))
 
 
+def _wave_lines(field: str) -> Column:
+    def shown(wave, i):
+        return F.concat(wave, F.lit(": ["), F.col("waves")[i][field].cast("string"), F.lit("\t]"))
+
+    return F.transform(F.array(*map(F.lit, WAVES)), shown)
+
+
 def _lines(waves: bool, series: bool = False):
+    """The lines as one array.
+
+    The waves' lines are made by a function over their names, which keeps the making of the lines out of
+    the generated method that reads them: both in one are too long for the JVM to compile.
+    """
     lines = [F.lit(HEADER)]
     lines += [
         F.concat(F.lit(f"{label}: "), F.col(name).cast("string"), F.lit(unit))
         for name, _, label, unit in LINES
     ]
+    parts = [lines]
     if waves:
-        lines.append(F.lit(ORDER_HEADER))
+        parts[0].append(F.lit(ORDER_HEADER))
         for field, title in SECTIONS:
-            lines.append(F.lit(title))
-            lines += [
-                F.concat(F.lit(f"{wave}: ["), F.col("waves")[i][field].cast("string"), F.lit("\t]"))
-                for i, wave in enumerate(WAVES)
-            ]
+            parts[-1].append(F.lit(title))
+            parts += [_wave_lines(field), []]
     if series:
-        lines.append(series_line(F.col("series_n")))
-    return F.array(*lines)
+        parts[-1].append(series_line(F.col("series_n")))
+    return F.concat(*[F.array(*part) if isinstance(part, list) else part for part in parts if not isinstance(part, list) or part])
 
 
 def param_lines(params: DataFrame, waves: bool = True) -> DataFrame:
@@ -101,24 +113,26 @@ def log_lines(spark: SparkSession, path: str, layout: str = "files") -> DataFram
 def _told(lines: DataFrame) -> DataFrame:
     """What each line tells: ``_what`` (a parameter, the series, a section or a wave) and its ``_text``.
 
-    A line is one of these at most, so a pattern is tried only on lines that can match it.
+    A line is one of these at most, so a pattern is tried only on lines that can match it, and once:
+    what a line is follows from the part that matched.
     """
-    line, what = F.col("line"), F.col("_what")
-    extracted = lambda pattern, group: F.regexp_extract(line, pattern, group)
+    line, what, found = F.col("line"), F.col("_what"), F.col("_found")
     names = F.create_map(*[F.lit(x) for name, _, text, _ in LINES for x in (text, name)])
     # Each pattern in a step of its own: all in one make a method too long to be compiled.
-    named = lines.withColumns({
-        "_form": line.endswith(FORM_HEADER),
-        "_label": F.when(line.contains(": "), extracted(LINE_PATTERN, 1)),
-    }).withColumn("_what", F.try_element_at(names, F.col("_label")))
-    for can, pattern, group in ((line.contains(": ["), WAVE_PATTERN, 1), (line.contains("Using "), SERIES_PATTERN, 1), (F.lit(True), SECTION_PATTERN, 1)):
-        named = named.withColumn("_group", F.when(what.isNull() & can, extracted(pattern, group)))
-        tag = F.lit("series_n") if pattern == SERIES_PATTERN else F.col("_group")
-        named = named.withColumn("_what", F.when(F.col("_group") != "", tag).otherwise(what))
-        if pattern == SERIES_PATTERN:
-            named = named.withColumn("_text", F.col("_group"))
-    text = F.when(what.isin(*WAVES), extracted(WAVE_PATTERN, 2)).when(what.isin(*[n for n, *_ in LINES]), extracted(LINE_PATTERN, 2))
-    return named.select("recording_id", "line_no", "_what", F.coalesce(text, F.col("_text")).alias("_text"), "_form")
+    told = lines.withColumn("_form", line.endswith(FORM_HEADER)).withColumn(
+        "line", F.when(line.startswith("["), F.regexp_replace(line, CLOCK_PATTERN, "")).otherwise(line)
+    ).withColumn("_name", F.when(line.contains(": "), F.try_element_at(names, F.substring_index(line, ": ", 1))))
+    told = told.withColumns({"_what": F.lit(None).cast("string"), "_text": F.lit(None).cast("string")})
+    for can, pattern, tag in (
+        (F.col("_name").isNotNull(), LINE_PATTERN, F.col("_name")),
+        (line.contains(": ["), WAVE_PATTERN, F.substring(line, 1, 1)),
+        (line.startswith("Using "), SERIES_PATTERN, F.lit("series_n")),
+        (F.lit(True), SECTION_PATTERN, found),
+    ):
+        told = told.withColumn("_found", F.when(what.isNull() & can, F.regexp_extract(line, pattern, 1))).withColumns({
+            "_what": F.when(found != "", tag).otherwise(what), "_text": F.when(found != "", found).otherwise(F.col("_text")),
+        })
+    return told.select("recording_id", "line_no", "_what", "_text", "_form")
 
 
 def pivot_log(lines: DataFrame, waves: bool = True) -> DataFrame:

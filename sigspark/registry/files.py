@@ -165,14 +165,16 @@ def a7_log_files(spark, d):
 def a7_form_layout(spark, d):
     """The saved-form layout: its own header, bare section names, numbered waves, angles in degrees."""
     rows = _params(spark, d).drop("series_n")
-    lines = runlog.param_lines(rows).withColumn("line", F.regexp_replace("line", r"^ECG Log:$", runlog.FORM_HEADER))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"\((radians|calculated)\)$", ""))
-    wave = F.regexp_extract("line", r"^([PQRST]): \[", 1)
-    value = F.regexp_extract("line", r"\[(\S+)\t\]$", 1).cast("double")
-    degrees = F.round(F.degrees(value), 9)
-    shown = F.when(F.col("line_no") < 20, degrees).otherwise(value).cast("string")
-    numbered = F.concat(wave, F.lit(": ["), F.instr(F.lit("PQRST"), wave).cast("string"), F.lit("] = "), shown)
-    return _pivoted(runlog.pivot_log(lines.withColumn("line", F.when(wave != "", numbered).otherwise(F.col("line")))))
+    line, wave = F.col("line"), F.col("_wave")
+    # Each step is a column of its own, and a pattern is tried only on lines that can match it.
+    lines = runlog.param_lines(rows).withColumn("line", F.when(line == runlog.HEADER, runlog.FORM_HEADER).otherwise(line))
+    lines = lines.withColumn("line", F.when(line.endswith(")"), F.regexp_replace("line", r"\((radians|calculated)\)$", "")).otherwise(line))
+    lines = lines.withColumn("_wave", F.when(line.contains(": ["), F.regexp_extract("line", r"^([PQRST]): \[", 1)).otherwise(""))
+    lines = lines.withColumn("_value", F.when(wave != "", F.regexp_extract("line", r"\[(\S+)\t\]$", 1)).cast("double"))
+    lines = lines.withColumn("_value", F.when(F.col("line_no") < 20, F.round(F.degrees("_value"), 9)).otherwise(F.col("_value")))
+    numbered = F.concat(wave, F.lit(": ["), F.instr(F.lit("PQRST"), wave).cast("string"), F.lit("] = "), F.col("_value").cast("string"))
+    lines = lines.withColumn("line", F.when(wave != "", numbered).otherwise(line))
+    return _pivoted(runlog.pivot_log(lines.select("recording_id", "line_no", "line")))
 
 
 # --- streams --------------------------------------------------------------------

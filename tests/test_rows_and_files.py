@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from sigspark.functions import draws, shapes, text
 from sigspark.functions.clock import instant_text
 from sigspark.operators import joins, samples, validate
 from sigspark.plans import dataset
+from sigspark.registry import QUERIES
 from sigspark.sources import catalog, runlog, signals
 
 
@@ -235,6 +237,31 @@ def test_form_layout_of_a_log(spark):
     assert abs(row.waves[0].theta + 1.0471975511965976) < 1e-12 and abs(row.waves[4].theta - 1.5707963267948966) < 1e-12
 
 
+def test_the_log_queries_run_in_methods_that_the_jvm_compiles(spark, tmp_path, capsys):
+    """HotSpot leaves methods of more than 8,000 bytes of code to the interpreter."""
+    spark.range(3).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before the query runs
+    try:
+        for name in ("a7_log_pivot", "a7_form_layout"):
+            capsys.readouterr()
+            QUERIES[name](spark, str(tmp_path)).explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 6000, (name, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_odd_log_lines(spark):
+    """Clock prefixes, a label or a wave without a number, parameters out of place, brackets in labels."""
+    text = ["[1:00]: [2:00]: Heart rate std: 9.0", "[1:00]: Heart rate std: 2.5 beats per minute", "Heart rate mean:  7", "Heart rate mean: ", "High frequency: 0.25",
+            "[x Low frequency: 3.0", "a: Low frequency: 3.0", "[1:00]: Using 1024 = 2^ 10 samples", "[1:00]:  b:", "[1:00]: S: [4] = 0.5", "S: [", "Q: [1 2\t]", "X: [1.0\t]"]
+    lines = spark.createDataFrame([("x", i, t) for i, t in enumerate(text)], "recording_id string, line_no int, line string")
+    row = runlog.pivot_log(lines).first()
+    assert (row.hr_std, row.hr_mean, row.f_hi, row.f_lo, row.series_n) == (2.5, None, 0.25, None, 1024)
+    assert [w.b for w in row.waves] == [None, None, None, 0.5, None]
+
+
 def test_a_catalogue_that_names_a_recording_twice_is_refused(spark, tmp_path):
     one = spark.createDataFrame([("x", 1, 0.0, 1.0, 0)], "recording_id string, idx bigint, t double, v double, peak int")
     twice = spark.createDataFrame([("x", "Env1", "a"), ("x", "Eval", "a")], "recording_id string, split string, activity string")

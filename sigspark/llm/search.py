@@ -115,22 +115,30 @@ class ShardIndex:
 
 def _searcher(k: int, mean_words: float):
     def search(key, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        lists = [(np.frombuffer(t, np.int64).view(np.uint64), np.frombuffer(w, float)) for t, w in zip(queries["terms"], queries["idf"])]
-        every = np.concatenate([t for t, _ in lists]) if lists else np.empty(0, np.uint64)
-        vocabulary, first = np.unique(every, return_index=True)
-        idf = np.concatenate([w for _, w in lists])[first] if lists else np.empty(0)
+        known = queries[queries["vocabulary"].notna()]  # the set's own row of them, unless there are no queries
+        vocabulary, idf = (np.frombuffer(known[c].iloc[0] if len(known) else b"", kind) for c, kind in (("vocabulary", np.uint64), ("idf", float)))
         docs = docs.sort_values(["lang", "doc_id", "doc_key"], na_position="last", ignore_index=True)
         index = ShardIndex(docs["text"].tolist(), vocabulary, idf, mean_words)
         ids = docs["doc_id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
         out = []
-        for query, (terms, _) in zip(queries["query"], lists):
-            places, scores = index.top(np.searchsorted(vocabulary, terms), k, ids)
+        for query, terms in zip(queries["query"], queries["terms"]):
+            places, scores = index.top(np.frombuffer(terms, np.uint32), k, ids)
             out.append(pd.DataFrame({"query": [query] * len(places), "doc_id": docs["doc_id"].to_numpy()[places], "doc_key": docs["doc_key"].to_numpy()[places], "score": scores.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "doc_id": [], "doc_key": [], "score": []})
 
     return search
 
 
+def _numbered(queries: pd.DataFrame) -> pd.DataFrame:
+    """A set's queries with their terms as places in the set's vocabulary, which lies, with its weights, in the first row."""
+    lists = [np.frombuffer(t, np.uint64) for t in queries["terms"]]
+    vocabulary, first, places = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+    idf = np.concatenate([np.frombuffer(w, float) for w in queries["idf"]])[first]
+    terms = np.split(places.astype(np.uint32), np.cumsum([len(x) for x in lists])[:-1])
+    once = lambda x: [x.tobytes(), *[None] * (len(lists) - 1)]
+    return queries.assign(terms=[x.tobytes() for x in terms], vocabulary=once(vocabulary), idf=once(idf))
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the ``k`` best rows of ``docs`` for every row of ``queries``.
 
@@ -161,7 +169,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     shards = max(1, math.ceil(n / SHARD_ROWS))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_key"), F.lit(shards)).cast("int")).withColumn("set", every(sets))
-    right = lists.withColumn("set", F.pmod(F.xxhash64("query.id", "query.key"), F.lit(sets)).cast("int")).withColumn("shard", every(shards))
+    # A set goes to every shard, so a term goes as a number of four bytes, and as a hash and a weight only once a set.
+    right = lists.withColumn("set", F.pmod(F.xxhash64("query.id", "query.key"), F.lit(sets)).cast("int")).groupBy("set").applyInPandas(
+        _numbered, "query struct<id:bigint,key:binary>, terms binary, idf binary, set int, vocabulary binary"
+    ).withColumn("shard", every(shards))
     found = left.groupBy("shard", "set").cogroup(right.groupBy("shard", "set")).applyInPandas(
         _searcher(k, mean_words), "query struct<id:bigint,key:binary>, doc_id long, doc_key binary, score long"
     )

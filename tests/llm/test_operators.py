@@ -175,6 +175,21 @@ def test_search_is_exact_over_shards_and_blocks(spark, monkeypatch):
     assert dict(got) == bm25(rows, queries, 7)
 
 
+def test_a_query_goes_to_a_shard_with_four_bytes_a_term():
+    """Hashes and weights go once a set; a query's terms are places among them."""
+    terms = [np.array(x, np.uint64) for x in ([3, 2**63 + 1], [2**63 + 1], [1, 3, 7])]
+    weight = {1: 0.5, 3: 1.5, 7: 2.5, 2**63 + 1: 3.5}
+    rows = pd.DataFrame({
+        "query": [{"id": k, "key": b"k"} for k in range(3)], "set": 0, "terms": [x.tobytes() for x in terms],
+        "idf": [np.array([weight[int(v)] for v in x]).tobytes() for x in terms],
+    })
+    out = search._numbered(rows)
+    assert [len(x) for x in out["terms"]] == [8, 4, 12] and out["vocabulary"].notna().tolist() == [True, False, False]
+    vocabulary, idf = np.frombuffer(out["vocabulary"][0], np.uint64), np.frombuffer(out["idf"][0], float)
+    assert dict(zip(vocabulary.tolist(), idf.tolist())) == weight and vocabulary.tolist() == sorted(weight)
+    assert [vocabulary[np.frombuffer(x, np.uint32)].tolist() for x in out["terms"]] == [x.tolist() for x in terms]
+
+
 def test_search_over_hostile_rows(hostile, nothing):
     queries = hostile.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
     got = Counter((r.query_id, r.score) for r in search.top_k(hostile, queries).collect())

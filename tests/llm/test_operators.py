@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +192,77 @@ def test_a_query_goes_to_a_shard_with_four_bytes_a_term():
     assert [vocabulary[np.frombuffer(x, np.uint32)].tolist() for x in out["terms"]] == [x.tolist() for x in terms]
 
 
+def shard_rows(docs, sets, n):
+    """What a shard's task reads: its documents, then its sets of queries as places among the set's terms; cut into batches anywhere."""
+    df = Counter(h for _, t in docs for h in search.terms_of(t)[0].tolist())
+    idf = lambda h: np.log(1 + (n - df[h] + 0.5) / (df[h] + 0.5))
+    none = dict.fromkeys(("text", "terms", "vocabulary", "idf"))
+    rows = [none | {"set": -1, "id": i, "key": brute_key(t), "text": t} for i, t in docs]
+    for k, queries in enumerate(sets):
+        lists = [search.terms_of(t)[0] for _, t in queries]
+        numbered = search._numbered(pd.DataFrame({
+            "query": [{"id": i, "key": brute_key(t)} for i, t in queries], "set": k, "terms": [x.tobytes() for x in lists],
+            "idf": [np.array([idf(h) for h in x.tolist()]).tobytes() for x in lists],
+        }))
+        rows += [none | {"set": k, **r["query"], "terms": r["terms"], "vocabulary": r["vocabulary"], "idf": r["idf"]} for r in numbered.to_dict("records")]
+    return rows
+
+
+def brute_key(text):
+    return hashlib.md5((text or "").encode()).digest()
+
+
+def shard_batches(rows, size):
+    schema = pa.schema([("shard", pa.int32()), ("set", pa.int32()), ("id", pa.int64()), ("key", pa.binary()), ("text", pa.string()), ("terms", pa.binary()), ("vocabulary", pa.binary()), ("idf", pa.binary())])
+    return iter(pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=size))
+
+
+@pytest.mark.parametrize("common", [0, 5, 512])
+def test_a_shard_reads_its_documents_once_and_then_its_sets_of_queries(monkeypatch, common):
+    """Slabs, batches and gathered pieces of any size, cut anywhere, find what plain scoring finds; nothing passes from shard to shard."""
+    for name, value in (("SLAB_ROWS", 18), ("BLOCK_ROWS", 4), ("BATCH_ROWS", 3), ("GATHERED", 8), ("COMMON", common)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(6)
+    vocabulary = prose(rng, 60).split()
+    docs = [(k // 2 if k % 9 else None, " ".join(rng.choice(vocabulary[: 5 + k % 50]) for _ in range(rng.randint(0, 40)))) for k in range(130)]
+    sets = [[(1000 * j + i, t) for i, t in enumerate(x) if t] for j, x in enumerate(([t for _, t in docs[3::11]], [t for _, t in docs[5::17]], [" ".join(vocabulary)]))]
+    rows = shard_rows(docs, sets, len(docs))
+    other = shard_rows([(7, docs[7][1])], sets[:1], 1)  # a shard after it
+    mean = sum(len(brute.words(t)) for _, t in docs) / len(docs)
+    got = defaultdict(list)
+    for out in search._searcher(7, mean)(shard_batches([{"shard": 0, **r} for r in rows] + [{"shard": 1, **r} for r in other if r["set"] < 0], 29)):
+        for r in out.to_pylist():
+            got[r["query"]["id"]].append((r["score"], r["doc_id"] if r["doc_id"] is not None else 10**18))
+    assert {q: sorted(x, key=lambda y: (-y[0], y[1])) for q, x in got.items()} == bm25(docs, [q for x in sets for q in x], 7)
+
+
+def test_a_shards_memory_is_that_of_a_slab_and_a_batch_of_queries():
+    """A set eight times as large adds little besides its terms; nothing stays of a query but its best documents."""
+    rng = np.random.default_rng(3)
+    word = [f"w{k}" for k in range(20_000)]
+    text = lambda: " ".join(word[int(x)] for x in 20_000 * rng.random(60) ** 3)
+    docs, queries = [(k, text()) for k in range(3000)], [(k, text()) for k in range(4000)]
+    peaks = []
+    for n in (500, 4000):
+        rows = [{"shard": 0, **r} for r in shard_rows(docs, [queries[:n]], len(docs))]
+        given = [*shard_batches(rows, 1000)]
+        tracemalloc.start()
+        assert sum(x.num_rows for x in search._searcher(10, 60)(iter(given))) == 10 * n
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 10 and peaks[1] < 60, peaks
+
+
+def test_a_document_goes_to_its_shard_once_however_many_sets_there_are(spark, monkeypatch):
+    seen = lambda *_: lambda batches: (pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column("id"), b.column("key")], ["id", "key"]), b.column("id"), b.column("key"), b.column("set").cast(pa.int64())], ["query", "doc_id", "doc_key", "score"]) for b in batches)
+    for name, value in (("SHARD_ROWS", 10), ("MOST_SHARD_ROWS", 20), ("SHARDS", 2), ("QUERY_ROWS", 5), ("_searcher", seen)):
+        monkeypatch.setattr(search, name, value)
+    df = spark.createDataFrame([(k, f"word{k} both", "en") for k in range(60)], "doc_id long, text string, lang string")
+    rows = search.top_k(df, df.withColumnRenamed("doc_id", "query_id"), 1000).groupBy("query_id", "score").count().collect()
+    assert sorted(r.query_id for r in rows if r.score == -1) == [*range(60)] and all(r["count"] == 1 for r in rows if r.score == -1)
+    assert len({r.score for r in rows}) > 10 and all(r["count"] == 3 for r in rows if r.score >= 0)  # every query goes to each of three shards
+
+
 def test_search_over_hostile_rows(hostile, nothing):
     queries = hostile.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
     got = Counter((r.query_id, r.score) for r in search.top_k(hostile, queries).collect())
